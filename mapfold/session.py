@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,3 +41,13 @@ def written(df: DataFrame) -> DataFrame:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan refers to any more.
+
+    Spark deletes them when the driver's garbage collector finds their owners gone, which
+    on a roomy driver may be long after the stage tables that replace them are written.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
