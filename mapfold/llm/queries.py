@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mapfold.llm.bpe import op10_merge_automaton
+from mapfold.llm.near_dup import op2_tensored_minhash
 from mapfold.llm.secrets import op8_secret_automaton
 from mapfold.llm.sharding import op9_sampled_splitters
+from mapfold.llm.substring_dup import op4_seed_extend
+from mapfold.llm.suffix_dup import op3_run_length_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_tensored_minhash,
+        op3_run_length_index,
+        op4_seed_extend,
         op8_secret_automaton,
         op9_sampled_splitters,
         op10_merge_automaton,
@@ -39,8 +45,8 @@ WITH RECURSIVE bits AS (
   SELECT *, least(39, CAST((CASE WHEN group_bytes * 4000 <= total THEN group_start ELSE start END) * 40 // total AS INTEGER)) AS shard FROM grouped
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(CAST(4294967295 AS UINTEGER), list_reduce(
-         list_prepend(CAST(4294967295 AS UINTEGER), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), x -> CAST('0x' || x AS UINTEGER))),
-         (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+         list_prepend(CAST(4294967295 AS UINTEGER), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS UINTEGER))),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
        CAST(row - min(row) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM sharded, crc
 """,
