@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mapfold.llm.bpe import op10_merge_automaton
+from mapfold.llm.decontaminate import op7_pigeonhole_edits
+from mapfold.llm.language_model import op5_maxent_model
 from mapfold.llm.near_dup import op2_tensored_minhash
 from mapfold.llm.secrets import op8_secret_automaton
 from mapfold.llm.sharding import op9_sampled_splitters
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_tensored_minhash,
         op3_run_length_index,
         op4_seed_extend,
+        op5_maxent_model,
+        op7_pigeonhole_edits,
         op8_secret_automaton,
         op9_sampled_splitters,
         op10_merge_automaton,
