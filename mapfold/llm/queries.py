@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from mapfold.llm.bpe import op10_merge_automaton
 from mapfold.llm.decontaminate import op7_pigeonhole_edits
 from mapfold.llm.language_model import op5_maxent_model
+from mapfold.llm.licenses import op1_prefix_filter_join
 from mapfold.llm.near_dup import op2_tensored_minhash
+from mapfold.llm.quality import op6_language_divergence
 from mapfold.llm.secrets import op8_secret_automaton
 from mapfold.llm.sharding import op9_sampled_splitters
 from mapfold.llm.substring_dup import op4_seed_extend
@@ -18,10 +20,12 @@ from mapfold.llm.suffix_dup import op3_run_length_index
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_prefix_filter_join,
         op2_tensored_minhash,
         op3_run_length_index,
         op4_seed_extend,
         op5_maxent_model,
+        op6_language_divergence,
         op7_pigeonhole_edits,
         op8_secret_automaton,
         op9_sampled_splitters,
