@@ -73,3 +73,50 @@ def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRIKES_SQL = """strikes AS (
   SELECT o_orderkey % 20 AS map_id, o_orderkey AS strike_seq, CAST((o_orderkey * 13) % 1000 + 0.5 AS DOUBLE) AS sx, CAST((o_custkey * 17) % 1000 + 0.25 AS DOUBLE) AS sy, CAST(o_orderkey % 360 AS DOUBLE) AS dip
   FROM orders WHERE o_orderkey % 4 = 0)"""
+
+
+MASK_SQL = """mask AS (
+  SELECT DISTINCT l_orderkey % 20 AS map_id, l_returnflag AS key, CAST(l_partkey % 60 AS INTEGER) AS row, CAST((l_suppkey * 7 + l_linenumber * 131) % 60 AS INTEGER) AS col FROM lineitem WHERE l_orderkey % 3 = 0)"""
+COLORS_SQL = """pixels AS (
+  SELECT o_orderkey % 20 AS map_id, o_orderpriority AS key, CAST(o_orderkey // 20 // 100 AS INTEGER) AS row, CAST(o_orderkey // 20 % 100 AS INTEGER) AS col,
+         CAST(o_custkey * 7 % 256 AS INTEGER) AS r, CAST(o_custkey * 13 % 256 AS INTEGER) AS g, CAST(o_orderkey * 11 % 256 AS INTEGER) AS b FROM orders)"""
+
+
+def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse masks: map_id, key, row, col."""
+    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0")
+    col = (F.col("l_suppkey") * 7 + F.col("l_linenumber") * 131) % 60
+    return rows.select((F.col("l_orderkey") % 20).alias("map_id"), F.col("l_returnflag").alias("key"), (F.col("l_partkey") % 60).cast("int").alias("row"), col.cast("int").alias("col")).distinct()
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels with a legend key and colours."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    at = F.floor(k / 20)
+    rgb = {"r": c * 7 % 256, "g": c * 13 % 256, "b": k * 11 % 256}
+    return table(spark, sf_dir, "orders").select((k % 20).alias("map_id"), F.col("o_orderpriority").alias("key"), F.floor(at / 100).cast("int").alias("row"), (at % 100).cast("int").alias("col"), *[e.cast("int").alias(n) for n, e in rgb.items()])
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets with their size: one for each supplier."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("map_id"), (600 + k * 37 % 3000).cast("int").alias("height"), (700 + k * 53 % 4000).cast("int").alias("width"))
+
+
+SHEETS_SQL = "sheets AS (SELECT s_suppkey AS map_id, CAST(600 + s_suppkey * 37 % 3000 AS INTEGER) AS height, CAST(700 + s_suppkey * 53 % 4000 AS INTEGER) AS width FROM supplier)"
+
+
+def gcps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five control points on each of five maps."""
+    k, m = F.col("n_nationkey"), F.col("n_regionkey")
+    px, py = (k * 97) % 1000, (k * k * 31 + 7) % 800
+    return table(spark, sf_dir, "nation").select(
+        m.cast("long").alias("map_id"), k.cast("long").alias("gcp_id"), px.cast("double").alias("px"), py.cast("double").alias("py"), (-120.0 + m + px * 0.001 + py * 0.0002).alias("mx"), (45.0 - m - py * 0.0008 + px * 0.0001).alias("my")
+    )
+
+
+GCPS_SQL = """gcps AS (SELECT CAST(n_regionkey AS BIGINT) AS map_id, CAST(n_nationkey AS BIGINT) AS gcp_id, CAST((n_nationkey * 97) % 1000 AS DOUBLE) AS px, CAST((n_nationkey * n_nationkey * 31 + 7) % 800 AS DOUBLE) AS py FROM nation)"""
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
