@@ -7,14 +7,16 @@ merges accepts exactly the canonical sequences, one for each byte string. The fu
 table would be vocabulary squared, so an arc is settled when first asked for, by undoing
 the gadgets that made its two ends in the order of the merges, and then kept.
 
-Encoding walks a pre-split word once: the state behind each prefix is the one token ending
-there that has an arc from the state before it. Decoding emits the labels of the arcs.
+Encoding walks a pre-split word from state to state, the longest label first, and turns
+back where no arc leads on. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from mapfold.session import table
 #: The pre-split pattern of byte-level BPE; white space as Unicode's property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Bounds of what a worker keeps: beyond them the store is emptied and filled anew.
-KEPT_WORDS, KEPT_ARCS = 200_000, 1_000_000
+KEPT_WORDS, KEPT_ARCS = 600_000, 1_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -93,19 +95,38 @@ class MergeAutomaton:
                 until, y = ry, self.left[y]
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, ids, arc, longest = len(word), self.ids, self.arc, self.longest
-        state, size = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                t = ids.get(word[start:end])
-                if t is not None and (not start or arc(state[start], t)):
-                    state[end], size[end] = t, end - start
-                    break
-        out, end = [], n
-        while end:
-            out.append(state[end])
-            end -= size[end]
-        return out[::-1]
+        """The labels of the one path for word, longest arcs first.
+
+        A byte string has one path only, so a place from which no arc leads on is never
+        worth a second visit: the walk is linear in the word.
+        """
+        n, ids, arcs, longest = len(word), self.ids, self.arcs, self.longest
+        path: list[int] = []
+        ends, dead, at = [0], set(), 0
+        size = min(longest, n)
+        while at < n:
+            while size:
+                piece = word[at : at + size]
+                if piece in ids and at + size not in dead:
+                    t = ids[piece]
+                    if not at:
+                        break
+                    key = (path[-1], t)
+                    if arcs[key] if key in arcs else self.arc(*key):
+                        break
+                size -= 1
+            if size:
+                path.append(t)
+                at += size
+                ends.append(at)
+                size = min(longest, n - at)
+            else:
+                dead.add(at)
+                ends.pop()
+                path.pop()
+                size = at - ends[-1] - 1
+                at = ends[-1]
+        return path
 
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
@@ -115,17 +136,24 @@ class MergeAutomaton:
             if n % 2:
                 out.append(np.array([self.added[part]], "<u4").tobytes())
                 continue
-            for word in self.split(part):
-                ids = words.get(word)
-                if ids is None:
-                    if len(words) >= KEPT_WORDS:
-                        words.clear()
-                    ids = np.array(self.encode_word(word.encode()), "<u4").tobytes()
-                    if len(word) <= 64:
-                        words[word] = ids
-                out.append(ids)
+            split = self.split(part)
+            found = list(map(words.get, split))
+            for at in [n for n, ids in enumerate(found) if ids is None]:
+                found[at] = words.get(split[at]) or self._new_word(split[at])
+            out += found
         return b"".join(out)
 
+    def _new_word(self, word: str) -> bytes:
+        row = array("I", self.encode_word(word.encode()))
+        if sys.byteorder == "big":
+            row.byteswap()
+        ids = row.tobytes()
+        if len(self.words) >= KEPT_WORDS:
+            self.words.clear()
+        if len(word) <= 64:
+            self.words[word] = ids
+        return ids
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
