@@ -72,3 +72,41 @@ def test_points_in_random_rings(spark):
     probes = [(rnd.uniform(0, 10), rnd.uniform(0, 10)) for _ in range(200)]
     got = spark.createDataFrame(probes, "x double, y double").select("x", "y", G.in_ring(F.col("x"), F.col("y"), ring(*corner)).alias("i")).collect()
     assert all(r.i == inside(r.x, r.y) for r in got)
+
+
+def test_polygon_overlaps(spark):
+    from mapfold.functions import polygons as PG
+
+    rnd = random.Random(7)
+    pt = lambda p: [{"x": float(x), "y": float(y)} for x, y in p]
+    dent = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]
+    assert PG.overlap(pt(dent), pt([(0, 0), (4, 0), (4, 4), (0, 4)])) == pytest.approx(10)
+    assert PG.overlap(pt(dent), pt([(1.9, 3), (2.1, 3), (2.1, 4), (1.9, 4)])) == 0
+    for _ in range(30):  # stars of random radius against boxes: the overlap is additive over a split box
+        star = [(r * math.cos(k), r * math.sin(k)) for k in [i * math.pi / 5 for i in range(10)] for r in [rnd.uniform(1, 5)]]
+        x = rnd.uniform(-3, 3)
+        box = lambda a, b: pt([(a, -9), (b, -9), (b, 9), (a, 9)])
+        whole = abs(PG._area(star))
+        assert PG.overlap(pt(star), box(-9, x)) + PG.overlap(pt(star), box(x, 9)) == pytest.approx(whole)
+    a, b = ring((0, 0), (2, 0), (2, 2), (0, 2), (0, 0)), ring((1, 1), (3, 1), (3, 3), (1, 3), (1, 1))
+    r = spark.range(1).select(PG.ring_iou(a, b).alias("iou"), PG.union_area(a, b).alias("u")).first()
+    assert (r.iou, r.u) == (pytest.approx(1 / 7), pytest.approx(7))
+
+
+def test_text_ratios(spark):
+    from mapfold.functions import similarity as SM
+
+    rnd = random.Random(9)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            prev = 0
+            for j, d in enumerate(b, 1):
+                prev, row[j] = row[j], prev + 1 if c == d else max(row[j], row[j - 1])
+        return row[-1]
+
+    pairs = [("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12))), "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12)))) for _ in range(200)]
+    assert all(SM._common(a, b) == lcs(a, b) for a, b in pairs)
+    rows = spark.createDataFrame([("abcd", "bcde"), (None, "x"), ("", "")], "a string, b string").select(SM.sequence_ratio("a", "b").alias("q"), SM.subsequence_ratio("a", "b").alias("s")).collect()
+    assert [r.q for r in rows][0] == 0.75 and [r.s for r in rows][0] == 0.75 and rows[1].q is None and rows[2].s == 1
