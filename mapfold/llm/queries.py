@@ -11,6 +11,7 @@ from mapfold.llm.decontaminate import op7_pigeonhole_edits
 from mapfold.llm.language_model import op5_maxent_model
 from mapfold.llm.licenses import op1_prefix_filter_join
 from mapfold.llm.near_dup import op2_tensored_minhash
+from mapfold.llm.oracle import BYTES, NEAR, WORDS, license_sql, quality_sql
 from mapfold.llm.quality import op6_language_divergence
 from mapfold.llm.secrets import op8_secret_automaton
 from mapfold.llm.sharding import op9_sampled_splitters
@@ -34,6 +35,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_prefix_filter_join": license_sql(),
+    "op2_tensored_minhash": NEAR,
+    "op3_run_length_index": BYTES,
+    "op4_seed_extend": WORDS,
+    "op6_language_divergence": quality_sql(),
     "op9_sampled_splitters": """
 WITH RECURSIVE bits AS (
   SELECT n, 0 AS k, CAST(n AS UINTEGER) AS c FROM range(256) t(n)
