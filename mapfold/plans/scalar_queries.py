@@ -139,8 +139,9 @@ def json_properties(spark, sf_dir):
 
 @query(
     f"""WITH {I.COLORS_SQL}, k AS (SELECT map_id, key, CAST(avg(r) AS INTEGER) AS r, CAST(avg(g) AS INTEGER) AS g, CAST(avg(b) AS INTEGER) AS b FROM pixels GROUP BY 1, 2),
-d AS (SELECT a.map_id, a.key, sqrt(pow(a.r - b.r, 2) + pow(a.g - b.g, 2) + pow(a.b - b.b, 2)) AS d FROM k a JOIN k b ON a.map_id = b.map_id AND a.key <> b.key)
-SELECT map_id, key, round(min(d), 6) AS nearest, round(list_sum(list_sort(list(d))[1:3]), 5) AS three FROM d GROUP BY 1, 2"""
+d AS (SELECT a.map_id, a.key, sqrt(pow(a.r - b.r, 2) + pow(a.g - b.g, 2) + pow(a.b - b.b, 2)) AS d FROM k a LEFT JOIN k b ON a.map_id = b.map_id AND a.key <> b.key),
+l AS (SELECT map_id, key, list_concat(coalesce(list_sort(list(d) FILTER (d IS NOT NULL)), []), [180.0::DOUBLE, 180.0, 180.0])[1:3] AS l FROM d GROUP BY 1, 2)
+SELECT map_id, key, round(l[1], 6) AS nearest, round(list_sum(l), 5) AS three FROM l"""
 )
 def legend_color_distances(spark, sf_dir):
     """AGG11."""

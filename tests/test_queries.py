@@ -21,7 +21,7 @@ def tables():
         "supplier": ("s_suppkey long, s_name string", [(k, f"S{k}") for k in range(20)]),
         "customer": ("c_custkey long, c_name string", [(k, f"C{k}") for k in range(60)]),
         "nation": ("n_nationkey int, n_name string, n_regionkey int", [(k, f"NATION_{k}", k % 5) for k in range(25)]),
-        "orders": ("o_orderkey long, o_custkey long, o_orderpriority string", [(k, R.randrange(60), f"{k % 5}-P") for k in range(1500)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double", [(k, R.randrange(60), f"{k % 5}-P", k * 1.5) for k in range(1500)]),
         "lineitem": (
             "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string",
             [(R.randrange(1500), R.randrange(300), R.randrange(20), R.randrange(1, 8), float(R.randrange(1, 51)), R.choice("ANR")) for _ in range(4000)],
