@@ -93,11 +93,14 @@ def quality_columns(docs: DataFrame) -> DataFrame:
 def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     """columns of docs and the measures; the table of measures is written once and read for references and verdicts."""
     text = F.coalesce("text", F.lit(""))
-    without = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
-    rows = docs.withColumns({"_words": words_of(text), "_lines": lines, "_lang": _language(), "_chars": F.array(*[without(p) for p in CLASSES])})
-    spread = F.concat(F.lit(" "), F.array_join(F.transform("_words", F.lower), "  "), F.lit(" "))
-    rows = rows.withColumn("_spread", spread)
+    rows = docs.withColumns({"_words": words_of(text), "_lines": lines, "_lang": _language(), "_rest0": text})
+    # class after class is taken out, so that each pass reads only what the ones before left
+    for k, pattern in enumerate(CLASSES):
+        rows = rows.withColumn(f"_rest{k + 1}", F.regexp_replace(f"_rest{k}", pattern, ""))
+    taken = [(F.length(f"_rest{k}") - F.length(f"_rest{k + 1}")).cast("long") for k in range(len(CLASSES))]
+    spread = F.concat(F.lit(" "), F.regexp_replace(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), SPACES, "  "), F.lit(" "))
+    rows = rows.withColumns({"_chars": F.array(*taken), "_spread": spread})
     hits = lambda w: ((F.length("_spread") - F.length(F.replace(F.col("_spread"), F.lit(f" {w} ")))) / (len(w) + 2)).cast("long")
     common = F.array().cast("array<bigint>")
     for lang, ws in COMMON.items():
@@ -139,4 +142,4 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def op6_language_divergence(spark, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents"))
+    return quality_report(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
