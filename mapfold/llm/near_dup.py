@@ -4,13 +4,15 @@ A set of word shingles gets two small collections of keys, each key made of two
 hashes. Every pair (one key of either collection) names a bucket, so a dozen keys on each
 side, 48 minimum hashes, serve 144 tables of four hashes: about the square root of what
 independent tables would compute. Two sets of similarity 0.75 miss each other in all
-tables once in 10,000 pairs, more similar ones far less often.
-
-Candidates are verified on the full sets. First each bucket's members are held against its
-smallest member, which settles groups of copies with as many checks as members. Then only
-buckets whose members are still in different components are looked at: their signatures
-are compared block by block inside the tasks, and the plausible pairs are verified too.
-Documents with equal shingle sets are one class from the start and are never paired.
+tables once in 10,000 pairs, more similar ones far less often. Two sets can only meet in a
+bucket if they share either key, so keys that one set alone has form no buckets.
+
+Candidates are verified on the full sets. First each bucket's members are held against the
+member that meets most others, which settles groups of copies with about as many checks as
+members. Then only buckets whose members are still in different components are looked at:
+finer sketches are compared block by block inside the tasks, and pairs that may be similar
+enough are verified too. Buckets with the same members count once. Documents with equal
+shingle sets are one class from the start and are never paired.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from pyspark.sql import functions as F
 
 from mapfold.llm import textkit
 from mapfold.operators.components import connected_components
-from mapfold.session import table, written
+from mapfold.session import release, table, written
 
 U64 = np.uint64
 KEYS = 12  #: keys in each of the two collections
-BLOCK = 512  #: members of a bucket that one task compares at once with as many others
+BLOCK = 2048  #: members of a bucket that one task compares at once with as many others
+BINS = 1024  #: bytes of a sketch
 MEMBERS = 1000  #: members verified against one copy of a pivot's set
 
 
@@ -80,53 +83,88 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "uid", "n_shingles", "c1", "c2", "sig"])
 
 
-def _table_keys(batches):
-    """144 buckets for each class, from the mixed pairs of its minimum hashes."""
+def _half_keys(batches):
+    """The 24 keys of each class, from pairs of its minimum hashes; slot tells the place in either collection."""
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, 4 * KEYS).astype(U64)
-        halves = textkit.mix((sig[:, ::2] << U64(32) | sig[:, 1::2]) + np.arange(2 * KEYS, dtype=U64))
-        keys = textkit.mix(halves[:, :KEYS, None] * U64(3) + halves[:, None, KEYS:]).reshape(len(sig), -1)
-        ids = batch.column("node").to_numpy()
-        step = max(1, 20_000 // (KEYS * KEYS))
-        for at in range(0, len(ids), step):
-            k = keys[at : at + step]
-            yield pa.RecordBatch.from_arrays([textkit.as_i64(k.ravel()), pa.array(np.repeat(ids[at : at + step], KEYS * KEYS))], ["key", "node"])
+        half = textkit.mix(sig[:, ::2] << U64(32) | sig[:, 1::2])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), 2 * KEYS)), pa.array(np.tile(np.arange(2 * KEYS, dtype=np.int32), len(sig))), textkit.as_i64(half.ravel())], ["node", "slot", "half"])
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, node): the buckets of each class that another class may share."""
+    halves = classes.select("node", "sig").mapInArrow(_half_keys, "node long, slot int, half long")
+    twice = halves.groupBy("slot", "half").agg(F.count("*").alias("k")).filter("k > 1").select("slot", "half")
+    shared = halves.join(twice, ["slot", "half"]).withColumn("name", F.xxhash64("slot", "half"))
+    sides = shared.groupBy("node").agg(F.collect_list(F.when(F.col("slot") < KEYS, F.col("name"))).alias("left"), F.collect_list(F.when(F.col("slot") >= KEYS, F.col("name"))).alias("right"))
+    pairs = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y))))
+    return sides.select(F.explode(pairs).alias("key"), "node")
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """One byte for each bin: of the least hash in it, 0 if there is none."""
+    h = np.sort(textkit.mix(s + U64(0x1234567)))
+    bins, at = np.unique(h >> U64(64 - BINS.bit_length() + 1), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[bins.astype(np.int64)] = 1 + (h[at] >> U64(8)) % U64(255)
+    return out.tobytes()
+
+
+def _sketches(batches):
+    for batch in batches:
+        raw = batch.column("shingles").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(r) // 8 for r in raw], pa.int64()), pa.array([sketch(np.frombuffer(r, U64)) for r in raw], pa.binary())], ["node", "size", "sketch"])
 
 
-def _plausible(batches):
-    """Pairs of a bucket's block that stand in different components and whose signatures agree in half of the places.
+def _plausible(percent: int):
+    """Pairs of a bucket's block that stand in different components and may be similar enough.
 
-    Rows come sorted by bucket and block pair, so a block pair at a time is held. Of 48
-    places a pair of similarity 0.75 agrees in fewer than 20 once in two million times.
+    Rows come sorted by pivot, block pair and bucket, so one bucket's block pair is held at a
+    time, and a pair that many buckets of a pivot share is told once. Sizes bound the
+    similarity exactly. A sketch samples one member of each filled bin without putting back,
+    which gives the deviation of the estimate; pairs five deviations under the threshold are
+    let go, fewer than one in a million of those at it.
     """
+    share = percent / 100
 
     def pairs(rows):
-        ids, labels = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        side = np.array([r[3] for r in rows])
-        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), -1)
+        ids, labels, side, size = (np.array([r[k] for r in rows]) for k in (2, 3, 4, 5))
+        bins = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
         left = np.flatnonzero(side == side.min())
         right = np.flatnonzero(side == side.max())
         for i in left:
             other = right if side.min() != side.max() else right[right > i]
-            other = other[labels[other] != labels[i]]
-            for j in other[(sig[other] == sig[i]).sum(1) >= 20]:
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+            small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+            fits = (labels[other] != labels[i]) & (100 * small >= percent * large)
+            other, whole = other[fits], (small + large)[fits] / (1 + share)
+            if len(other):
+                same = ((bins[other] == bins[i]) & (bins[i] > 0)).sum(1)
+                filled = np.maximum(((bins[other] > 0) | (bins[i] > 0)).sum(1), 1)
+                deviation = np.sqrt(share * (1 - share) / filled * np.maximum(0, 1 - filled / whole))
+                for j in other[same >= (share - 5 * deviation - 0.005) * filled]:
+                    yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))
 
     def emit(found):
-        found = list(set(found))
-        return pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in found], pa.int64()), pa.array([int(b) for _, b in found], pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    held, name = [], None
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("name", "node", "label", "side", "sig")]
-        for row in zip(*columns, strict=True):
-            if row[0] != name:
-                if len(held) > 1:
-                    yield emit(pairs(held))
-                held, name = [], row[0]
-            held.append(row)
-    if len(held) > 1:
-        yield emit(pairs(held))
+    def run(batches):
+        held, name, pivot, told = [], None, None, set()
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("pivot", "name", "node", "label", "side", "size", "sketch")]
+            for row in zip(*columns, strict=True):
+                if row[1] != name:
+                    if len(held) > 1:
+                        new = set(pairs(held)) - told
+                        told |= new
+                        yield emit(list(new))
+                    if row[0] != pivot or len(told) > 1_000_000:
+                        pivot, told = row[0], set()
+                    held, name = [], row[1]
+                held.append(row)
+        if len(held) > 1:
+            yield emit(list(set(pairs(held)) - told))
+
+    return run
 
 
 def _sets(batches):
@@ -175,7 +213,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+    """doc_id, n_shingles, component_id, kept and uid (xxhash64 of doc_id and text) for every row of docs.
 
     Documents are linked when their sets of 5-word shingles have a Jaccard similarity of
     percent or more; component_id is the smallest doc_id reachable over links. A null or
@@ -189,35 +227,46 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # node: one row for each distinct set, named by the row that stands for it
     classes = written(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("smallest"), F.min("uid").alias("node"), F.first("sig").alias("sig")))
 
-    buckets = classes.select("node", "sig").mapInArrow(_table_keys, "key long, node long")
-    shared = buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    member = written(buckets.join(shared.select("key", "pivot", "n"), "key"))
-    pairs = written(member.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-
-    texts = source.join(member.select(F.col("node").alias("uid")).distinct(), "uid").select(F.col("uid").alias("node"), "text")
+    buckets = _buckets(classes)
+    crowd = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), *(F.bit_xor(c).alias(f"x{k}") for k, c in enumerate(crowd))).filter("n > 1")
+    different = shared.groupBy("n", "x0", "x1").agg(F.min("key").alias("key"))
+    member = written(buckets.join(different.select("key", "n"), "key"))
+    release(docs.sparkSession)
+    met = member.groupBy("node").agg(F.sum("n").alias("met"))
+    ranked = member.join(met, "node")
+    pivot = written(ranked.groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("a")))
+    pairs = written(member.join(pivot, "key").filter("a != node").select("a", F.col("node").alias("b")).distinct())
+
+    # a merge join at every size: which documents have candidates is no bounded table
+    texts = source.join(member.select(F.col("node").alias("uid")).distinct().hint("merge"), "uid").select(F.col("uid").alias("node"), "text")
     sets = written(texts.mapInArrow(_sets, "node long, shingles binary"))
     links = written(_verified(pairs, sets, percent))
 
     labels = connected_components(links)
     labelled = member.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
+    split = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key").join(pivot.withColumnRenamed("a", "pivot"), "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     open_rows = labelled.join(split, "key").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_rows = open_rows.select(F.concat_ws(".", "key", F.least("side", "other"), F.greatest("side", "other")).alias("name"), "node", "label", "side").join(classes.select("node", "sig"), "node")
-    open_rows = open_rows.repartition(F.col("name")).sortWithinPartitions("name").select("name", "node", "label", "side", "sig")
-    tried = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    further = written(open_rows.mapInArrow(_plausible, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    first, second = F.least("side", "other"), F.greatest("side", "other")
+    # buckets of one pivot lie together, the block pairs of large ones apart
+    open_rows = open_rows.select("pivot", F.concat_ws(".", first, second, "key").alias("name"), F.xxhash64("pivot", first, second).alias("spread"), "node", "label", "side")
+    fine = sets.join(open_rows.select("node").distinct(), "node").mapInArrow(_sketches, "node long, size long, sketch binary")
+    open_rows = open_rows.join(fine, "node").repartition(F.col("spread")).sortWithinPartitions("pivot", "name").select("pivot", "name", "node", "label", "side", "size", "sketch")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    release(docs.sparkSession)
+    further = written(open_rows.mapInArrow(_plausible(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(_verified(further, sets, percent))
 
-    labels = connected_components(links)
+    labels = connected_components(written(links))
     members = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = members.groupBy("component").agg(F.min("smallest").alias("component_id"))
     of_class = members.join(smallest, "component").select("c1", "c2", "component_id")
-    out = rows.filter("n_shingles > 0").join(of_class, ["c1", "c2"]).select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = rows.filter("n_shingles > 0").join(of_class, ["c1", "c2"]).select("doc_id", "n_shingles", "component_id", "uid")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "uid")
+    return out.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "uid")
 
 
 def op2_tensored_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("uid")
