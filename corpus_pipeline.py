@@ -17,16 +17,26 @@ from mapfold.llm.secrets import redact
 from mapfold.session import table, written
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of doc_id and text under a name that docs doesn't use."""
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the agreed rules or lie far from their language go."""
-    verdicts = measured(docs.withColumn("_id", F.xxhash64("doc_id", "text")), ["_id"]).filter("kept").select("_id").distinct()
-    return docs.withColumn("_id", F.xxhash64("doc_id", "text")).join(verdicts, "_id", "left_semi").select(docs.columns)
+    keyed, key = _keyed(docs)
+    verdicts = measured(keyed.select(key, "text", "lang"), [key]).filter("kept").select(key).distinct()
+    return keyed.join(verdicts, key, "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, once if its row is repeated."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    keyed, key = _keyed(docs)
+    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("uid").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
