@@ -27,23 +27,33 @@ END = 0xFF  # a byte that UTF-8 never has
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Positions in the order of their suffixes, by doubling from packed words of 8 bytes."""
+    """Positions in the order of their suffixes, by doubling from packed words of 8 bytes; settled ones drop out."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, U64)
     for j in range(8):
         key = key << U64(8) | padded[j : j + n].astype(U64)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    open_ = order[~(new & np.append(new[1:], True))]  # suffixes that share their rank with others
     step = 8
-    while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
-        key = rank * (n + 1)
-        key[:-step] += rank[step:] + 1
+    while len(open_):
+        old, after = rank[open_], open_ + step
+        # past the end the shorter suffix comes first: padding can't tell it from zero bytes
+        key = old * (n + 10) + np.where(after < n, rank[np.minimum(after, n - 1)] + 9, np.maximum(0, n + 8 - after))
+        by = np.argsort(key)
+        open_, old, key = open_[by], old[by], key[by]
+        at = np.arange(len(open_))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        rank[open_] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        open_ = open_[~(new & np.append(new[1:], True))]
         step *= 2
+    order[rank] = np.arange(n)
+    return order
 
 
 class RunIndex:
