@@ -176,7 +176,9 @@ def repeated_stretches(source: DataFrame, units: Units, dtype) -> DataFrame:
     mixed = contexts.groupBy("h1").agg(F.count("*").alias("m")).filter("m > 1")
     wanted = contexts.join(mixed, "h1").select("h1", "n", "at.*", (F.col("m") > LARGEST).alias("many"))
     places = wanted.groupBy("uid").agg(F.collect_list(F.struct("first", "anchor", "end", "h1", "n", "many")).alias("places"))
-    fetched = written(source.dropDuplicates(["uid"]).join(places, "uid").select("uid", "text", "places").mapInArrow(_fetch(units), "h1 long, uid long, first int, seed int, n long, many boolean, units binary"))
+    # a repeated row fetches its contexts once for each repetition: they occur twice, so they
+    # are partners only, and a partner may be there more than once
+    fetched = written(source.join(places, "uid").select("uid", "text", "places").mapInArrow(_fetch(units), "h1 long, uid long, first int, seed int, n long, many boolean, units binary"))
     release(source.sparkSession)
     few = fetched.filter("NOT many").drop("many").repartition("h1").sortWithinPartitions("h1")
     solved = few.mapInArrow(_solve(units, dtype), "uid long, first int, end int")
