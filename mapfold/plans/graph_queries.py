@@ -31,8 +31,8 @@ def node_degrees(spark, sf_dir):
 _NEAR = "near AS (SELECT map_id, u, v FROM edges WHERE v - u < 3)"
 
 
-def _near(spark, sf_dir):
-    return I.edges(spark, sf_dir).filter("v - u < 3")
+def _near(edges):
+    return edges.filter("v - u < 3")
 
 
 @query(
@@ -42,7 +42,7 @@ SELECT map_id, node, min(other) AS component FROM reach GROUP BY 1, 2"""
 )
 def graph_components(spark, sf_dir):
     """GRF8."""
-    return R.components(_near(spark, sf_dir))
+    return R.components(_near(I.edges(spark, sf_dir)))
 
 
 @query(
@@ -77,7 +77,7 @@ SELECT map_id, start, node, min(distance) AS distance FROM walk GROUP BY 1, 2, 3
 )
 def bounded_network_distance(spark, sf_dir):
     """GRF15, GRF16."""
-    edges = _near(spark, sf_dir).withColumn("length", F.abs(F.col("v") - F.col("u")).cast("double"))
+    edges = _near(I.edges(spark, sf_dir)).withColumn("length", F.abs(F.col("v") - F.col("u")).cast("double"))
     starts = R.both_ways(edges).filter("u % 10 = 0").select("map_id", F.col("u").alias("start")).distinct()
     return R.bounded_distances(edges, starts, 8.0)
 
@@ -85,13 +85,13 @@ def bounded_network_distance(spark, sf_dir):
 @query()
 def graph_chains(spark, sf_dir):
     """GRF5, GRF19: chains with their number of edges."""
-    return R.chains(_near(spark, sf_dir)).groupBy("map_id", "chain").agg(F.count("*").alias("edges")).select("map_id", F.col("chain.u").alias("u"), F.col("chain.v").alias("v"), "edges")
+    return R.chains(_near(I.whole_edges(spark, sf_dir))).groupBy("map_id", "chain").agg(F.count("*").alias("edges")).select("map_id", F.col("chain.u").alias("u"), F.col("chain.v").alias("v"), "edges")
 
 
 @query()
 def bridged_graph(spark, sf_dir):
     """GRF10, GRF12: one round of bridging over nodes of degree two."""
-    edges = _near(spark, sf_dir)
+    edges = _near(I.whole_edges(spark, sf_dir))
     return R.bridged(edges, R.degrees(edges).filter("node % 3 = 0").select("map_id", "node"))
 
 

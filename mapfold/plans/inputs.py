@@ -38,10 +38,19 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select((k % 20).alias("map_id"), k.alias("box_id"), F.col("p_name").alias("name"), *[c.cast("double").alias(n) for n, c in corners.items()]).withColumn("box", F.struct(*corners))
 
 
+def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected line graph of each map from every row, loops and doubles removed."""
+    return _edges(table(spark, sf_dir, "lineitem"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected line graph of each map, loops and doubles removed."""
+    """The part of the line graph that EDGES_SQL takes."""
+    return _edges(table(spark, sf_dir, "lineitem").filter((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 7 == 0)))
+
+
+def _edges(lines: DataFrame) -> DataFrame:
     u, v = F.col("l_partkey") % 500, F.col("l_suppkey") % 500
-    rows = table(spark, sf_dir, "lineitem").filter((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 7 == 0) & (u != v))
+    rows = lines.filter(u != v)
     return rows.select((F.col("l_orderkey") % 20).alias("map_id"), F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
 
 
@@ -82,9 +91,17 @@ COLORS_SQL = """pixels AS (
          CAST(o_custkey * 7 % 256 AS INTEGER) AS r, CAST(o_custkey * 13 % 256 AS INTEGER) AS g, CAST(o_orderkey * 11 % 256 AS INTEGER) AS b FROM orders)"""
 
 
+def whole_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse masks from every row: map_id, key, row, col."""
+    return _mask(table(spark, sf_dir, "lineitem"))
+
+
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse masks: map_id, key, row, col."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0")
+    """The part of the masks that MASK_SQL takes."""
+    return _mask(table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0"))
+
+
+def _mask(rows: DataFrame) -> DataFrame:
     col = (F.col("l_suppkey") * 7 + F.col("l_linenumber") * 131) % 60
     return rows.select((F.col("l_orderkey") % 20).alias("map_id"), F.col("l_returnflag").alias("key"), (F.col("l_partkey") % 60).cast("int").alias("row"), col.cast("int").alias("col")).distinct()
 
