@@ -23,7 +23,7 @@ from mapfold.llm import textkit
 from mapfold.session import table
 
 U64 = np.uint64
-SEED = 12  #: bytes of a piece that are looked up; shorter items can't be told from chance and match nothing
+SEED = 12  #: bytes of a piece that are looked up; a shorter piece is looked up whole
 BYTES_PER_EDIT = 16  #: an item may be off by one edit for so many bytes
 BLOCK_BYTES = 8 << 20  #: of items at once
 
@@ -77,22 +77,24 @@ class Items:
     """The pieces of a block of items, ready for lookup."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
-        self.ids, self.texts, self.budget = [], [], []
+        self.ids, self.texts, self.budget, self.seeds = [], [], [], set()
         keys, self.item, self.offset, self.size, whole = [], [], [], [], []
         for i, raw in zip(ids, texts, strict=True):
             data, offsets = normal(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             n = len(data)
-            if n < SEED:
+            if not n:
                 continue
             k = n // BYTES_PER_EDIT
             cuts = [n * j // (k + 1) for j in range(k + 2)]
             pre = textkit.byte_prefix(data)
             a, b = np.array(cuts[:-1]), np.array(cuts[1:])
-            keys.append(textkit.span_hash(pre, a, a + SEED))
+            seed = np.minimum(b - a, SEED)
+            keys.append(textkit.span_hash(pre, a, a + seed))
             whole.append(textkit.span_hash(pre, a, b))
             self.item += [len(self.ids)] * (k + 1)
             self.offset += cuts[:-1]
             self.size += (b - a).tolist()
+            self.seeds |= set(seed.tolist())
             self.ids.append(i)
             self.texts.append(data.tobytes())
             self.budget.append(k)
@@ -106,12 +108,14 @@ class Items:
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, place where the item would start) of exact pieces."""
-        none = np.zeros(0, np.int64)
-        if len(data) < SEED or not len(self.keys):
-            return none, none, none
         pre = textkit.byte_prefix(data)
-        at = np.arange(len(data) - SEED + 1)
-        h = textkit.span_hash(pre, at, at + SEED)
+        found = [self._hits(pre, offsets, seed) for seed in sorted(self.seeds) if seed <= len(data)]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+    def _hits(self, pre: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """hits of the pieces with so long a seed; a hash depends on the length as well."""
+        at = np.arange(len(pre) - seed)
+        h = textkit.span_hash(pre, at, at + seed)
         at = np.flatnonzero(self.some[h >> U64(42)])
         lo, hi = np.searchsorted(self.keys, h[at]), np.searchsorted(self.keys, h[at], "right")
         n = hi - lo
@@ -129,6 +133,10 @@ class Items:
         data, offsets = normal(data, offsets)
         row, item, start = self.hits(data, offsets)
         order = np.lexsort((start, item, row))
+        # an item without a budget is settled by its first hit in a row
+        again = np.zeros(len(order), bool)
+        again[1:] = (row[order[1:]] == row[order[:-1]]) & (item[order[1:]] == item[order[:-1]])
+        order = order[~(again & (np.array(self.budget, np.int64)[item[order]] == 0))]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         done = (-1, -1, -1)
         for r, i, s in zip(row[order].tolist(), item[order].tolist(), start[order].tolist(), strict=True):
@@ -160,7 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, n_edits_allowed, end_at): a row for each item in each document that holds it.
 
     distance is the least over the document, end_at the end of that passage in the normal
-    text. Null and empty texts hold nothing and null or very short items are nowhere;
+    text. Null and empty texts hold nothing and null or empty items are nowhere;
     repeated rows give repeated results; further columns are ignored.
     """
     found = None
