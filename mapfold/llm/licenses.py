@@ -1,13 +1,13 @@
 """License scans by an exact set-similarity join with license templates.
 
 A block of a text (a line, or a paragraph of several lines) matches a template when it
-holds at least `threshold` of the template's distinct words and has not many more words
-than it. The join is exact and prunes by three filters over one global order of words,
+holds at least `threshold` of the template's distinct words, however many it has besides.
+The join is exact and prunes by three filters over one global order of words,
 rarest first, from counts over all documents:
 
 * prefix: of a template's n words with at least o in the block, one of the n - o + 1
   rarest must be there, so only those are looked up;
-* length: a block has at least o and at most MOST_TIMES * n distinct words;
+* length: a block has at least o distinct words;
 * position: after a shared word at place i of the template and j of the block's template
   words, what both have before and what both have after bounds the words shared.
 
@@ -40,7 +40,7 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing: all ASCII but digits and letters
-MOST_TIMES = 4
+MOST_TIMES = 4  #: bound of a block's words in the SQL; the join has none
 
 
 def _lower(text: Column) -> Column:
@@ -124,7 +124,7 @@ def license_scan(docs: DataFrame, threshold: float = 0.9, templates=TEMPLATES) -
         blocks.select("_id", "size", "own", F.posexplode("own").alias("j", "w"))
         .join(F.broadcast(prefix), "w")
         .join(F.broadcast(side), "label")
-        .filter((F.col("size") >= F.col("needed")) & (F.col("size") <= MOST_TIMES * F.size("side")))
+        .filter(F.col("size") >= F.col("needed"))
         .filter(F.least("i", "j") + F.least(F.size("side") - F.col("i"), F.size("own") - F.col("j")) >= F.col("needed"))
     )
     shared = F.size(F.array_intersect("own", "side"))
