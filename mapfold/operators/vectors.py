@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mapfold.session import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -111,14 +113,48 @@ def triplets(positives: DataFrame, pool: DataFrame, seed: int = 1) -> DataFrame:
     """(anchor, positive, negative): the negative of a pair by hash rank from the pool, never a positive of the anchor (SMP1).
 
     positives: anchor, positive; pool: id. Each pair is dealt a few places of the pool and
-    takes the first that is no positive.
+    takes the first that is no positive. A pair without one takes a place among the rows
+    that are left to its anchor, or null where none is.
     """
-    numbered = pool.select(F.col("id").alias("negative")).distinct().withColumn("_at", F.row_number().over(Window.orderBy(F.xxhash64("negative", F.lit(seed)))) - 1)
-    n = numbered.count()
+    numbered, n = _numbered(pool.select(F.col("id").alias("negative")).distinct(), F.xxhash64("negative", F.lit(seed)))
     draw = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pmod(F.xxhash64("anchor", "positive", k, F.lit(seed)), F.lit(max(n, 1))))
     dealt = positives.select("anchor", "positive", F.posexplode(draw).alias("_try", "_at")).join(numbered, "_at")
     free = dealt.filter("negative != anchor").join(positives.select("anchor", F.col("positive").alias("negative")), ["anchor", "negative"], "left_anti")
-    return free.groupBy("anchor", "positive").agg(F.min_by("negative", "_try").alias("negative"))
+    first = written(free.groupBy("anchor", "positive").agg(F.min_by("negative", "_try").alias("negative")))
+    same = lambda c: F.col("p." + c).eqNullSafe(F.col("f." + c))
+    rest = written(positives.select("anchor", "positive").distinct().alias("p").join(first.alias("f"), same("anchor") & same("positive"), "left_anti"))
+    return first.unionByName(_among_the_free(rest, positives, numbered, n, seed))
+
+
+def _numbered(pool: DataFrame, rank: Column) -> tuple[DataFrame, int]:
+    """(pool (negative) with places _at from 0 by rank, number of rows): places in 4,096 ranges of the rank, moved by the counts of those before."""
+    ranked = pool.withColumn("_rank", rank).withColumn("_range", F.shiftright("_rank", 52))
+    before, n = [], 0
+    for r in sorted(ranked.groupBy("_range").count().collect()):
+        before.append((r["_range"], n))
+        n += r["count"]
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_rank", "negative")) - 1
+    starts = pool.sparkSession.createDataFrame(before, "_range long, _before long")
+    placed = ranked.withColumn("_own", own).join(F.broadcast(starts), "_range")
+    return written(placed.select("negative", (F.col("_before") + F.col("_own")).alias("_at"))), n
+
+
+def _among_the_free(rest: DataFrame, positives: DataFrame, numbered: DataFrame, n: int, seed: int) -> DataFrame:
+    """rest (anchor, positive) with a negative by hash rank from the rows that are no positive of the anchor, null where there are none.
+
+    The r-th free place is r and as many as the taken places e_0 < e_1 < .. of the anchor
+    with e_j - j <= r, so one running count over both finds it.
+    """
+    anchors = rest.select("anchor").distinct()
+    own = anchors.select("anchor", F.col("anchor").alias("negative"))
+    taken = positives.select("anchor", F.col("positive").alias("negative")).join(anchors, "anchor", "left_semi").unionByName(own).distinct().join(numbered, "negative")
+    gaps = taken.select("anchor", (F.col("_at") - F.row_number().over(Window.partitionBy("anchor").orderBy("_at")) + 1).alias("_r"), F.lit(None).alias("positive"), F.lit(1).alias("_taken"))
+    left = F.lit(n) - F.coalesce("_n", F.lit(0))
+    asked = rest.join(taken.groupBy("anchor").agg(F.count("*").alias("_n")), "anchor", "left")
+    asked = asked.select("anchor", F.when(left > 0, F.pmod(F.xxhash64("anchor", "positive", F.lit(seed)), F.greatest(left, F.lit(1)))).alias("_r"), "positive", F.lit(0).alias("_taken"))
+    order = Window.partitionBy("anchor").orderBy("_r", F.desc("_taken")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = gaps.unionByName(asked).withColumn("_at", F.col("_r") + F.sum("_taken").over(order)).filter("_taken = 0")
+    return placed.join(numbered, "_at", "left").select("anchor", "positive", "negative")
 
 
 def same_area(rows: DataFrame) -> DataFrame:
