@@ -3,7 +3,7 @@
 A block of a text (a line, or a paragraph of several lines) matches a template when it
 holds at least `threshold` of the template's distinct words, however many it has besides.
 The join is exact and prunes by three filters over one global order of words,
-rarest first, from counts over all documents:
+rarest first, by the number of documents that hold them:
 
 * prefix: of a template's n words with at least o in the block, one of the n - o + 1
   rarest must be there, so only those are looked up;
@@ -11,7 +11,9 @@ rarest first, from counts over all documents:
 * position: after a shared word at place i of the template and j of the block's template
   words, what both have before and what both have after bounds the words shared.
 
-Everything is DataFrame work. Documents without any prefix word leave after one scan.
+Everything is DataFrame work. One scan takes the agreed columns and each document's own
+template words; a second one splits into blocks only the documents in which a prefix word
+occurs as a substring.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapfold.session import table
+from mapfold.session import table, written
 
 #: Phrases and the labels they give.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -38,9 +40,33 @@ TEMPLATES = (
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "mit-conditions",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ),
+    (
+        "mit-warranty",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties"
+        " of merchantability, fitness for a particular purpose and noninfringement",
+    ),
+    (
+        "apache-header",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is"
+        " basis, without warranties or conditions of any kind, either express or implied",
+    ),
+    (
+        "gpl-warranty",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of"
+        " merchantability or fitness for a particular purpose",
+    ),
+    (
+        "isc-grant",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"
+        " that the above copyright notice and this permission notice appear in all copies",
+    ),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing: all ASCII but digits and letters
-MOST_TIMES = 4  #: bound of a block's words in the SQL; the join has none
 
 
 def _lower(text: Column) -> Column:
@@ -97,18 +123,21 @@ def license_scan(docs: DataFrame, threshold: float = 0.9, templates=TEMPLATES) -
     words = {label: _template_words(text) for label, text in templates}
     vocabulary = sorted(set().union(*words.values()))
     source = docs.select(F.col("doc_id").cast("long"), "text")
+    own = F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), F.split("_words", "  "))
+    agreed = ("doc_id", "n_words", "n_base", "first_word", "last_word", "_base")
+    told = written(_base(source).select(F.xxhash64("doc_id", "text").alias("_id"), *agreed, own.alias("_own")))
 
-    # the global order: counts of the template words over all documents, rarest first
-    every = source.select(F.explode(F.split(_spaced(F.coalesce("text", F.lit(""))), "  ")).alias("w")).filter(F.col("w").isin(vocabulary))
-    counts = {r.w: r.n for r in every.groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row for each template word at most
+    # the global order, rarest first; a row for each template word at most comes to the driver
+    counts = {r.w: r.n for r in told.select(F.explode("_own").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     rank = {w: n for n, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     ordered = {label: sorted(ws, key=rank.get) for label, ws in words.items()}
     needed = {label: -(-len(ws) * round(threshold * 1000) // 1000) for label, ws in ordered.items()}
     prefixes = [(label, w, i) for label, ws in ordered.items() for i, w in enumerate(ws[: len(ws) - needed[label] + 1])]
 
-    base = _base(source)
-    any_prefix = F.array(*[F.lit(w) for w in sorted({w for _, w, _ in prefixes})])
-    candidates = source.withColumn("_id", F.xxhash64("doc_id", "text")).filter(F.arrays_overlap(F.split(_spaced(F.coalesce("text", F.lit(""))), "  "), any_prefix))
+    looked_up = sorted({w for _, w, _ in prefixes if w in counts})
+    # an array of one, so that the text is lower-cased once for all words
+    met = F.exists(F.array(F.lower("text")), lambda low: functools.reduce(operator.or_, [low.contains(w) for w in looked_up], F.lit(False)))
+    candidates = source.filter(met).withColumn("_id", F.xxhash64("doc_id", "text"))
     lines = F.split("text", "\n")
     paragraphs = F.filter(F.split("text", r"\n[\x20\x09-\x0D]*\n"), lambda p: p.contains("\n"))
     blocks = candidates.select("_id", F.explode(F.array_distinct(F.concat(lines, paragraphs))).alias("block"))
@@ -130,9 +159,11 @@ def license_scan(docs: DataFrame, threshold: float = 0.9, templates=TEMPLATES) -
     shared = F.size(F.array_intersect("own", "side"))
     matched = pairs.filter(shared >= F.col("needed")).groupBy("_id").agg(F.collect_set("label").alias("found"), F.max(shared / F.size("side")).alias("score"))
     labels = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("found", F.array().cast("array<string>")))))
-    told = base.select(F.xxhash64("doc_id", "text").alias("_id"), "doc_id", "n_words", "n_base", "first_word", "last_word", "_base")
     return told.join(matched, "_id", "left").select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("_base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score")
+        *agreed[:-1],
+        F.array_join(F.array_sort("_base"), ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
     )
 
 

@@ -82,7 +82,7 @@ blocks AS (
   SELECT doc_id, list_distinct(regexp_extract_all({low.format("block")}, '{_LICENSE_WORD}')) AS t FROM blocks
 ), found AS (
   SELECT doc_id, label, len(list_intersect(t, side)) / len(side) AS score FROM tokens, templates
-  WHERE len(t) >= 3 AND len(list_intersect(t, side)) >= ceil(round(len(side) * {threshold}, 6)) AND len(t) <= {licenses.MOST_TIMES} * len(side)
+  WHERE len(list_intersect(t, side)) >= ceil(round(len(side) * {threshold}, 6))
 ), more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM found GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels, coalesce(score, 0.0) AS score

@@ -235,7 +235,7 @@ def test_licenses(docs, texts, none):
             for label, text in licenses.TEMPLATES:
                 side = set(licenses._template_words(text))
                 share = len(b & side) / len(side)
-                if share >= 0.9 and len(b) <= licenses.MOST_TIMES * len(side):
+                if share >= 0.9:
                     found.add(label)
                     best = max(best, share)
         assert got[d].labels == ",".join(sorted(labels | found)) and got[d].score == pytest.approx(best), d
