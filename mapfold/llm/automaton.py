@@ -1,8 +1,10 @@
 """Regular expressions to one minimal deterministic automaton over byte classes.
 
 Knows literals, \\xNN and escaped characters, classes, groups, |, ?, * and +: what rules
-for secrets need. The automaton is unanchored: it restarts at every byte, and the set of
-rules whose expression ends at a byte is an attribute of the state reached there.
+for secrets need. An unanchored automaton restarts at every byte, an anchored one starts
+once; the set of rules whose expression ends at a byte is an attribute of the state
+reached there. A reversed one reads the bytes from the last to the first, so it tells
+where expressions start.
 """
 
 from __future__ import annotations
@@ -95,7 +97,21 @@ class _Parser:
         return frozenset(found)
 
 
-def compile_rules(patterns: list[str]) -> tuple[bytes, list[int], int, list[int]]:
+def _reversed(nfa: _Parser, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Turns every arc around."""
+    arcs: list[list[tuple[frozenset[int], int]]] = [[] for _ in nfa.arcs]
+    free: list[list[int]] = [[] for _ in nfa.free]
+    for n, targets in enumerate(nfa.arcs):
+        for byte_set, t in targets:
+            arcs[t].append((byte_set, n))
+    for n, others in enumerate(nfa.free):
+        for t in others:
+            free[t].append(n)
+    nfa.arcs, nfa.free = arcs, free
+    return [(end, start) for start, end in pairs]
+
+
+def compile_rules(patterns: list[str], anchored: bool = False, reverse: bool = False) -> tuple[bytes, list[int], int, list[int]]:
     """(byte -> class, arcs, first accepting state, rules by state).
 
     States are numbered in steps of the number of classes, so arcs[state + class] is the
@@ -104,6 +120,8 @@ def compile_rules(patterns: list[str]) -> tuple[bytes, list[int], int, list[int]
     """
     nfa = _Parser()
     pairs = [nfa.parse(p) for p in patterns]
+    if reverse:
+        pairs = _reversed(nfa, pairs)
     accepting = {end: 1 << n for n, (_, end) in enumerate(pairs)}
 
     def closed(nodes) -> frozenset[int]:
@@ -127,7 +145,8 @@ def compile_rules(patterns: list[str]) -> tuple[bytes, list[int], int, list[int]
     for state in order:
         row = []
         for byte in sample:
-            to = closed({t for n in state for s, t in nfa.arcs[n] if byte in s}) | roots
+            to = closed({t for n in state for s, t in nfa.arcs[n] if byte in s})
+            to = to if anchored else to | roots
             if to not in number:
                 number[to] = len(order)
                 order.append(to)

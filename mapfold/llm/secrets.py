@@ -1,10 +1,11 @@
 """Secret scans by one automaton for all rules.
 
 The rules' expressions are compiled together by subset construction and minimised into
-one transition array over byte classes; a text is read once, byte by byte, and the states
-it passes tell which rules end anywhere in it. Only texts in which a rule ended are read
-again for the exact spans of that rule (leftmost, not overlapping), after which matches
-that are too short are dropped.
+transition arrays over byte classes. One pass over a text, from its last byte to its
+first, runs the reversed automaton of all rules: the states it passes tell where a match
+of which rule starts. From those starts alone the anchored automaton runs forward to the
+longest match. Leftmost starts first and no overlaps within a rule give the spans, after
+which matches that are too short are dropped.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,52 +26,99 @@ from mapfold.session import table
 
 @dataclass(frozen=True)
 class Rule:
+    """A match is head, body and tail; its body must have `least` characters."""
+
     kind: str
-    scan: str  #: what the automaton looks for: must end inside every match that counts
-    span: str  #: the exact match
-    group: int  #: group whose length is tested
-    least: int  #: characters it must have
+    head: str
+    body: str
+    tail: str
+    least: int
+
+    def starts(self) -> str:
+        """What must stand at the start of a match that counts.
+
+        A match that is nothing but a run of one class reaches to the end of the run, so only
+        runs that are long enough need to be met; other short matches still use up their text.
+        """
+        if not self.head and not self.tail and re.fullmatch(r"\[[^]]+\]\+", self.body):
+            return self.body[:-1] * max(1, self.least)
+        return self.head + self.body + self.tail
 
 
+_ASSIGN = r"""([pP][aA][sS][sS][wW]([oO][rR][dD]|[dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?"""
 #: Rules in the order in which their spans are listed. Of the first three the
 #: results are agreed; the others are further kinds.
 BASE = (
-    Rule("assign", r"""([pP][aA][sS][sS][wW]([oO][rR][dD]|[dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""", r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", "[0-9a-f]" * 16, r"[0-9a-f]+", 0, 16),
+    Rule("assign", _ASSIGN, "[A-Za-z0-9+/_.=-]+", "", 12),
+    Rule("access", "", "AKIA[A-Z0-9]+", "", 18),
+    Rule("hex", "", "[0-9a-f]+", "", 16),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
-    Rule("slack", r"xox[abprs]-[0-9A-Za-z]", r"xox[abprs]-[0-9A-Za-z-]+", 0, 15),
-    Rule("login_url", r"://[A-Za-z0-9._-]+:[A-Za-z0-9._-]+@", r"://[A-Za-z0-9._-]+:([A-Za-z0-9._-]+)@", 1, 6),
+    Rule("private_key", "", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", "", 0),
+    Rule("slack", "", "xox[abprs]-[0-9A-Za-z][0-9A-Za-z-]*", "", 15),
+    Rule("login_url", "://[A-Za-z0-9._-]+:", "[A-Za-z0-9._-]+", "@", 6),
 )
 
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
-        self.classes, self.arcs, self.first_end, self.ends = compile_rules([r.scan for r in rules])
-        self.exact = [re.compile(r.span) for r in rules]
-
-    def ended(self, data: bytes) -> int:
-        """Bit set of the rules that end anywhere in data."""
-        arcs, accept, ends, s, seen = self.arcs, self.first_end, self.ends, 0, 0
-        for c in data.translate(self.classes):
+        self.back = compile_rules([r.starts() for r in rules], reverse=True)
+        # forward the automaton also tells where a head and where a body may end
+        parts = [(n, k, p) for n, r in enumerate(rules) for k, p in enumerate((r.head + r.body + r.tail, r.head, r.head + r.body)) if p]
+        self.forward = compile_rules([p for *_, p in parts], anchored=True)
+        self.bits = [[0, 0, 0] for _ in rules]
+        for bit, (n, k, _) in enumerate(parts):
+            self.bits[n][k] = 1 << bit
+        classes, arcs, _, ends = self.forward
+        width = max(classes) + 1
+        self.dead = next(s for s in range(0, len(arcs), width) if not ends[s] and all(t == s for t in arcs[s : s + width]))
+
+    def starts(self, data: bytes) -> list[tuple[int, int]]:
+        """(place, bit set of the rules that start there), the last place first."""
+        classes, arcs, accept, ends = self.back
+        s, out = 0, []
+        for at, c in enumerate(data.translate(classes)[::-1], 1):
             s = arcs[s + c]
             if s >= accept:
-                seen |= ends[s]
-        return seen
+                out.append((len(data) - at, ends[s]))
+        return out
+
+    def longest(self, codes: bytes, start: int, rule: int) -> tuple[int, int]:
+        """(end, length of the body) of the longest match of a rule that starts here."""
+        _, arcs, accept, ends = self.forward
+        whole, head, body = self.bits[rule]
+        s, found, begin, close = 0, (start, 0), start, start
+        for at in range(start, len(codes)):
+            s = arcs[s + codes[at]]
+            if s == self.dead:
+                break
+            if s >= accept:
+                e = ends[s]
+                if e & body:
+                    close = at + 1
+                if e & whole:
+                    found = at + 1, close - begin
+                if e & head:
+                    begin = at + 1
+        return found
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule number) in code points, by start and then rule."""
-        seen = self.ended(data)
-        if not seen:
+        starts = self.starts(data)
+        if not starts:
             return []
-        text, out = data.decode("utf-8", "replace"), []
-        for n, rule in enumerate(self.rules):
-            if seen >> n & 1:
-                out += [(m.start(), m.end(), n) for m in self.exact[n].finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-        return sorted(out, key=lambda x: (x[0], x[2]))
+        codes, out, until = data.translate(self.forward[0]), [], [0] * len(self.rules)
+        for at, which in reversed(starts):
+            for n, rule in enumerate(self.rules):
+                if which >> n & 1 and at >= until[n]:
+                    until[n], size = self.longest(codes, at, n)
+                    if size >= rule.least:
+                        out.append((at, until[n], n))
+        if not data.isascii():
+            before = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)])
+            out = [(int(before[a]), int(before[b]), n) for a, b, n in out]
+        return out
 
 
 _scanners: dict[tuple[Rule, ...], Scanner] = {}

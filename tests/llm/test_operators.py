@@ -201,6 +201,28 @@ def test_secrets(docs, texts, none):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_secret_spans_of_random_texts():
+    """Spans of all rules against plain expressions, on texts made of their parts."""
+    more = (("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0), ("slack", r"xox[abprs]-[0-9A-Za-z][0-9A-Za-z-]*", 0, 15), ("login_url", r"://[A-Za-z0-9._-]+:([A-Za-z0-9._-]+)@", 1, 6))
+    rules = [*brute.SECRETS, *((k, re.compile(p), g, n) for k, p, g, n in more)]
+    scanner = secrets.Scanner(secrets.BASE + secrets.MORE)
+    parts = ["password", "PassWd", "secret", "ToKen", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "A0B1C2D3E4F5G6H7", "0123456789abcdef", "deadbeef", "é", "日", "xoxb-", "a-b-", "://", "@", "://me:", "hunter22@", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "longvalue.0/1", "\n", "x"]
+    r, found = random.Random(12), Counter()
+    for _ in range(4000):
+        s = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        want = sorted((m.start(), n, m.end()) for n, (_, p, g, least) in enumerate(rules) for m in p.finditer(s) if len(m.group(g)) >= least)
+        assert [(a, n, b) for a, b, n in scanner.spans(s.encode())] == want, s
+        found.update(n for _, n, _ in want)
+    assert len(found) == len(rules)
+
+
+def test_secrets_in_long_and_repeated_texts(spark):
+    long = "prose abc " * 60_000 + "token = abcdefabcdefabcdef " + "é" * 9
+    rows = spark.createDataFrame([(1, long), (1, long), (2, "f" * 100_000), (None, "token=short")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.spans) for r in secrets.secret_digests(rows).collect()), key=str)
+    assert got == sorted([(1, "assign:600000:600026,hex:600008:600026"), (1, "assign:600000:600026,hex:600008:600026"), (2, "hex:0:100000"), (None, "")], key=str)
+
+
 def test_automaton_finds_the_ends_of_each_rule():
     patterns = ["ab+c", "[a-c]x?d", "(foo|fo)o*bar", r"\x20\["]
     classes, arcs, first, ends = compile_rules(patterns)
