@@ -3,12 +3,15 @@
 Every merge (u, v) -> w adds a gadget to the automaton whose states are the tokens read
 last and whose arcs are labelled with tokens: state w gets the arcs that leave v, every
 state with an arc u gets an arc w, and the arc v from u goes. What is left after all
-merges accepts exactly the canonical sequences, one for each byte string. The full arc
-table would be vocabulary squared, so an arc is settled when first asked for, by undoing
-the gadgets that made its two ends in the order of the merges, and then kept.
-
-Encoding walks a pre-split word from state to state, the longest label first, and turns
-back where no arc leads on. Decoding emits the labels of the arcs.
+merges accepts exactly the canonical sequences, one for each byte string. Whether an arc
+is left is settled by undoing the gadgets that made its two ends in the order of the merges.
+
+The deterministic automaton over bytes comes from it by subset construction: a state holds
+the arcs that are being read, each as the token before and the place in the tree of labels,
+and the label of the one arc that ends at this byte. The full table is out of reach (the
+vocabulary squared already for tokens), so a transition is made when it is first needed and
+then stands in the table. Words are encoded by looking up one transition a byte; the
+labels on the way, taken from the end backwards, are the tokens. Decoding emits labels.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from mapfold.session import table
 
 #: The pre-split pattern of byte-level BPE; white space as Unicode's property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-#: Bounds of what a worker keeps: beyond them the store is emptied and filled anew.
-KEPT_WORDS, KEPT_ARCS = 600_000, 1_000_000
+LABEL, MEMBERS = -1, -2  #: keys of a row besides bytes
+KEPT_WORDS = 500_000  #: words in each of the two generations that a worker keeps
+KEPT_STATES = 300_000  #: states of the table; beyond them a word is walked to its end without the table
 
 
 def byte_symbols() -> dict[str, int]:
@@ -45,6 +49,8 @@ class MergeAutomaton:
         symbols = byte_symbols()
         raw = lambda token: bytes(symbols[c] for c in token)
         vocab = spec["model"]["vocab"]
+        if any(x.get(flag) for x in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take in their surroundings are not known")
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.ids = {raw(t): i for t, i in vocab.items() if t not in self.added}
         self.labels: list[bytes] = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
@@ -60,24 +66,37 @@ class MergeAutomaton:
             self.merged.setdefault((u, v), r)
             if self.rank[w] < 0:
                 self.rank[w], self.left[w], self.right[w] = r, u, v
-        self.longest = max(map(len, self.ids))
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.size = [len(t) for t in self.labels]
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
+        self._tree()
+        # the table has a row for each state: byte -> row, the label that ends there, and what
+        # the state holds, (token before, node) after (token before, node)
+        self.start = {LABEL: -1, MEMBERS: (-1, 0)}
+        self.states = {self.start[MEMBERS]: self.start}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def arc(self, x: int, y: int) -> bool:
-        """Whether token y may follow token x."""
-        key = (x, y)
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) >= KEPT_ARCS:
-                self.arcs.clear()
-            found = self.arcs[key] = self._settle(x, y)
-        return found
-
-    def _settle(self, x: int, y: int) -> bool:
-        rank, until = self.rank, len(self.merged) + 1
+    def _tree(self) -> None:
+        """Labels as a tree over bytes; a token that its own merges never reach labels no arc."""
+        self.child: dict[int, int] = {}
+        self.token, self.inner = [-1], [True]
+        for t, i in self.ids.items():
+            if self.rank[i] >= 0 and not self._arc(self.left[i], self.right[i], self.rank[i]):
+                continue
+            node = 0
+            for c in t:
+                self.inner[node] = True
+                key = node << 8 | c
+                node = self.child.setdefault(key, len(self.token))
+                if node == len(self.token):
+                    self.token.append(-1)
+                    self.inner.append(False)
+            self.token[node] = i
+
+    def _arc(self, x: int, y: int, until: int | None = None) -> bool:
+        """Whether token y may follow token x, with the merges before `until`."""
+        rank, until = self.rank, len(self.merged) + 1 if until is None else until
         while True:
             r = self.merged.get((x, y))
             if r is not None and r < until:
@@ -94,38 +113,49 @@ class MergeAutomaton:
                     return False
                 until, y = ry, self.left[y]
 
+    def _step(self, members: tuple[int, ...], byte: int) -> tuple[int, ...]:
+        """What a state's arcs become with one byte more; the arc that ends is the token before the last pair."""
+        out, label = [], -1
+        for x, node in zip(members[::2], members[1::2], strict=True):
+            node = self.child.get(node << 8 | byte, 0)
+            if node:
+                y = self.token[node]
+                if y >= 0 and label < 0 and (x < 0 or self._arc(x, y)):
+                    label = y
+                if self.inner[node]:
+                    out += (x, node)
+        return (*out, label, 0)
+
+    def _grow(self, row: dict, byte: int) -> dict | None:
+        """The row after this one by a byte, entered into the table; none if it is full."""
+        members = self._step(row[MEMBERS], byte)
+        to = self.states.get(members)
+        if to is None:
+            if len(self.states) >= KEPT_STATES:
+                return None
+            to = self.states[members] = {LABEL: members[-2], MEMBERS: members}
+        row[byte] = to
+        return to
+
     def encode_word(self, word: bytes) -> list[int]:
-        """The labels of the one path for word, longest arcs first.
-
-        A byte string has one path only, so a place from which no arc leads on is never
-        worth a second visit: the walk is linear in the word.
-        """
-        n, ids, arcs, longest = len(word), self.ids, self.arcs, self.longest
-        path: list[int] = []
-        ends, dead, at = [0], set(), 0
-        size = min(longest, n)
-        while at < n:
-            while size:
-                piece = word[at : at + size]
-                if piece in ids and at + size not in dead:
-                    t = ids[piece]
-                    if not at:
-                        break
-                    key = (path[-1], t)
-                    if arcs[key] if key in arcs else self.arc(*key):
-                        break
-                size -= 1
-            if size:
-                path.append(t)
-                at += size
-                ends.append(at)
-                size = min(longest, n - at)
-            else:
-                dead.add(at)
-                ends.pop()
-                path.pop()
-                size = at - ends[-1] - 1
-                at = ends[-1]
+        """The labels of the one path for word."""
+        row, ended = self.start, []
+        for at, c in enumerate(word):
+            to = row.get(c) or self._grow(row, c)
+            if to is None:
+                members = row[MEMBERS]
+                for byte in word[at:]:
+                    members = self._step(members, byte)
+                    ended.append(members[-2])
+                break
+            row = to
+            ended.append(row[LABEL])
+        path, at, size = [], len(word), self.size
+        while at:
+            y = ended[at - 1]
+            path.append(y)
+            at -= size[y]
+        path.reverse()
         return path
 
     def encode(self, text: str) -> bytes:
@@ -141,15 +171,17 @@ class MergeAutomaton:
             for at in [n for n, ids in enumerate(found) if ids is None]:
                 found[at] = words.get(split[at]) or self._new_word(split[at])
             out += found
+        if len(words) >= KEPT_WORDS:
+            self.words, self.older = {}, words
         return b"".join(out)
 
     def _new_word(self, word: str) -> bytes:
-        row = array("I", self.encode_word(word.encode()))
-        if sys.byteorder == "big":
-            row.byteswap()
-        ids = row.tobytes()
-        if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            row = array("I", self.encode_word(word.encode()))
+            if sys.byteorder == "big":
+                row.byteswap()
+            ids = row.tobytes()
         if len(word) <= 64:
             self.words[word] = ids
         return ids
@@ -158,7 +190,7 @@ class MergeAutomaton:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_automata: dict[int, MergeAutomaton] = {}
+_automata: dict[str, MergeAutomaton] = {}
 
 
 def tokenizer_digests(docs: DataFrame, tokenizer_json: str) -> DataFrame:
@@ -170,7 +202,7 @@ def tokenizer_digests(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     """
     with open(tokenizer_json, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    key = hash((tokenizer_json, len(spec.value)))
+    key = hashlib.sha256(spec.value.encode()).hexdigest()
 
     def encode(batches):
         if key not in _automata:

@@ -335,6 +335,16 @@ def test_tokenizer(docs, texts, none):
     assert bpe.tokenizer_digests(none, path).count() == 0
 
 
+def test_tokenizer_of_repeated_and_long_rows(spark, monkeypatch):
+    """Small generations of kept words give the same rows."""
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
+    want = tokenizers.Tokenizer.from_file(bpe.default_tokenizer())
+    rows = [(1, "one two three " * 3000), (1, "one two three " * 3000), (None, None), (2, "")]
+    got = bpe.tokenizer_digests(spark.createDataFrame(rows, "doc_id long, text string"), bpe.default_tokenizer()).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(((d, len(want.encode(t or "", add_special_tokens=False).ids)) for d, t in rows), key=str)
+
+
 def test_tokenizer_property():
     import json
 
@@ -347,5 +357,13 @@ def test_tokenizer_property():
         ids = own.encode(s)
         assert np.frombuffer(ids, "<u4").tolist() == want.encode(s, add_special_tokens=False).ids, s
         assert own.decode(ids) == s
+    bpe_states = bpe.KEPT_STATES
+    bpe.KEPT_STATES = len(own.states)  # a full table: the rest of a word is walked without it
+    try:
+        for _ in range(300):
+            s = "".join(chr(r.choice([*range(97, 123), 0xE9, 0x4E2D])) for _ in range(r.randint(0, 40)))
+            assert np.frombuffer(own.encode(s), "<u4").tolist() == want.encode(s, add_special_tokens=False).ids, s
+    finally:
+        bpe.KEPT_STATES = bpe_states
     for s in ("a" * 5000, "ab" * 3000, " " * 1000, "<|endoftext|><|endoftext|>x"):
         assert np.frombuffer(own.encode(s), "<u4").tolist() == want.encode(s, add_special_tokens=False).ids
