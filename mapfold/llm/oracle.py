@@ -100,8 +100,8 @@ def quality_sql() -> str:
         lengths.append(f"length({gone}) - length({rest})")
         gone = rest
     counts = ", ".join(lengths)
-    common = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in ws)}]" for lang, ws in quality.COMMON.items())
-    width = len(next(iter(quality.COMMON.values()))) + 1
+    bins = "[" + ", ".join(f"'{w}'" for w in quality.BINS) + "]"
+    width = len(quality.BINS) + 1
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{k}])" for k in range(1, n + 1)) + "]"
     part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
     share = lambda c, k: f"(CAST({c}[{k}] AS DOUBLE) / list_sum({c}))"
@@ -122,14 +122,15 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) t(k) GROUP BY 1
 ), m AS (
   SELECT doc_id, lang, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
-         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(text) AS size, [{counts}] AS c, list_transform(w, lambda x: lower(x)) AS low, CASE lang {common} END AS ws
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(text) AS size, [{counts}] AS c, list_filter(list_transform(w, lambda x: lower(x)), lambda x: list_contains({bins}, x)) AS low
   FROM d LEFT JOIN repeated USING (doc_id)
 ), h AS (
-  SELECT * EXCLUDE (c, low, ws), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_append(c, size - list_sum(c)) AS c, list_transform(ws, lambda y: len(list_filter(low, lambda x: x = y))) AS k FROM m
+  SELECT * EXCLUDE (c, low), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_append(c, size - list_sum(c)) AS c, list_transform({bins}, lambda y: len(list_filter(low, lambda x: x = y))) AS k FROM m
 ), g AS (SELECT * EXCLUDE (k), list_append(k, n_words - list_sum(k)) AS k FROM h),
 refs AS (SELECT lang, {sums("c", len(classes) + 1)} AS rc, {sums("k", width)} AS rk FROM g WHERE NOT base_failed AND n_words >= {quality.LEAST_WORDS} GROUP BY 1),
-js AS (SELECT g.*, {js("c", "rc", len(classes) + 1)} AS js_chars, {js("k", "rk", width)} AS js_words FROM g LEFT JOIN refs USING (lang))
+far AS (SELECT *, {js("none", "rk", width)} AS wordless FROM (SELECT *, list_append(list_transform({bins}, lambda x: 0), 1) AS none FROM refs)),
+js AS (SELECT g.*, wordless, {js("c", "rc", len(classes) + 1)} AS js_chars, {js("k", "rk", width)} AS js_words FROM g LEFT JOIN far USING (lang))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(n_words >= {quality.LEAST_WORDS} AND (js_chars > {quality.FARTHEST_CHARS} OR js_words > {quality.FARTHEST_WORDS}), false) AS kept
+       NOT base_failed AND NOT coalesce(n_words >= {quality.LEAST_WORDS} AND (js_chars > {quality.FARTHEST_CHARS} OR (wordless > 0.1 AND js_words > {quality.FARTHEST_WORDS} * wordless)), false) AS kept
 FROM js
 """

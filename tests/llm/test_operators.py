@@ -179,7 +179,7 @@ def test_quality(docs, texts, none):
 
 def test_quality_rejects_other_characters(spark):
     r = random.Random(1)
-    clean = [" ".join(r.choice(["the", "of", "ander", "inting", "and", "therea", "to"]) + str(k % 7) * 0 + r.choice(["", "a", "in", "er"]) for k in range(90)) for _ in range(30)]
+    clean = [prose(r, "en", 90) for _ in range(30)]
     junk = " ".join(f"#{r.randrange(10**6)}$%" for _ in range(80))
     rows = spark.createDataFrame([(k, t, "en") for k, t in enumerate([*clean, junk])], "doc_id long, text string, lang string")
     got = by_id(quality.quality_report(rows))
@@ -187,6 +187,42 @@ def test_quality_rejects_other_characters(spark):
     assert all(got[k].kept for k in range(30) if not got[k].base_failed)
 
 
+def _js(p: list[float], q: list[float]) -> float:
+    p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
+    m = (p + q) / 2
+    half = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    return math.sqrt(max(0.0, (half(p) + half(q)) / 2))
+
+
+def prose(r: random.Random, lang: str, n: int) -> str:
+    """Invented words with the common words of a language in between."""
+    return " ".join(r.choice(quality.COMMON[lang]) if r.random() < 0.25 else "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 9))) for _ in range(n))
+
+
+def test_quality_distances(spark):
+    """Both distances and the verdict against a plain version; word salad and a wrong language go by their words alone."""
+    r = random.Random(8)
+    rows = [(k, prose(r, lang, r.randint(60, 300)), lang) for k, lang in enumerate(["en", "fr", "de", "es"] * 15)]
+    salad = " ".join("".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 9))) for _ in range(120))
+    rows += [(100, salad, "en"), (101, prose(r, "de", 200), "en"), (102, prose(r, "en", 200), "fr"), (103, salad[:200], "en"), (104, prose(r, "en", 150), "xx"), (105, prose(r, "en", 150), None), (106, prose(r, "fr", 30_000), "fr")]
+    got = by_id(quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    classes = [r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[#*$%&|<>]", r"[\x21-\x22'-)+-/:;=?-@\[-`{}~]", r"[^\x21-\x7E\x20\x09-\x0D]"]
+    measures, refs = {}, {}
+    for d, t, lang in rows:
+        w = t.split()
+        k = [sum(x.lower() == y for x in w) for y in quality.BINS]
+        measures[d] = ([len(re.findall(c, t)) for c in classes], [*k, len(w) - sum(k)])
+        if not got[d].base_failed and len(w) >= quality.LEAST_WORDS:
+            c, k = refs.get(lang if lang in quality.COMMON else "", ([0] * len(classes), [0] * (len(k) + 1)))
+            refs[lang if lang in quality.COMMON else ""] = [x + y for x, y in zip(c, measures[d][0], strict=True)], [x + y for x, y in zip(k, measures[d][1], strict=True)]
+    for d, _, lang in rows:
+        c, k = refs[lang if lang in quality.COMMON else ""]
+        assert got[d].js_chars == pytest.approx(_js(measures[d][0], c), abs=1e-9) and got[d].js_words == pytest.approx(_js(measures[d][1], k), abs=1e-9), d
+        far = got[d].n_words >= quality.LEAST_WORDS and (got[d].js_chars > 0.3 or got[d].js_words > 0.9 * _js([0] * len(quality.BINS) + [1], k))
+        assert got[d].kept == (not got[d].base_failed and not far), d
+    assert {d for d in got if not got[d].kept} == {100, 101, 102} and all(got[d].js_chars < 0.3 for d in (100, 101, 102))
+
+
 def test_secrets(docs, texts, none):
     got = by_id(secrets.secret_digests(docs))
     for d, t in texts:
