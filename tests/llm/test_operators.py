@@ -153,13 +153,86 @@ def test_rare_words_meet_their_counts(docs, texts, monkeypatch):
     assert all(again[d].base_score == pytest.approx(s, abs=1e-6) for d, s in plain.items())
 
 
-def test_class_probabilities_sum_to_one():
-    w = np.random.default_rng(3).normal(size=(language_model.ROWS, language_model.CLASSES)).astype(np.float32)
-    data = np.frombuffer(b"a b c d", np.uint8)
-    t = language_model.tokens_of(data, np.array([0, 3, 3, 7]))
-    assert t.n.tolist() == [3, 1, 3]
-    p = np.exp(language_model.log_softmax(w, language_model.features(t, t.ending)))
-    assert p.sum(1) == pytest.approx(np.ones(len(p)), abs=1e-4)
+def _mix(x: int) -> int:
+    m = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def plain_model(v, w, counts):
+    """(class, place, log10 probability) of a word after two others, token by token; words are hashes, None stands before a text."""
+    where = {h: (int(c), int(p)) for h, c, p in zip(v.hash.tolist(), v.cls, v.place, strict=True)}
+    n, m = v.features, (1 << 64) - 1
+
+    def spot(h, ending):
+        return where.get(h, (ending, language_model.PLACES - 1))
+
+    def soft(z):
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    def probability(h, ending, one, two, c1, c2):
+        cls, place = spot(h, ending)
+        pc = soft(sum(w.classes[r].astype(float) for r in ((one >> 32) % n, n + (two >> 32) % n, 2 * n + c1 * (language_model.CLASSES + 1) + c2, -1)))
+        p = pc[cls]
+        if cls >= language_model.OWN:
+            salt = cls * 0x9E3779B97F4A7C15 & m
+            pp = soft(sum(w.places[r].astype(float) for r in ((_mix(one ^ salt) >> 32) % n, n + (_mix(two + salt & m) >> 32) % n, 2 * n + cls - language_model.OWN)))
+            p *= pp[place]
+            if place == language_model.PLACES - 1:
+                p *= (counts.get(h, 0) + 1) / v.rest_size[cls]
+        return p
+
+    return spot, probability
+
+
+def test_model_score_by_a_plain_version(docs, texts):
+    """Scores token by token, and probabilities of the whole vocabulary and one unknown word a class that sum to one."""
+    train = docs.filter("crc32(cast(cast(doc_id AS string) AS binary)) % 7 <> 2").select("doc_id", "text")
+    counted = train.select("text").mapInArrow(language_model._count, "h long, ending int, c long").groupBy("h", "ending").sum("c").withColumnRenamed("sum(c)", "c")
+    v = language_model.vocabulary_of(counted)
+    w = language_model.fit(train, v)
+    vocabulary = {r.h % (1 << 64): (r.ending, r.c) for r in counted.collect()}
+    counts = {h: c for h, (_, c) in vocabulary.items()}
+    spot, probability = plain_model(v, w, counts)
+    got = by_id(language_model.score_documents(docs))
+    start, nowhere = int(language_model.START), language_model.CLASSES
+    for d in (1, 4, 10, 40, 54, 60, 90, 91):
+        raw = (dict(texts)[d] or "").encode()
+        t = language_model.tokens_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        one, two, c1, c2, score = start, start, nowhere, nowhere, 0.0
+        for h, ending in zip(t.hash.tolist(), t.ending.tolist(), strict=True):
+            score += math.log10(probability(h, ending, one, two, c1, c2))
+            one, two, c1, c2 = h, one, spot(h, ending)[0], c1
+        assert got[d].score == pytest.approx(score, rel=1e-5), d
+        unknown = range(language_model.OWN, language_model.CLASSES)  # one in each class
+        whole = sum(probability(h, e, one, two, c1, c2) for h, (e, _) in vocabulary.items()) + sum(probability(-k, k, one, two, c1, c2) for k in unknown)
+        assert whole == pytest.approx(1, abs=1e-5)
+
+
+def test_model_beats_shares_on_held_out_texts(spark):
+    """Texts whose words depend on the ones before score higher than under word shares alone."""
+    r = random.Random(21)
+    after = {f"w{k}": [f"w{(k * 7 + j) % 60}" for j in range(3)] for k in range(60)}
+
+    def chain(n):
+        out = ["w0"]
+        while len(out) < n:
+            out.append(r.choice(after[out[-1]]))
+        return " ".join(out)
+
+    rows = spark.createDataFrame([(k, chain(120)) for k in range(300)], "doc_id long, text string")
+    got = [x for x in language_model.score_documents(rows).collect() if x.held_out]
+    assert sum(x.score for x in got) > 0.8 * sum(x.base_score for x in got)
+
+
+def test_scores_do_not_depend_on_the_layout(docs):
+    """Other partitions, repeated rows and rows without an id: the same scores."""
+    more = docs.unionByName(docs.filter("doc_id IN (10, 90)")).unionByName(docs.filter("doc_id = 11").selectExpr("CAST(null AS long) AS doc_id", *docs.columns[1:]))
+    one, seven = (sorted((str(x.doc_id), x.score) for x in language_model.score_documents(more.repartition(n, "doc_id")).collect()) for n in (1, 7))
+    assert [d for d, _ in one] == [d for d, _ in seven]
+    assert [s for _, s in one] == pytest.approx([s for _, s in seven], rel=1e-6)
 
 
 def test_quality(docs, texts, none):
