@@ -7,13 +7,16 @@ a row start one after the other, so together they are one stretch of it, its con
 every passage of a row lies in exactly one context. The work is then
 
 1. anchors that occur once are dropped (counts by anchor hash, partial before the shuffle);
-2. a context that occurs twice repeats as a whole;
-3. of each other context the units are fetched, together with one copy of every different
-   context of the same anchor, and a solver marks the passages that start twice among them.
-   Contexts come sorted by anchor, in slices of bounded size; those of an anchor with more
-   different contexts than a slice takes go by a count of passage hashes instead;
-4. the covered stretches go back to their rows and are cut out there.
-
+2. of every other anchor the units of one copy of each different context are fetched, with
+   the number of times it occurs;
+3. a solver marks the passages that start twice among the contexts of an anchor, counting a
+   context that occurs more than once as a match of itself. Contexts come sorted by anchor,
+   in slices of bounded size. An anchor with more different contexts than LARGEST is cut
+   down by content first, to single passages, of which equal ones then lie together;
+4. what is marked goes to all places of its context, and is cut out there.
+
+Joins by anchor and by context spread a hot one over several tasks: what holds at least a
+4096th of all occurrences is listed (4096 rows at most, broadcast) with a number of salts.
 A row is known by a hash of doc_id and text: repeated rows are occurrences of their own
 and all get the same result.
 """
@@ -32,8 +35,11 @@ from mapfold.llm import textkit
 from mapfold.session import release, written
 
 U64 = np.uint64
-SLICE = 8_000  #: contexts that a solver gets at once, more only to complete an anchor
+SLICE = 1_000  #: contexts that a solver gets at once, more only to complete an anchor
 LARGEST = 20_000  #: contexts of one anchor that a solver gets
+RUN = 1 << 17  #: bytes of text handled at once, so that the arrays stay in the cache
+HOT = 4096  #: an anchor or a context is hot with one occurrence in so many
+SALTS = 256  #: tasks that the occurrences of an anchor in every place would go to
 _LOW = U64((1 << 24) - 1)
 
 
@@ -43,7 +49,7 @@ class Units:
     k: int  #: units of an anchor
     read: Callable  #: (bytes, row offsets) -> (values, row offsets in units)
     scatter: Callable  #: values -> 64-bit hashes of them
-    solve: Callable  #: (values, offsets of contexts, places of their anchors) -> flags: a repeated passage starts here
+    solve: Callable  #: (values, offsets of contexts, places of their anchors, groups by anchor, repeated as a whole) -> flags: a repeated passage starts here
 
 
 def contexts_of(hashes: np.ndarray, offsets: np.ndarray, units: Units) -> tuple[np.ndarray, ...]:
@@ -75,7 +81,7 @@ def _find(units: Units):
     def run(batches):
         for batch in batches:
             uid = batch.column("uid").to_numpy()
-            for lo, _, data, offsets in textkit.runs(batch):
+            for lo, _, data, offsets in textkit.runs(batch, limit=RUN):
                 values, offsets = units.read(data, offsets)
                 row, first, anchor, end, h1, h2 = contexts_of(units.scatter(values), offsets, units)
                 base = offsets[row] if len(row) else row
@@ -86,25 +92,32 @@ def _find(units: Units):
 
 
 def _fetch(units: Units):
-    """Contexts of each row with their units, from a list of places."""
+    """Contexts of each row with their units, from a list of places; once for rows that repeat one after the other."""
 
     def run(batches):
+        before = None
         for batch in batches:
+            uids = batch.column("uid").to_numpy()
+            fresh = np.ones(len(uids), bool)
+            fresh[1:] = uids[1:] != uids[:-1]
+            if len(uids):
+                fresh[0], before = uids[0] != before, uids[-1]
+            batch = batch.filter(pa.array(fresh))
             lists = batch.column("places")
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            field = {c: flat.field(c) for c in ("first", "anchor", "end", "h1", "n", "many")}
+            field = {c: flat.field(c) for c in ("first", "anchor", "end", "h1", "h2", "n")}
             first, anchor, end = (field[c].to_numpy() for c in ("first", "anchor", "end"))
             at = np.concatenate([[0], np.cumsum(sizes)])
-            uid = np.repeat(batch.column("uid").to_numpy(), sizes)
-            for lo, hi, data, offsets in textkit.runs(batch):
+            uid = np.repeat(uids[fresh], sizes)
+            for lo, hi, data, offsets in textkit.runs(batch, limit=RUN):
                 values, offsets = units.read(data, offsets)
                 a, b = at[lo], at[hi]
                 base = np.repeat(offsets[:-1], sizes[lo:hi])
                 raw = [values[x:y].tobytes() for x, y in zip((first[a:b] + base).tolist(), (end[a:b] + base).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [field["h1"][a:b], pa.array(uid[a:b]), pa.array(first[a:b]), pa.array(anchor[a:b] - first[a:b]), field["n"][a:b], field["many"][a:b], pa.array(raw, pa.binary())],
-                    ["h1", "uid", "first", "seed", "n", "many", "units"],
+                    [field["h1"][a:b], field["h2"][a:b], pa.array(uid[a:b]), pa.array(first[a:b]), pa.array(anchor[a:b] - first[a:b]), field["n"][a:b], pa.array(raw, pa.binary())],
+                    ["h1", "h2", "uid", "first", "seed", "n", "units"],
                 )
 
     return run
@@ -118,29 +131,38 @@ def _stretches(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return starts[np.concatenate([[0], gap + 1])], starts[np.append(gap, len(starts) - 1)] + length
 
 
+_SOLVED = "uid long, first int, end int, h1 long, h2 long"
+
+
 def _solve(units: Units, dtype):
-    """Stretches (uid, first, end) that repeat in contexts that occur once."""
+    """Stretches that repeat: (uid, first, end) in contexts that occur once, (h1, h2) for contexts that occur again as a whole."""
 
     def solved(held):
-        sizes = np.array([len(r[5]) for r in held]) // np.dtype(dtype).itemsize
+        sizes = np.array([len(r[6]) for r in held]) // np.dtype(dtype).itemsize
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        values = np.frombuffer(b"".join(r[5] for r in held), dtype)
-        flags = units.solve(values, offsets, np.array([r[3] for r in held]))
-        uid, first, end = [], [], []
+        values = np.frombuffer(b"".join(r[6] for r in held), dtype)
+        h1, again = np.array([r[0] for r in held]), np.array([r[5] > 1 for r in held])
+        groups = np.cumsum(np.concatenate([[0], h1[1:] != h1[:-1]]))
+        flags = units.solve(values, offsets, np.array([r[4] for r in held]), groups, again)
+        rows = []
         hits = np.flatnonzero(flags)
         ctx = np.searchsorted(offsets, hits, "right") - 1
         for c, starts in zip(np.unique(ctx).tolist(), np.split(hits, np.flatnonzero(np.diff(ctx)) + 1), strict=True) if len(hits) else ():
-            if held[c][4] == 1:
-                for a, b in zip(*_stretches(starts - offsets[c] + held[c][2], units.length), strict=True):
-                    uid.append(held[c][1])
-                    first.append(int(a))
-                    end.append(int(b))
-        return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(first, pa.int32()), pa.array(end, pa.int32())], ["uid", "first", "end"])
+            if again[c]:
+                rows.append((None, None, None, held[c][0], held[c][1]))
+                continue
+            for a, b in zip(*_stretches(starts - offsets[c] + held[c][3], units.length), strict=True):
+                rows.append((held[c][2], int(a), int(b), None, None))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["uid", "first", "end", "h1", "h2"])
 
     def run(batches):
         held = []
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("h1", "uid", "first", "seed", "n", "units")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "uid", "first", "seed", "n", "units")), strict=True):
+                if held and r[:2] == held[-1][:2]:
+                    continue  # the same context once more, from a repeated row
                 if len(held) >= SLICE and r[0] != held[-1][0]:
                     yield solved(held)
                     held = []
@@ -152,41 +174,78 @@ def _solve(units: Units, dtype):
 
 
 def _passages(units: Units, dtype):
-    """One row for each passage of a context."""
+    """Each passage of a context as a context of its own, with its place in there."""
 
     def run(batches):
         for batch in batches:
-            for uid, start, n, raw in zip(*(batch.column(c).to_pylist() for c in ("uid", "first", "n", "units")), strict=True):
+            for h1, h2, uid, start, n, raw in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "uid", "first", "n", "units")), strict=True):
                 pre = textkit.prefix(units.scatter(np.frombuffer(raw, dtype)))
                 at = np.arange(len(pre) - units.length)
-                one = lambda x, at=at: pa.array(np.full(len(at), x))
-                yield pa.RecordBatch.from_arrays([textkit.as_i64(textkit.span_hash(pre, at, at + units.length)), one(uid), pa.array((at + start).astype(np.int32)), one(n)], ["passage", "uid", "first", "n"])
+                one = lambda x, kind, at=at: pa.array(np.full(len(at), x, kind))
+                yield pa.RecordBatch.from_arrays(
+                    [textkit.as_i64(textkit.span_hash(pre, at, at + units.length)), one(h1, np.int64), one(h2, np.int64), one(uid, np.int64), pa.array((at + start).astype(np.int32)), one(n, np.int64)],
+                    ["passage", "h1", "h2", "uid", "first", "n"],
+                )
 
     return run
 
 
+def _salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """rows with a salt: 0, or one of those of their key if it is hot."""
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("salts")), F.lit(0))
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("salt", salt).drop("salts")
+
+
+def _spread(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """rows once for every salt of their key."""
+    salts = F.sequence(F.lit(0), (F.coalesce("salts", F.lit(1)) - 1).cast("int"))
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(salts)).withColumn("salt", F.col("salt").cast("long")).drop("salts")
+
+
 def repeated_stretches(source: DataFrame, units: Units, dtype) -> DataFrame:
     """(uid, places array of (first, end)) of the rows of source (uid, text) in which passages repeat."""
     found = source.mapInArrow(_find(units), "uid long, first int, anchor int, end int, h1 long, h2 long")
-    twice = found.groupBy("h1").agg(F.count("*").alias("k")).filter("k > 1").select("h1")
-    shared = written(found.join(twice, "h1"))
+    twice = written(found.groupBy("h1").agg(F.count("*").alias("k")).filter("k > 1"))
+    total = twice.agg(F.coalesce(F.sum("k"), F.lit(1))).first()[0]
+    salts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) * SALTS / total)).cast("long").alias("salts")
+    hot = twice.filter(F.col("k") * HOT > total).select("h1", salts("k"))
+    shared = written(_salted(found, hot, ["h1"], ["uid", "first"]).join(_spread(twice.select("h1"), hot, ["h1"]), ["h1", "salt"]).drop("salt"))
     release(source.sparkSession)
+
     contexts = written(shared.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "anchor", "end")).alias("at")))
-    settled = shared.join(contexts.filter("n > 1").select("h1", "h2"), ["h1", "h2"]).select("uid", "first", "end")
-    mixed = contexts.groupBy("h1").agg(F.count("*").alias("m")).filter("m > 1")
-    wanted = contexts.join(mixed, "h1").select("h1", "n", "at.*", (F.col("m") > LARGEST).alias("many"))
-    places = wanted.groupBy("uid").agg(F.collect_list(F.struct("first", "anchor", "end", "h1", "n", "many")).alias("places"))
-    # a repeated row fetches its contexts once for each repetition: they occur twice, so they
-    # are partners only, and a partner may be there more than once
-    fetched = written(source.join(places, "uid").select("uid", "text", "places").mapInArrow(_fetch(units), "h1 long, uid long, first int, seed int, n long, many boolean, units binary"))
+    many = written(contexts.groupBy("h1").agg(F.count("*").alias("m")).filter(F.col("m") > LARGEST).select("h1"))
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        places = wanted.select("h1", "h2", "n", "at.*").groupBy("uid").agg(F.collect_list(F.struct("first", "anchor", "end", "h1", "h2", "n")).alias("places"))
+        texts = source.join(places.hint("merge"), "uid").select("uid", "text", "places")
+        return texts.mapInArrow(_fetch(units), "h1 long, h2 long, uid long, first int, seed int, n long, units binary")
+
+    few, crowd = contexts, None
+    if not many.isEmpty():
+        marked = _salted(contexts, hot, ["h1"], ["h2"]).join(_spread(many.withColumn("many", F.lit(True)), hot, ["h1"]), ["h1", "salt"], "left").drop("salt")
+        few = marked.filter("many IS NULL").drop("many")
+        each = written(fetched(marked.filter("many").drop("many")).mapInArrow(_passages(units, dtype), "passage long, h1 long, h2 long, uid long, first int, n long"))
+        again = each.groupBy("passage").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter("k > 1 OR n > 1")
+        passed = _met_again(each, again)
+        once = passed.filter("n = 1").select("uid", "first", (F.col("first") + units.length).alias("end"), *[F.lit(None).cast("long").alias(c) for c in ("h1", "h2")])
+        whole = passed.filter("n > 1").select(*[F.lit(None).cast(t).alias(c) for c, t in (("uid", "long"), ("first", "int"), ("end", "int"))], "h1", "h2").distinct()
+        crowd = once.unionByName(whole)
+    solved = fetched(few).repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(_solve(units, dtype), _SOLVED)
+    solved = written(solved if crowd is None else solved.unionByName(crowd))
     release(source.sparkSession)
-    few = fetched.filter("NOT many").drop("many").repartition("h1").sortWithinPartitions("h1")
-    solved = few.mapInArrow(_solve(units, dtype), "uid long, first int, end int")
-    each = fetched.filter("many").mapInArrow(_passages(units, dtype), "passage long, uid long, first int, n long")
-    again = each.groupBy("passage").agg(F.count("*").alias("k")).filter("k > 1").select("passage")
-    crowd = each.filter("n = 1").join(again, "passage").select("uid", "first", (F.col("first") + units.length).alias("end"))
-    stretches = settled.unionByName(solved).unionByName(crowd)
-    return stretches.groupBy("uid").agg(F.collect_list(F.struct("first", "end")).alias("places"))
+
+    heavy = contexts.filter(F.col("n") * HOT > total).select("h1", "h2", salts("n"))
+    whole = _spread(solved.filter("h1 IS NOT NULL").select("h1", "h2"), heavy, ["h1", "h2"])
+    copies = _salted(shared, heavy, ["h1", "h2"], ["uid", "first"]).join(whole, ["h1", "h2", "salt"]).select("uid", "first", "end")
+    stretches = copies.unionByName(solved.filter("uid IS NOT NULL").select("uid", "first", "end"))
+    return stretches.groupBy("uid").agg(F.collect_set(F.struct("first", "end")).alias("places"))
+
+
+def _met_again(each: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows of passages that occur again; a hot passage is spread over several tasks."""
+    total = again.agg(F.coalesce(F.sum("k"), F.lit(1))).first()[0]
+    hot = again.filter(F.col("k") * HOT > total).select("passage", F.greatest(F.lit(1), F.ceil(F.col("k") * SALTS / total)).cast("long").alias("salts"))
+    return _salted(each, hot, ["passage"], ["uid", "first"]).join(_spread(again.select("passage"), hot, ["passage"]), ["passage", "salt"]).drop("salt")
 
 
 def covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:

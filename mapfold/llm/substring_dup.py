@@ -1,9 +1,11 @@
 """Repeated word passages by seed and extend.
 
 Documents meet on winnowed anchors of a few words (see repeats.py). Around a shared anchor
-each occurrence is extended to both sides: for every number of words a to the left, the
-occurrences that agree in those and in the rest to the right share a passage. The extents
-of all a together are the maximal repeats around the anchor; those over the threshold go.
+the occurrences are extended to both sides, word by word: for every number of words a to
+the left, those that agree in them are put in the order of what follows, and neighbours
+are compared over the words to the right. The extents of all a together are the maximal
+repeats around the anchor; those over the threshold go. A context that occurs more than
+once as a whole is there as one copy, and is a match of itself.
 """
 
 from __future__ import annotations
@@ -28,22 +30,34 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def extend_seeds(length: int):
-    def solve(values: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-        pre = textkit.prefix(values)
-        seed, end = offsets[:-1] + seeds, offsets[1:]
+    def solve(values: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, groups: np.ndarray, again: np.ndarray) -> np.ndarray:
+        seed, m = offsets[:-1] + seeds, len(seeds)
+        ahead = offsets[1:] - seed  #: words from the anchor on
+        width = int(ahead.max(initial=0))
+        at = np.minimum(seed[:, None] + np.arange(width), len(values) - 1)
+        right = np.where(np.arange(width) < ahead[:, None], values[at], U64(0))
+        order = np.argsort(right.astype(">u8").view(f"V{8 * width}").ravel()) if m else np.zeros(0, np.int64)
+        rank = np.empty(m, np.int64)
+        rank[order] = np.arange(m)
         flags = np.zeros(len(values), bool)
+        left = groups  # what agrees in the anchor and the words before it
         for a in range(int(seeds.max(initial=0)) + 1):
-            # left extension by a words, right extension by the rest
-            can = np.flatnonzero((seeds >= a) & (seed - a + length <= end))
-            left = textkit.span_hash(pre, seed[can] - a, seed[can])
-            right = textkit.span_hash(pre, seed[can], seed[can] - a + length)
-            both = textkit.mix(left * U64(3) + right)
-            order = np.argsort(both)
-            same = both[order][1:] == both[order][:-1]
-            agree = np.zeros(len(can), bool)
-            agree[order[1:][same]] = True
-            agree[order[:-1][same]] = True
-            flags[seed[can[agree]] - a] = True
+            need = length - a
+            if a:
+                word = np.where(seeds >= a, values[np.maximum(seed - a, 0)], U64(0))
+                by = np.lexsort((word, left))
+                new = np.concatenate([[False], (left[by][1:] != left[by][:-1]) | (word[by][1:] != word[by][:-1])])
+                left = np.empty(m, np.int64)
+                left[by] = np.cumsum(new)
+            can = np.flatnonzero((seeds >= a) & (ahead >= need))
+            can = can[np.lexsort((rank[can], left[can]))]
+            x, y = can[:-1], can[1:]
+            same = left[x] == left[y]
+            x, y = x[same], y[same]
+            agree = (right[x, :need] == right[y, :need]).all(1)
+            flags[seed[x[agree]] - a] = True
+            flags[seed[y[agree]] - a] = True
+            flags[seed[can[again[can]]] - a] = True
         return flags
 
     return solve

@@ -1,12 +1,13 @@
 """Repeated byte strings through a run-length index.
 
-The contexts of a slice (see repeats.py) form one text, closed by separators. Its
-Burrows-Wheeler transform is kept as runs, with the text positions of both ends of every
-run as samples. Matching statistics then stream over the text: only where a run begins or
-ends is a match with the neighbour in suffix order measured, and from there its length
-goes down by one with each byte, as inside a run the neighbours move together. A position
-whose match is long enough starts a string that starts elsewhere too. The more repetitive
-the text, the fewer runs and measurements.
+The contexts of a slice (see repeats.py) form one text, closed by separators; a context
+that occurs more than once is there as one copy. Of the text's Burrows-Wheeler transform
+only the runs are kept, as the text positions of both ends of every run. Matching
+statistics then stream over the text: only where a run begins or ends is a match with the
+neighbour in suffix order measured, and from there its length goes down by one with each
+byte, as inside a run the neighbours move together. A position whose match is long enough
+starts a string that starts elsewhere too. The more repetitive the text, the fewer runs
+and measurements.
 """
 
 from __future__ import annotations
@@ -26,24 +27,33 @@ U64 = np.uint64
 END = 0xFF  # a byte that UTF-8 never has
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Positions in the order of their suffixes, by doubling from packed words of 8 bytes; settled ones drop out."""
+def packed(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, zeros behind the end."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, U64)
     for j in range(8):
         key = key << U64(8) | padded[j : j + n].astype(U64)
-    order = np.argsort(key)
-    key = key[order]
+    return key
+
+
+def suffix_order(text: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Positions in the order of their suffixes: by 8 bytes, then three ranks at once; settled ones drop out."""
+    n = len(text)
+    order = np.argsort(words)
+    key = words[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     open_ = order[~(new & np.append(new[1:], True))]  # suffixes that share their rank with others
-    step = 8
+    step, ranks = 8, 3 if n < 1 << 20 else 2
     while len(open_):
-        old, after = rank[open_], open_ + step
-        # past the end the shorter suffix comes first: padding can't tell it from zero bytes
-        key = old * (n + 10) + np.where(after < n, rank[np.minimum(after, n - 1)] + 9, np.maximum(0, n + 8 - after))
+        old = rank[open_]
+        key = old
+        for k in range(1, ranks):
+            # past the end the shorter suffix comes first: padding can't tell it from zero bytes
+            after = open_ + k * step
+            key = key * (n + 10 + step) + np.where(after < n, rank[np.minimum(after, n - 1)] + 9 + step, np.maximum(0, n + 8 + step - after))
         by = np.argsort(key)
         open_, old, key = open_[by], old[by], key[by]
         at = np.arange(len(open_))
@@ -51,63 +61,61 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         group = np.concatenate([[True], old[1:] != old[:-1]])
         rank[open_] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
         open_ = open_[~(new & np.append(new[1:], True))]
-        step *= 2
+        step *= ranks
     order[rank] = np.arange(n)
     return order
 
 
 class RunIndex:
-    """Run-length Burrows-Wheeler transform with the positions at run ends."""
+    """The ends of the runs of the Burrows-Wheeler transform, as text positions."""
 
     def __init__(self, text: np.ndarray):
-        order = suffix_order(text)
+        self.size, self.words = len(text), packed(text)
+        order = suffix_order(text, self.words)
         last = text[order - 1].astype(np.int16)
         last[order == 0] = -1
-        begins = np.concatenate([[True], last[1:] != last[:-1]])
-        self.symbols = last[begins]
-        self.lengths = np.diff(np.append(np.flatnonzero(begins), len(last)))
+        begins = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
         self.heads = order[begins]  #: position at the start of each run
-        self.tails = order[np.append(np.flatnonzero(begins)[1:] - 1, len(last) - 1)]  #: and at its end
-        self.text = text
+        self.tails = order[np.append(begins[1:] - 1, len(last) - 1)]  #: and at its end
 
     def _measure(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at a and b."""
-        text = np.concatenate([self.text, np.zeros(8, np.uint8)])
-        words = np.lib.stride_tricks.as_strided(text, (len(self.text) + 1, 8), (1, 1))
         size = np.zeros(len(a), np.int64)
         open_ = np.arange(len(a))
-        n = len(self.text)
         while len(open_):
             x, y = a[open_] + size[open_], b[open_] + size[open_]
-            inside = np.maximum(x, y) < n
+            inside = np.maximum(x, y) < self.size
             open_, x, y = open_[inside], x[inside], y[inside]
-            same = words[x] == words[y]
-            run = np.where(same.all(1), 8, same.argmin(1))
-            run = np.minimum(run, n - np.maximum(x, y))
+            differ = self.words[x] ^ self.words[y]
+            run = np.full(len(open_), 8)
+            for k in range(8):
+                run -= differ >= U64(1 << 8 * k)
+            run = np.minimum(run, self.size - np.maximum(x, y))
             size[open_] += run
             open_ = open_[run == 8]
         return size
 
     def matching_statistics(self) -> np.ndarray:
         """For each position the length of its longest match that starts elsewhere."""
-        n, at = len(self.text), np.arange(len(self.text))
-        best = np.zeros(n, np.int64)
-        for own, other in ((self.heads[1:], self.tails[:-1]), (self.tails[:-1], self.heads[1:])):
-            reach = np.zeros(n, np.int64)
-            reach[own] = self._measure(own, other) + own
-            best = np.maximum(best, np.maximum.accumulate(reach) - at)
-        return best
+        at = np.arange(self.size)
+        own = np.concatenate([self.heads[1:], self.tails[:-1]])
+        size = self._measure(self.heads[1:], self.tails[:-1])
+        reach = np.zeros(self.size, np.int64)
+        np.maximum.at(reach, own, np.tile(size, 2) + own)
+        return np.maximum(0, np.maximum.accumulate(reach) - at)
 
 
 def mark_long_matches(length: int):
-    def solve(values: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    def solve(values: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, groups: np.ndarray, again: np.ndarray) -> np.ndarray:
         n, parts = len(values), len(offsets) - 1
         text = np.full(n + parts, END, np.uint8)
-        place = np.arange(n) + np.repeat(np.arange(parts), np.diff(offsets))
+        sizes = np.diff(offsets)
+        place = np.arange(n) + np.repeat(np.arange(parts), sizes)
         text[place] = values
         match = RunIndex(text).matching_statistics()[place]
-        left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)  # no match counts past its context
-        return np.minimum(match, left) >= length
+        left = np.repeat(offsets[1:], sizes) - np.arange(n)  # no match counts past its context
+        # a context with a copy of itself elsewhere matches that to its end
+        return np.where(np.repeat(again, sizes), left, np.minimum(match, left)) >= length
 
     return solve
 

@@ -118,13 +118,34 @@ def test_repeats_of_repeated_rows(spark):
     assert sorted(r.n_removed for r in suffix_dup.remove_repeats(rows).collect()) == [0, len(t), len(t)]
 
 
+@pytest.mark.parametrize("largest", [20_000, 1])
+def test_repeats_of_ten_thousand_identical_rows(spark, monkeypatch, largest):
+    """The work grows with the rows, not with their pairs; hot anchors and contexts are spread."""
+    monkeypatch.setattr(repeats, "LARGEST", largest)
+    t = " ".join(f"w{k}" for k in range(90))
+    part = t[t.index("w20") :]
+    rows = spark.range(10_000).selectExpr("CAST(7 AS long) AS doc_id", f"'{t}' AS text").unionByName(spark.createDataFrame([(None, t + " more"), (None, t + " more"), (8, part)], "doc_id long, text string")).repartition(4)
+    assert Counter(r.n_removed for r in suffix_dup.remove_repeats(rows).collect()) == Counter({len(t): 10_000, len(t) + 5: 2, len(part): 1})
+    assert Counter(r.n_removed for r in substring_dup.remove_passages(rows).collect()) == Counter({90: 10_000, 91: 2, 70: 1})
+
+
+@pytest.mark.parametrize("module", ["suffix_dup", "substring_dup"])
+def test_every_removed_stretch_comes_from_the_solver(docs, monkeypatch, module):
+    """With a solver that marks nothing, nothing is removed."""
+    blind = lambda length: lambda values, *rest: np.zeros(len(values), bool)
+    monkeypatch.setattr(suffix_dup, "mark_long_matches", blind)
+    monkeypatch.setattr(substring_dup, "extend_seeds", blind)
+    out = suffix_dup.remove_repeats(docs) if module == "suffix_dup" else substring_dup.remove_passages(docs)
+    assert sum(r.n_removed for r in out.collect()) == 0
+
+
 def test_suffix_order_and_statistics():
     r = np.random.default_rng(1)
     for n in (1, 2, 9, 60, 300):
         for letters in (1, 2, 200):
             t = r.integers(0, letters, n).astype(np.uint8)
             b = t.tobytes()
-            assert suffix_dup.suffix_order(t).tolist() == sorted(range(n), key=lambda i: b[i:])
+            assert suffix_dup.suffix_order(t, suffix_dup.packed(t)).tolist() == sorted(range(n), key=lambda i: b[i:])
             match = suffix_dup.RunIndex(t).matching_statistics()
             for i in range(0, n, 7):
                 best = max((next((k for k in range(n) if i + k >= n or j + k >= n or b[i + k] != b[j + k]), n) for j in range(n) if j != i), default=0)
