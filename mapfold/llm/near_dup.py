@@ -119,17 +119,16 @@ def _sketches(batches):
 def _plausible(percent: int):
     """Pairs of a bucket's block that stand in different components and may be similar enough.
 
-    Rows come sorted by pivot, block pair and bucket, so one bucket's block pair is held at a
-    time, and a pair that many buckets of a pivot share is told once. Sizes bound the
-    similarity exactly. A sketch samples one member of each filled bin without putting back,
-    which gives the deviation of the estimate; pairs five deviations under the threshold are
-    let go, fewer than one in a million of those at it.
+    Rows come sorted by bucket and block pair, so one block pair of one bucket is held at a
+    time. Sizes bound the similarity exactly. A sketch samples one member of each filled bin
+    without putting back, which gives the deviation of the estimate; pairs five deviations
+    under the threshold are let go, fewer than one in a million of those at it.
     """
     share = percent / 100
 
     def pairs(rows):
-        ids, labels, side, size = (np.array([r[k] for r in rows]) for k in (2, 3, 4, 5))
-        bins = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+        ids, labels, side, size = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+        bins = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
         left = np.flatnonzero(side == side.min())
         right = np.flatnonzero(side == side.max())
         for i in left:
@@ -148,28 +147,31 @@ def _plausible(percent: int):
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     def run(batches):
-        held, name, pivot, told = [], None, None, set()
+        held, name = [], None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("pivot", "name", "node", "label", "side", "size", "sketch")]
+            columns = [batch.column(c).to_pylist() for c in ("name", "node", "label", "side", "size", "sketch")]
             for row in zip(*columns, strict=True):
-                if row[1] != name:
+                if row[0] != name:
                     if len(held) > 1:
-                        new = set(pairs(held)) - told
-                        told |= new
-                        yield emit(list(new))
-                    if row[0] != pivot or len(told) > 1_000_000:
-                        pivot, told = row[0], set()
-                    held, name = [], row[1]
+                        yield emit(list(set(pairs(held))))
+                    held, name = [], row[0]
                 held.append(row)
         if len(held) > 1:
-            yield emit(list(set(pairs(held)) - told))
+            yield emit(list(set(pairs(held))))
 
     return run
 
 
 def _sets(batches):
+    """The set of each node; once for repeated rows, which come one after the other."""
+    before = None
     for batch in batches:
-        out = []
+        nodes = batch.column("node").to_numpy()
+        fresh = np.ones(len(nodes), bool)
+        fresh[1:] = nodes[1:] != nodes[:-1]
+        if len(nodes):
+            fresh[0], before = nodes[0] != before, nodes[-1]
+        batch, out = batch.filter(pa.array(fresh)), []
         for _, _, data, offsets in textkit.runs(batch):
             out += [s.tobytes() for s in shingle_sets(data, offsets)]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "shingles"])
@@ -245,15 +247,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     labels = connected_components(links)
     labelled = member.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key").join(pivot.withColumnRenamed("a", "pivot"), "key")
+    split = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     open_rows = labelled.join(split, "key").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first, second = F.least("side", "other"), F.greatest("side", "other")
-    # buckets of one pivot lie together, the block pairs of large ones apart
-    open_rows = open_rows.select("pivot", F.concat_ws(".", first, second, "key").alias("name"), F.xxhash64("pivot", first, second).alias("spread"), "node", "label", "side")
+    # every bucket and every block pair of a large one by itself
+    open_rows = open_rows.select(F.concat_ws(".", first, second, "key").alias("name"), F.xxhash64("key", first, second).alias("spread"), "node", "label", "side")
     fine = sets.join(open_rows.select("node").distinct(), "node").mapInArrow(_sketches, "node long, size long, sketch binary")
-    open_rows = open_rows.join(fine, "node").repartition(F.col("spread")).sortWithinPartitions("pivot", "name").select("pivot", "name", "node", "label", "side", "size", "sketch")
+    open_rows = open_rows.join(fine, "node").repartition(F.col("spread")).sortWithinPartitions("name").select("name", "node", "label", "side", "size", "sketch")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     release(docs.sparkSession)
     further = written(open_rows.mapInArrow(_plausible(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))

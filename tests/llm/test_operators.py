@@ -88,6 +88,30 @@ def test_near_duplicates_of_repeated_and_nameless_rows(spark):
     assert Counter(got) == Counter([(7, 7, True), (7, 7, True), (None, 7, False), (None, None, True), (3, 3, True), (3, 3, True)])
 
 
+@pytest.mark.parametrize("words", [120, 900])
+def test_near_duplicates_at_the_threshold(spark, words):
+    """Planted pairs of similarity 0.75 to 0.80, at two sizes: all are linked, and none just below."""
+    r = random.Random(words)
+    docs, want = [], {}
+    for k in range(150):
+        base = [f"w{r.randrange(10**9)}" for _ in range(words)]
+        n = words - 4
+        below = k % 5 == 0
+        lost = math.ceil(n * 0.27 / 1.73) if below else math.floor(n * r.uniform(0.2, 0.25) / (2 - r.uniform(0.2, 0.25)))
+        lost = lost if below else min(lost, math.floor(n * 0.25 / 1.75))
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-lost] + [f"x{r.randrange(10**9)}" for _ in range(lost)]))]
+        want[2 * k + 1] = 2 * k + 1 if below else 2 * k
+    assert {d: c for d, (_, c) in brute.near(docs[:40]).items() if d % 2} == {d: want[d] for d in range(1, 40, 2)}
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert {d: got[d].component_id for d in want} == want
+
+
+def test_near_duplicates_of_many_repeated_rows(spark):
+    t = " ".join(f"w{k}" for k in range(40))
+    rows = spark.range(3000).selectExpr("CAST(5 AS long) AS doc_id", f"'{t}' AS text").unionByName(spark.createDataFrame([(6, t + " x y"), (4, "other words that are not in there")], "doc_id long, text string"))
+    assert Counter((r.doc_id, r.component_id) for r in near_dup.near_duplicates(rows).collect()) == Counter({(5, 5): 3000, (6, 5): 1, (4, 4): 1})
+
+
 @pytest.mark.parametrize("largest", [20_000, 1])
 def test_byte_repeats(docs, texts, none, monkeypatch, largest):
     monkeypatch.setattr(repeats, "LARGEST", largest)
