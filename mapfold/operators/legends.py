@@ -160,3 +160,8 @@ def not_digits(text: Column) -> Column:
 def data_keys(df: DataFrame, key: str = "key") -> DataFrame:
     """Legend keys that are boxes and not metadata: they hold a comma (FLT8)."""
     return df.filter(F.col(key).contains(","))
+
+
+def with_statistics(tiles: DataFrame, statistics: DataFrame, name: str) -> DataFrame:
+    """Tiles with the statistics of the key of their name (JN27). statistics: key and vectors."""
+    return tiles.join(statistics.withColumnRenamed("key", name), name)

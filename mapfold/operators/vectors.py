@@ -165,14 +165,29 @@ def same_area(rows: DataFrame) -> DataFrame:
 
 
 def split_share(rows: DataFrame, id_col: str, share: float, seed: int = 1) -> DataFrame:
-    """rows with validation true for about share of the ids, the same ones every time (SMP3)."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    """rows with validation true for about share of the ids, the same ones every time and in every engine (SMP3)."""
+    u = F.conv(F.substring(_digest(id_col, seed), 1, 8), 16, 10).cast("long") / float(1 << 32)
     return rows.withColumn("validation", u < share)
 
 
+def _digest(column: str, seed: int) -> Column:
+    return F.md5(F.concat(F.col(column).cast("string"), F.lit(f"/{seed}")).cast("binary"))
+
+
 def folds(rows: DataFrame, map_col: str, k: int, seed: int = 1) -> DataFrame:
-    """rows with the fold of their map and the fold before it as validation (SMP4)."""
-    maps = rows.select(map_col).distinct().withColumn("fold", F.ntile(k).over(Window.orderBy(F.xxhash64(F.col(map_col), F.lit(seed)))) - 1)
+    """rows with the fold of their map and the fold after it as validation (SMP4).
+
+    Maps are dealt by the rank of a digest: the first folds take one map more where k does
+    not divide their number. Ranks are counted within 4,096 ranges of the digest.
+    """
+    maps = rows.select(map_col).distinct().withColumn("_rank", _digest(map_col, seed)).withColumn("_range", F.substring("_rank", 1, 3))
+    counts = maps.groupBy("_range").agg(F.count("*").alias("_n"))  # 4,096 rows at most
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = F.broadcast(counts.agg(F.sum("_n").alias("_total")))
+    placed = maps.join(F.broadcast(before.drop("_n")), "_range").withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("_rank")) - 1).join(total)
+    size, more = F.floor(F.col("_total") / k), F.col("_total") % k
+    fold = F.when(F.col("_at") < more * (size + 1), F.floor(F.col("_at") / (size + 1))).otherwise(more + F.floor(F.try_divide(F.col("_at") - more * (size + 1), size)))
+    maps = placed.select(map_col, fold.cast("int").alias("fold"))
     return rows.join(maps, map_col).withColumn("validation_fold", (F.col("fold") + 1) % k)
 
 

@@ -36,10 +36,9 @@ def unreadable(spark: SparkSession, path: str) -> DataFrame:
 
 
 def patches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Patch predictions with map, row and column from names like map_row_col.json (SRC2, TXT24)."""
+    """Patch predictions with map, row and column from names like map_row_col.json, of files or of folders key=name (SRC2, TXT24)."""
     rows = spark.read.json(path, schema=schema, multiLine=True).withColumn("file", F.input_file_name())
-    name = F.element_at(F.split("file", "/"), -1)
-    part = lambda k: F.regexp_extract(name, r"^(.*)_(\d+)_(\d+)\.json$", k)
+    part = lambda k: F.regexp_extract("file", r"(?:^|[/=])([^/=]*)_(\d+)_(\d+)\.json(?:/|$)", k)
     return rows.withColumns({"map_name": part(1), "patch_row": part(2).cast("int"), "patch_col": part(3).cast("int")})
 
 
@@ -105,7 +104,8 @@ def descriptions(rows: DataFrame) -> DataFrame:
 
 def osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, lat, lon; links: way_id, a, b in both directions) of an OSM extract (SRC12)."""
-    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id long, _lat double, _lon double").load(path).toDF("id", "lat", "lon")
+    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id long, _lat double, _lon double").load(path)
+    nodes = nodes.select(F.col("_id").alias("id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
     ways = spark.read.format("xml").option("rowTag", "way").schema("_id long, nd array<struct<_ref:long>>").load(path)
     refs = ways.select(F.col("_id").alias("way_id"), F.posexplode("nd").alias("pos", "nd")).select("way_id", "pos", F.col("nd._ref").alias("a"))
     w = Window.partitionBy("way_id").orderBy("pos")
