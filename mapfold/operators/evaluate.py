@@ -19,14 +19,15 @@ def f_score(tp: Column, predicted: Column, actual: Column) -> tuple[Column, Colu
     return p, r, F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def greedy_one_to_one(pairs: DataFrame, group: list[str], left: str, right: str, cost: list[str], rounds: int = 200) -> DataFrame:
+def greedy_one_to_one(pairs: DataFrame, group: list[str], left: str, right: str, cost: list[str], rounds: int = 12) -> DataFrame:
     """The pairs a greedy pass in order of (cost, left, right) takes, each side once (EVL1, EVL9).
 
     A pair that is first for both its ends is taken by the greedy pass, so rounds of
-    mutual firsts give the same result; each round removes what they touch.
+    mutual firsts give the same result; each round removes what they touch. What long
+    chains of falling costs leave after some rounds is finished component by component.
     """
     order = [*cost, left, right]
-    rest, taken = cut(pairs), None
+    rest, taken = cut(pairs.select(*group, *order)), None
     for _ in range(rounds):
         first = F.struct(*order)
         by_left = rest.groupBy(*group, left).agg(F.min(first).alias("m")).select(*group, "m.*")
@@ -36,7 +37,29 @@ def greedy_one_to_one(pairs: DataFrame, group: list[str], left: str, right: str,
             return taken if taken is not None else now
         taken = now if taken is None else taken.unionByName(now)
         rest = cut(rest.join(now.select(*group, left), [*group, left], "left_anti").join(now.select(*group, right), [*group, right], "left_anti"))
-    raise RuntimeError(f"matching did not settle in {rounds} rounds")
+    return taken.unionByName(_greedy_by_component(rest, group, left, right, order).select(*taken.columns))
+
+
+def _greedy_by_component(rest: DataFrame, group: list[str], left: str, right: str, order: list[str]) -> DataFrame:
+    """The same pass over pairs that hang together, one component at a time."""
+    node = lambda side, c: F.xxhash64(F.lit(side), *group, c)
+    marked = rest.withColumns({"_l": node("l", left), "_r": node("r", right)})
+    components = connected_components(marked.select(F.col("_l").alias("a"), F.col("_r").alias("b")))
+    marked = marked.join(components.select(F.col("node").alias("_l"), "component"), "_l")
+    ranked = marked.withColumn("_n", F.row_number().over(Window.partitionBy("component").orderBy(*order)))
+
+    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
+        used: set[int] = set()
+        keep = []
+        for n, (a, b) in enumerate(zip(*(pdf.sort_values("_n")[c].tolist() for c in ("_l", "_r")), strict=True), 1):
+            if a not in used and b not in used:
+                used |= {a, b}
+                keep.append(n)
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "_n": keep})
+
+    ranked = cut(ranked)
+    kept = ranked.select("component", "_n", "_l", "_r").groupBy("component").applyInPandas(passed, "component long, _n int")
+    return ranked.join(kept, ["component", "_n"], "left_semi").select(*group, *order)
 
 
 def pixel_f_score(true: DataFrame, pred: DataFrame, reach: int, sizes: DataFrame) -> DataFrame:
@@ -123,7 +146,7 @@ def _match_image(iou_thresholds: tuple[float, ...], most: int):
 
 
 def detection_curve(boxes: DataFrame, thresholds: tuple[float, ...] = (0.5,), most: int = 100) -> DataFrame:
-    """Ranked detections with running precision and recall and the envelope of precision (EVL4, WIN11, WIN12, WIN15).
+    """Of each image and class the `most` best detections count, as the measure itself has it (WIN15); ranked detections with running precision and recall and the envelope of precision (EVL4, WIN11, WIN12, WIN15).
 
     boxes: image_id, class, box_id, is_det, score, ignore, xmin, ymin, xmax, ymax. Matching
     is by image and class, which is one tile's boxes; the curve is windows over all images.
@@ -212,22 +235,100 @@ def simple_topo(true_points: DataFrame, pred_points: DataFrame, threshold: float
     return per.groupBy("map_id").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
 
 
-def topo_one_to_one(true_points: DataFrame, pred_points: DataFrame, threshold: float, angle: float = 0.29) -> DataFrame:
-    """Matched walk points, one to one by distance and direction, averaged over starts (EVL8, EVL9). Points with dx, dy."""
+def _walk_pairs(true_points: DataFrame, pred_points: DataFrame, threshold: float, angle: float) -> DataFrame:
+    """(map_id, start, t, p, d, apart): walk points of a start closer than threshold with directions that agree."""
     keys = ["map_id", "start"]
     mark = lambda df, p: df.select(*keys, *[F.col(c).alias(p + c) for c in ("x", "y", "dx", "dy")])
     box = lambda p: (F.col(p + "x"), F.col(p + "y"), F.col(p + "x"), F.col(p + "y"))
     near = cell_join(mark(true_points, "t"), mark(pred_points, "p"), keys, box("t"), box("p"), threshold, threshold)
     near = near.withColumn("d", G.distance(F.col("tx"), F.col("ty"), F.col("px"), F.col("py"))).filter(F.col("d") <= threshold)
-    near = near.filter(1 - F.abs(G.direction_cosine(F.col("tdx"), F.col("tdy"), F.col("pdx"), F.col("pdy"))) < angle)
-    pairs = near.select(*keys, "d", F.struct("tx", "ty").alias("t"), F.struct("px", "py").alias("p")).groupBy(*keys, "t", "p").agg(F.min("d").alias("d"))
-    hits = greedy_one_to_one(pairs, keys, "t", "p", ["d"]).groupBy(*keys).agg(F.count("*").alias("hit"))
+    near = near.withColumn("apart", 1 - F.abs(G.direction_cosine(F.col("tdx"), F.col("tdy"), F.col("pdx"), F.col("pdy")))).filter(F.col("apart") < angle)
+    pairs = near.select(*keys, F.struct("tx", "ty").alias("t"), F.struct("px", "py").alias("p"), F.struct("d", "apart").alias("m"))
+    return pairs.groupBy(*keys, "t", "p").agg(F.min("m").alias("m")).select(*keys, "t", "p", "m.*")
+
+
+def maximum_matching(pairs: list[tuple]) -> int:
+    """The most pairs that share no end, by augmenting paths."""
+    options: dict = {}
+    for a, b in pairs:
+        options.setdefault(a, []).append(b)
+    owner: dict = {}
+    for root in options:
+        # breadth first over alternating paths from a free left end
+        came, queue, free = {}, [root], None
+        for a in queue:
+            for b in options[a]:
+                if b not in came:
+                    came[b] = a
+                    if b not in owner:
+                        free = b
+                        break
+                    queue.append(owner[b])
+            if free is not None:
+                break
+        while free is not None:
+            a = came[free]
+            before = next((b for b, x in owner.items() if x == a), None) if a != root else None
+            owner[free] = a
+            free = before
+    return len(owner)
+
+
+def topo_one_to_one(true_points: DataFrame, pred_points: DataFrame, threshold: float, angle: float = 0.29) -> DataFrame:
+    """Precision and recall of walk points under a maximum one-to-one matching in each start, averaged over starts (EVL8).
+
+    Points: map_id, start, x, y, dx, dy. The points of a start are those of one bounded walk.
+    """
+    keys = ["map_id", "start"]
+
+    def most(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"map_id": pdf["map_id"].iloc[:1], "start": pdf["start"].iloc[:1], "hit": [maximum_matching(list(zip(pdf["a"], pdf["b"], strict=True)))]})
+
+    pairs = _walk_pairs(true_points, pred_points, threshold, angle).select(*keys, F.xxhash64("t").alias("a"), F.xxhash64("p").alias("b"))
+    hits = pairs.groupBy(*keys).applyInPandas(most, f"map_id long, start {dict(pairs.dtypes)['start']}, hit long")
     count = lambda df, name: df.select(*keys, "x", "y").distinct().groupBy(*keys).agg(F.count("*").alias(name))
     per = count(true_points, "nt").join(count(pred_points, "np"), keys, "full").join(hits, keys, "left").fillna(0)
     p, r, _ = f_score(F.col("hit"), F.col("np"), F.col("nt"))
     return per.select(*keys, p.alias("precision"), r.alias("recall")).groupBy("map_id").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
 
 
+def soft_topo(true_points: DataFrame, pred_points: DataFrame, threshold: float, angle: float = 0.3) -> DataFrame:
+    """(map_id, score, f1): greedy one-to-one matching by a soft cost in each start (EVL9).
+
+    A pair costs 1.5 times what its distance has over a third of the threshold, and half the
+    threshold times how far its directions are apart; an unmatched point costs 1.15
+    thresholds. Smooth precision and recall are one less the share of the most it could
+    cost; score sums the cost of predicted points over starts, f1 is the mean over starts.
+    """
+    keys = ["map_id", "start"]
+    pairs = _walk_pairs(true_points, pred_points, threshold, angle).filter(F.col("d") < threshold)
+    cost = F.greatest(F.lit(0.0), 1.5 * (F.col("d") - threshold / 3)) + F.col("apart") * threshold * 0.5
+    taken = greedy_one_to_one(pairs.withColumn("c", cost), keys, "t", "p", ["c"]).groupBy(*keys).agg(F.sum("c").alias("cost"), F.count("*").alias("hit"))
+    count = lambda df, name: df.select(*keys, "x", "y").distinct().groupBy(*keys).agg(F.count("*").alias(name))
+    per = count(true_points, "nt").join(count(pred_points, "np"), keys, "left").join(taken, keys, "left").fillna(0)
+    lone = threshold * 1.15
+    smooth = lambda n: 1 - F.try_divide(F.col("cost") + (F.col(n) - F.col("hit")) * lone, F.col(n) * lone)
+    p, r = F.coalesce(smooth("np"), F.lit(0.0)), F.coalesce(smooth("nt"), F.lit(0.0))
+    per = per.withColumns({"_p": p, "_r": r, "_s": F.col("cost") + (F.col("np") - F.col("hit")) * lone})
+    f = F.when(F.col("np") == 0, 0.0).otherwise(F.coalesce(F.try_divide(2 * F.col("_p") * F.col("_r"), F.col("_p") + F.col("_r")), F.lit(0.0)))
+    return per.groupBy("map_id").agg(F.sum("_s").alias("score"), F.avg(f).alias("f1"))
+
+
+def results_table(scores: DataFrame, folds: DataFrame) -> DataFrame:
+    """Scores by (fold, map, key) with the means of each fold and of all, keys null (EVL14). scores: map_id, key, precision, recall, f1; folds: map_id, fold."""
+    rows = scores.join(folds, "map_id")
+    measures = ("precision", "recall", "f1")
+    means = rows.rollup("fold").agg(*[F.avg(c).alias(c) for c in measures])
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    kinds = dict(rows.dtypes)
+    return rows.select("fold", "map_id", "key", *measures).unionByName(means.select("fold", none(kinds["map_id"], "map_id"), none(kinds["key"], "key"), *measures))
+
+
+def stage_times(runs: DataFrame) -> DataFrame:
+    """(stage, runs, seconds, longest): times of stages over maps (EVL15). runs: stage, seconds."""
+    return runs.groupBy("stage").agg(F.count("*").alias("runs"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("longest"))
+
+
 def street_mover(a: DataFrame, b: DataFrame, epsilon: float = 0.1, rounds: int = 20, stop: float = 1e-3) -> DataFrame:
     """(pair_id, cost): entropic transport between two clouds of each pair (EVL11). a, b: pair_id, k, x, y.
 

@@ -78,7 +78,7 @@ def hops(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def bounded_distances(edges: DataFrame, starts: DataFrame, reach: float, rounds: int = 30) -> DataFrame:
+def bounded_distances(edges: DataFrame, starts: DataFrame, reach: float) -> DataFrame:
     """(map_id, start, node, distance): network distances up to reach from every start at once (GRF15, GRF16).
 
     edges: map_id, u, v, length. Each round relaxes the edges out of nodes whose distance
@@ -88,14 +88,13 @@ def bounded_distances(edges: DataFrame, starts: DataFrame, reach: float, rounds:
     links = edges.select(*keys).unionByName(edges.select("map_id", F.col("v").alias("u"), F.col("u").alias("v"), "length"))
     best = cut(starts.select("map_id", "start", F.col("start").alias("node"), F.lit(0.0).alias("distance")))
     front = best
-    for _ in range(rounds):
+    while True:
         step = front.join(links.withColumnRenamed("u", "node"), ["map_id", "node"]).select("map_id", "start", F.col("v").alias("node"), (F.col("distance") + F.col("length")).alias("d"))
         step = step.filter(F.col("d") <= reach).groupBy("map_id", "start", "node").agg(F.min("d").alias("d"))
         front = cut(step.join(best, ["map_id", "start", "node"], "left").filter(F.col("distance").isNull() | (F.col("d") < F.col("distance") - 1e-12)).select("map_id", "start", "node", F.col("d").alias("distance")))
         if front.isEmpty():
             return best
         best = cut(best.unionByName(front).groupBy("map_id", "start", "node").agg(F.min("distance").alias("distance")))
-    raise RuntimeError(f"distances did not settle in {rounds} rounds")
 
 
 def walk_points(distances: DataFrame, edges: DataFrame, reach: float, step: float) -> DataFrame:

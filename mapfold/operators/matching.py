@@ -67,19 +67,29 @@ def pair_tfidf(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot, norm(wa, wb) * norm(wb, wa)), F.lit(0.0))
 
 
+def _fixed(rows: DataFrame, columns: list[str], most: int = 2000) -> Column:
+    """A small fixed table as an array of structs; an error where it is not small."""
+    got = rows.select(*columns).limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a fixed table of {most} rows at most is expected")
+    kinds = ",".join(f"{c}:{dict(rows.dtypes)[c]}" for c in columns)
+    return F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in columns]) for r in got]).cast(f"array<struct<{kinds}>>")
+
+
 def choose_symbol(items: DataFrame, categories: DataFrame, symbols: DataFrame) -> DataFrame:
     """Best category of each description, then the best symbol of it (TXT12, WIN3).
 
     items: item_id, description; categories: category, words; symbols: category, symbol,
-    keywords, text. Both dimension tables are symbol lists and are broadcast. An item whose
-    best category scores 0 has neither.
+    keywords, text. Both dimension tables are symbol lists of 2,000 rows at most. An item
+    whose best category scores 0 has neither.
     """
-    scored = items.join(F.broadcast(categories)).withColumn("s", pair_tfidf(F.col("description"), F.col("words")))
-    best = scored.groupBy("item_id").agg(F.max_by("category", F.struct("s", "category")).alias("category"), F.max("s").alias("s"), F.first("description").alias("description"))
-    best = best.filter("s > 0").drop("s")
-    two = best.join(F.broadcast(symbols), "category").withColumn("s", pair_tfidf(F.col("description"), F.col("keywords")) + pair_tfidf(F.col("description"), F.col("text")))
-    chosen = two.groupBy("item_id").agg(F.max_by("symbol", F.struct("s", "symbol")).alias("symbol"))
-    return items.join(best.select("item_id", "category"), "item_id", "left").join(chosen, "item_id", "left")
+    told = F.col("description")
+    score = lambda words: pair_tfidf(told, words)
+    best = F.array_max(F.transform(_fixed(categories, ["category", "words"]), lambda c: F.struct(score(c["words"]).alias("s"), c["category"].alias("category"))))
+    rows = items.withColumn("_c", best).withColumn("category", F.when(F.col("_c.s") > 0, F.col("_c.category")))
+    own = F.filter(_fixed(symbols, ["category", "symbol", "keywords", "text"]), lambda s: s["category"] == F.col("category"))
+    chosen = F.array_max(F.transform(own, lambda s: F.struct((score(s["keywords"]) + score(s["text"])).alias("s"), s["symbol"].alias("symbol"))))
+    return rows.select(*items.columns, "category", chosen["symbol"].alias("symbol"))
 
 
 def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str = "text_id", longest: int = 6, ref_last_word: bool = False) -> DataFrame:
@@ -180,13 +190,13 @@ def carry_titles(items: DataFrame) -> DataFrame:
 def age_interval(texts: DataFrame, scale: DataFrame) -> DataFrame:
     """(text_id, b_age, t_age) of the stages, epochs and periods that a text names (TXT23).
 
-    scale: idx, age, epoch, period, b_age, t_age, young to old; a fixed time scale, broadcast.
+    scale: idx, age, epoch, period, b_age, t_age, young to old; a fixed time scale of 2,000 rows at most.
     From periods over epochs to stages each level narrows the interval where it lies inside
     and widens it where it does not.
     """
-    crossed = texts.join(F.broadcast(scale))
-    hit = lambda c: F.when(F.col("text").contains(F.col(c)), F.col("idx"))
-    spans = crossed.groupBy("text_id").agg(*[f(hit(c)).alias(f"{c}_{n}") for c in ("period", "epoch", "age") for n, f in (("lo", F.min), ("hi", F.max))])
+    fixed = _fixed(scale, ["idx", "age", "epoch", "period", "b_age", "t_age"])
+    named = lambda c: F.transform(F.filter(fixed, lambda r: F.col("text").contains(r[c])), lambda r: r["idx"])
+    spans = texts.select("text_id", *[f(named(c)).alias(f"{c}_{n}") for c in ("period", "epoch", "age") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
     lo, hi = F.col("period_lo"), F.col("period_hi")
     for c in ("epoch", "age"):
         l, h = F.col(f"{c}_lo"), F.col(f"{c}_hi")  # noqa: E741
@@ -194,8 +204,8 @@ def age_interval(texts: DataFrame, scale: DataFrame) -> DataFrame:
         new_hi = F.when(h.isNull(), hi).when(hi.isNull(), h).when((h >= lo) & (h <= hi), h).otherwise(F.greatest(hi, h))
         lo, hi = new_lo, new_hi
     spans = spans.select("text_id", lo.alias("lo"), hi.alias("hi"))
-    young, old = scale.select(F.col("idx").alias("lo"), "t_age"), scale.select(F.col("idx").alias("hi"), "b_age")
-    return spans.join(F.broadcast(young), "lo", "left").join(F.broadcast(old), "hi", "left").select("text_id", "b_age", "t_age")
+    at = lambda place, c: F.get(F.filter(fixed, lambda r: r["idx"] == F.col(place)), F.lit(0))[c]
+    return spans.select("text_id", at("hi", "b_age").alias("b_age"), at("lo", "t_age").alias("t_age"))
 
 
 def deduped_candidates(rows: DataFrame) -> DataFrame:

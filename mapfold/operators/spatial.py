@@ -214,3 +214,68 @@ def tiles_of_region(regions: DataFrame, zoom: int) -> DataFrame:
     east, south = G.tile_corner(F.col("col") + 1, F.col("row") + 1, z)
     tile = F.struct(west.alias("xmin"), south.alias("ymin"), east.alias("xmax"), north.alias("ymax"))
     return grid.withColumn("_tile", tile).filter(rings_touch(F.col("ring"), G.box_ring(F.col("_tile")))).drop("_tile")
+
+
+def maps_in_areas(gcps: DataFrame, areas: DataFrame, side: float = 1.0) -> DataFrame:
+    """Maps whose first control point lies in one of the areas (JN13). gcps: map_id, gcp_id, mx, my; areas: ring of (lon, lat)."""
+    first = gcps.groupBy(F.col("map_id").alias("point_id")).agg(F.min_by(F.struct("mx", "my"), "gcp_id").alias("p"))
+    points = first.select(F.lit(0).alias("map_id"), "point_id", F.col("p.mx").alias("x"), F.col("p.my").alias("y"))
+    return points_in_rings(points, areas.select(F.lit(0).alias("map_id"), "ring"), side).select(F.col("point_id").alias("map_id"))
+
+
+def with_legend(predictions: DataFrame, legend: DataFrame) -> DataFrame:
+    """Predictions with the legend row of their id, null columns without one (JN9). Both: legend_id."""
+    return predictions.join(legend, "legend_id", "left")
+
+
+def with_county(metadata: DataFrame, counties: DataFrame) -> DataFrame:
+    """Metadata rows with the name of their county, -1 where it is not known (JN23). counties: county_id, county."""
+    return metadata.join(counties, "county_id", "left").withColumn("county", F.coalesce("county", F.lit("-1")))
+
+
+def present_and_absent(rows: DataFrame, others: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with a partner by keys, rows without) for maps with control points, pairs on disk and masks with a truth (JN22, JN24, JN25)."""
+    known = others.select(*keys).distinct()
+    return rows.join(known, keys, "left_semi"), rows.join(known, keys, "left_anti")
+
+
+def place_candidates(places: DataFrame, gazetteer: DataFrame, suffix: str, k: int = 5) -> DataFrame:
+    """(place_id, row_id, score, rank): the k gazetteer rows that share most words with a place and its suffix (JN15).
+
+    places: place_id, text; gazetteer: row_id, name. Rows are candidates when they share a
+    word of the place itself; the suffix's words, which whole regions share, only count in
+    the score, which is that of containment.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != ""))
+    p = places.select("place_id", words(F.concat_ws(" ", "text", F.lit(suffix))).alias("p"), F.explode(words(F.col("text"))).alias("_w"))
+    g = gazetteer.select("row_id", words(F.col("name")).alias("g"))
+    pairs = p.join(g.withColumn("_w", F.explode("g")), "_w").drop("_w").distinct()
+    both = F.size(F.array_intersect("p", "g"))
+    scored = pairs.withColumn("score", both / F.size("p") + both / F.size("g"))
+    order = Window.partitionBy("place_id").orderBy(F.desc("score"), "row_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("place_id", "row_id", "score", "rank")
+
+
+def nearest_directed(left: DataFrame, right: DataFrame, left_id: str, right_id: str, limit: float, angle: float) -> DataFrame:
+    """For each left row the nearest right row closer than limit whose direction differs less than angle, either way (JN20).
+
+    Rows: map_id, id, x, y, dx, dy. Ties go to the smaller right_id; left rows without a partner stay with nulls.
+    """
+    r = right.select("map_id", F.col(right_id), *[F.col(c).alias("r" + c) for c in ("x", "y", "dx", "dy")])
+    pairs = cell_join(left.select("map_id", left_id, "x", "y", "dx", "dy"), r, ["map_id"], _point_box("x", "y"), _point_box("rx", "ry"), limit, limit)
+    pairs = pairs.withColumn("distance", G.distance(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))).filter(F.col("distance") < limit)
+    pairs = pairs.filter(1 - F.abs(G.direction_cosine(F.col("dx"), F.col("dy"), F.col("rdx"), F.col("rdy"))) < angle)
+    best = pairs.groupBy("map_id", left_id).agg(F.min(F.struct("distance", right_id)).alias("_m")).select("map_id", left_id, "_m.*")
+    return left.join(best, ["map_id", left_id], "left")
+
+
+def nearest_edge(starts: DataFrame, segments: DataFrame, limit: float, angle: float = 0.04) -> DataFrame:
+    """For each start (map_id, start_id, x, y, dx, dy) the nearest segment within limit and direction (JN19). segments as in JN18."""
+    ends = ("ax", "ay", "bx", "by")
+    box = (F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
+    pairs = cell_join(starts, segments.select("map_id", "seg_id", *ends), ["map_id"], _point_box("x", "y"), box, max(limit, 1.0) * 2, limit)
+    d = G.segment_distance(F.col("x"), F.col("y"), *[F.col(c) for c in ends])
+    apart = 1 - F.abs(G.direction_cosine(F.col("dx"), F.col("dy"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    pairs = pairs.withColumn("distance", d).filter((F.col("distance") < limit) & (apart < angle))
+    best = pairs.groupBy("map_id", "start_id").agg(F.min(F.struct("distance", "seg_id")).alias("_m")).select("map_id", "start_id", "_m.*")
+    return starts.join(best, ["map_id", "start_id"], "left")
