@@ -19,7 +19,7 @@ BOXES_SQL = """boxes AS (
          CAST((p_partkey * 37) % 900 + p_size AS DOUBLE) AS xmax, CAST((p_partkey * 91) % 900 + p_size / 2 + 1 AS DOUBLE) AS ymax FROM (SELECT * REPLACE (p_size - p_size % 2 AS p_size) FROM part))"""
 EDGES_SQL = """edges AS (
   SELECT DISTINCT l_orderkey % 20 AS map_id, CAST(least(l_partkey % 500, l_suppkey % 500) AS BIGINT) AS u, CAST(greatest(l_partkey % 500, l_suppkey % 500) AS BIGINT) AS v
-  FROM lineitem WHERE l_partkey % 500 <> l_suppkey % 500 AND l_linenumber = 1 AND l_orderkey % 7 = 0)"""
+  FROM lineitem WHERE l_partkey % 500 <> l_suppkey % 500)"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,20 +38,22 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select((k % 20).alias("map_id"), k.alias("box_id"), F.col("p_name").alias("name"), *[c.cast("double").alias(n) for n, c in corners.items()]).withColumn("box", F.struct(*corners))
 
 
-def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected line graph of each map from every row, loops and doubles removed."""
-    return _edges(table(spark, sf_dir, "lineitem"))
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected line graph of each map, loops and doubles removed."""
+    u, v = F.col("l_partkey") % 500, F.col("l_suppkey") % 500
+    rows = table(spark, sf_dir, "lineitem").filter(u != v)
+    return rows.select((F.col("l_orderkey") % 20).alias("map_id"), F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the line graph that EDGES_SQL takes."""
-    return _edges(table(spark, sf_dir, "lineitem").filter((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 7 == 0)))
+#: A graph in many small parts, one for each order at most: it grows with the rows.
+PARTS_SQL = """parts AS (
+  SELECT DISTINCT l_orderkey % 20 AS map_id, l_orderkey * 10 + l_partkey % 5 AS u, l_orderkey * 10 + 5 + l_suppkey % 5 AS v FROM lineitem)"""
 
 
-def _edges(lines: DataFrame) -> DataFrame:
-    u, v = F.col("l_partkey") % 500, F.col("l_suppkey") % 500
-    rows = lines.filter(u != v)
-    return rows.select((F.col("l_orderkey") % 20).alias("map_id"), F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected edges between the parts and the suppliers of an order."""
+    k = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select((k % 20).alias("map_id"), (k * 10 + F.col("l_partkey") % 5).alias("u"), (k * 10 + 5 + F.col("l_suppkey") % 5).alias("v")).distinct()
 
 
 def box_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,35 +76,27 @@ REGIONS_SQL = """regions AS (
 def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strike detections: a place and an angle, numbered in input order."""
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").filter(k % 4 == 0).select(
+    return table(spark, sf_dir, "orders").select(
         (k % 20).alias("map_id"), k.alias("strike_seq"), ((k * 13) % 1000 + 0.5).cast("double").alias("x"), ((F.col("o_custkey") * 17) % 1000 + 0.25).cast("double").alias("y"), (k % 360).cast("double").alias("dip")
     )
 
 
 STRIKES_SQL = """strikes AS (
   SELECT o_orderkey % 20 AS map_id, o_orderkey AS strike_seq, CAST((o_orderkey * 13) % 1000 + 0.5 AS DOUBLE) AS sx, CAST((o_custkey * 17) % 1000 + 0.25 AS DOUBLE) AS sy, CAST(o_orderkey % 360 AS DOUBLE) AS dip
-  FROM orders WHERE o_orderkey % 4 = 0)"""
+  FROM orders)"""
 
 
 MASK_SQL = """mask AS (
-  SELECT DISTINCT l_orderkey % 20 AS map_id, l_returnflag AS key, CAST(l_partkey % 60 AS INTEGER) AS row, CAST((l_suppkey * 7 + l_linenumber * 131) % 60 AS INTEGER) AS col FROM lineitem WHERE l_orderkey % 3 = 0)"""
+  SELECT DISTINCT l_orderkey % 20 AS map_id, l_returnflag AS key, CAST(l_partkey % 60 AS INTEGER) AS row, CAST((l_suppkey * 7 + l_linenumber * 131) % 60 AS INTEGER) AS col FROM lineitem)"""
 COLORS_SQL = """pixels AS (
   SELECT o_orderkey % 20 AS map_id, o_orderpriority AS key, CAST(o_orderkey // 20 // 100 AS INTEGER) AS row, CAST(o_orderkey // 20 % 100 AS INTEGER) AS col,
          CAST(o_custkey * 7 % 256 AS INTEGER) AS r, CAST(o_custkey * 13 % 256 AS INTEGER) AS g, CAST(o_orderkey * 11 % 256 AS INTEGER) AS b FROM orders)"""
 
 
-def whole_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse masks from every row: map_id, key, row, col."""
-    return _mask(table(spark, sf_dir, "lineitem"))
-
-
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the masks that MASK_SQL takes."""
-    return _mask(table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0"))
-
-
-def _mask(rows: DataFrame) -> DataFrame:
+    """Sparse masks: map_id, key, row, col."""
     col = (F.col("l_suppkey") * 7 + F.col("l_linenumber") * 131) % 60
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select((F.col("l_orderkey") % 20).alias("map_id"), F.col("l_returnflag").alias("key"), (F.col("l_partkey") % 60).cast("int").alias("row"), col.cast("int").alias("col")).distinct()
 
 

@@ -82,7 +82,11 @@ def nearest_vectors(spark, sf_dir):
     return n.withColumn("distance", F.round("distance", 6)).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "id", "distance", "rank")
 
 
-@query()
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, label AS ql, embedding AS a FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query_id, vec_id AS id, label = ql AS same, sqrt(list_sum(list_transform(list_zip(a, embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM q, embeddings WHERE vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM p), h AS (SELECT query_id, bool_or(same) AS paired, bool_or(same AND n <= 5) AS hit FROM r GROUP BY 1)
+SELECT count_if(hit) AS hits, count(*) AS queries, round(count_if(hit) / count(*), 6) AS rate FROM h WHERE paired"""
+)
 def vector_hit_rate(spark, sf_dir):
     """VEC2: positives are vectors of the same label."""
     e = I.embeddings(spark, sf_dir)
@@ -90,10 +94,13 @@ def vector_hit_rate(spark, sf_dir):
     found = V.nearest(q, e, 5)
     labels = e.select("id", "label")
     positives = q.select(F.col("id").alias("query_id"), "label").join(labels, "label").filter("id != query_id").select("query_id", "id")
-    return V.hit_rate(found, positives)
+    return V.hit_rate(found, positives).withColumn("rate", F.round("rate", 6))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT vec_id AS i, embedding::DOUBLE[] AS v, vec_id % 16 // 2 AS block, abs(embedding[1]) AS s FROM embeddings), p AS (SELECT a.block, a.i AS a, b.i AS b, a.s AS sa, b.s AS sb, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS sim FROM e a JOIN e b ON a.block = b.block WHERE a.i % 2 = 0 AND b.i % 2 = 1),
+x AS (SELECT *, row_number() OVER (PARTITION BY block, a ORDER BY sim DESC, b) AS m, row_number() OVER (PARTITION BY block, b ORDER BY sim DESC, a) AS n FROM p) SELECT block, a, b, round(sim, 6) AS sim FROM x WHERE m = 1 AND n = 1 AND sa > 0.01 AND sb > 0.01"""
+)
 def mutual_nearest_vectors(spark, sf_dir):
     """VEC3, VEC4: patches of two halves of each block of ten labels."""
     e = I.embeddings(spark, sf_dir).select(F.col("id").alias("patch_idx"), "vec", (F.col("id") % 16).alias("block"), F.abs(F.col("vec")[0]).cast("double").alias("saliency"))
@@ -193,7 +200,12 @@ def detection_precision(spark, sf_dir):
     return E.average_precision(E.detection_curve(det.unionByName(gt), (0.5, 0.75))).select("class", "iou", F.round("ap", 6).alias("ap"), F.round("ar", 6).alias("ar"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {I.BOXES_SQL}, p AS (SELECT a.map_id, a.box_id AS a, b.box_id AS b, greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS i, (a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) AS s
+ FROM boxes a JOIN boxes b ON a.map_id = b.map_id AND a.box_id <> b.box_id AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax), l AS (SELECT map_id, a, b FROM p WHERE s > i AND i / (s - i) > 0.2),
+reach AS (SELECT map_id, box_id AS a, box_id AS b FROM boxes UNION SELECT r.map_id, r.a, l.b FROM reach r JOIN l ON l.map_id = r.map_id AND l.a = r.b), g AS (SELECT map_id, a AS box_id, min(b) AS g FROM reach GROUP BY 1, 2)
+SELECT map_id, g AS "group", min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, count(*) AS n FROM boxes JOIN g USING (map_id, box_id) GROUP BY 1, 2"""
+)
 def merged_legend_boxes(spark, sf_dir):
     """EVL13."""
     return E.merged_boxes(I.boxes(spark, sf_dir).select("map_id", "box_id", "box"))
@@ -228,12 +240,18 @@ def collections_with_empty(spark, sf_dir):
     return c.select("map_id", F.size(back["features"]).cast("long").alias("n"))
 
 
-@query("SELECT user_id % 40 AS map_id, count(*) AS detections FROM events GROUP BY 1")
+@query(
+    """WITH e AS (SELECT user_id % 40 AS map_id, event_id, event_id % 4 * 256 AS r, user_id % 4 * 256 AS c, event_id % 256 AS x, event_id % 255 AS y FROM events), n AS (SELECT map_id, count(DISTINCT r * 10000 + c) AS patches FROM e GROUP BY 1)
+SELECT map_id, event_id, CAST(x + c AS BIGINT) AS x, CAST(y + r AS BIGINT) AS y, patches FROM e JOIN n USING (map_id)"""
+)
 def streamed_patches(spark, sf_dir):
-    """Section 2.16: patch predictions as a file stream drained to a table, then counted (GEO1, TIL6)."""
-    source = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select((F.col("user_id") % 40).alias("map_id"), (F.col("event_id") % 4 * 256).alias("patch_row"), (F.col("user_id") % 4 * 256).alias("patch_col"), (F.col("event_id") % 256).alias("x"), (F.col("event_id") % 255).alias("y"))
+    """Section 2.16: patch predictions as a file stream drained to a table in map coordinates, with the patches of each map (GEO1, TIL6)."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # the pattern stands for the one file or the one folder of that name
+    stream = ingest.patch_stream(spark, f"{sf_dir}/events.parque[t]", schema)
+    e, u = F.col("event_id"), F.col("user_id")
+    stream = stream.select((u % 40).alias("map_id"), "event_id", (e % 4 * 256).alias("patch_row"), (u % 4 * 256).alias("patch_col"), (e % 256).alias("x"), (e % 255).alias("y"))
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     ingest.drain(ingest.stitched(stream), f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").groupBy("map_id").agg(F.count("*").alias("detections"))
+    out = spark.read.parquet(f"{folder}/out")
+    return out.join(ingest.completeness(out).select("map_id", "patches"), "map_id").select("map_id", "event_id", "x", "y", "patches")

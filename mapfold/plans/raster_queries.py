@@ -10,10 +10,14 @@ from mapfold.plans import inputs as I
 from mapfold.plans.registry import query
 
 
-def _half(spark, sf_dir, k, mask=I.mask):
-    return mask(spark, sf_dir).filter(f"(row + col * 7) % 3 <> {k}")
+def _half(spark, sf_dir, k):
+    return I.mask(spark, sf_dir).filter(f"(row + col * 7) % 3 <> {k}")
 
 
+#: Components of a pixel table p by four neighbours: each pixel with the least pixel of its component.
+_LABELS = """reach AS (SELECT map_id, key, row, col, row * 100 + col AS root FROM {p}
+ UNION SELECT r.map_id, r.key, m.row, m.col, r.root FROM reach r JOIN {p} m ON m.map_id = r.map_id AND m.key = r.key AND abs(m.row - r.row) + abs(m.col - r.col) = 1 WHERE m.row * 100 + m.col > r.root),
+label AS (SELECT map_id, key, row, col, min(root) AS label FROM reach GROUP BY ALL)"""
 _A, _B = "a AS (SELECT * FROM mask WHERE (row + col * 7) % 3 <> 0)", "b AS (SELECT * FROM mask WHERE (row + col * 7) % 3 <> 1)"
 
 
@@ -46,16 +50,18 @@ def mask_runs(spark, sf_dir):
     return P.mask_runs(I.mask(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {I.MASK_SQL}, {_LABELS.format(p="mask")} SELECT map_id, key, CAST(label // 100 AS INTEGER) AS row, CAST(label % 100 AS INTEGER) AS col, count(*) AS area, min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1 FROM (SELECT map_id, key, row, col, label FROM label) GROUP BY map_id, key, label""".replace("AS row, CAST(label % 100 AS INTEGER) AS col,", "AS lrow, CAST(label % 100 AS INTEGER) AS lcol,")
+)
 def mask_components(spark, sf_dir):
     """RAS3; held against a flood fill in the tests."""
-    return P.component_summary(P.labelled_runs(I.whole_mask(spark, sf_dir))).select("map_id", "key", "label.row", "label.col", "area", "row0", "row1", "col0", "col1")
+    return P.component_summary(P.labelled_runs(I.mask(spark, sf_dir))).select("map_id", "key", F.col("label.row").alias("lrow"), F.col("label.col").alias("lcol"), "area", "row0", "row1", "col0", "col1")
 
 
-@query()
+@query(f"""WITH RECURSIVE {I.MASK_SQL}, {_LABELS.format(p="mask")}, a AS (SELECT map_id, key, label, count(*) AS n FROM label GROUP BY ALL) SELECT map_id, key, max(n) AS area FROM a GROUP BY 1, 2""")
 def largest_components(spark, sf_dir):
     """AGG16."""
-    return P.largest_component(I.whole_mask(spark, sf_dir)).groupBy("map_id", "key").agg(F.count("*").alias("area"))
+    return P.largest_component(I.mask(spark, sf_dir)).groupBy("map_id", "key").agg(F.count("*").alias("area"))
 
 
 @query(
@@ -81,7 +87,7 @@ def dice_scores(spark, sf_dir):
 @query()
 def pixel_f_scores(spark, sf_dir):
     """EVL1, JN21; held against a sorted greedy pass in the tests."""
-    true, pred = _half(spark, sf_dir, 0, I.whole_mask), _half(spark, sf_dir, 1, I.whole_mask)
+    true, pred = _half(spark, sf_dir, 0), _half(spark, sf_dir, 1)
     sizes = true.select("map_id").distinct().select("map_id", F.lit(60).alias("height"), F.lit(60).alias("width"))
     return E.pixel_f_score(true, pred, 3, sizes).select("map_id", "key", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 

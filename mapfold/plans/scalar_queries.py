@@ -17,7 +17,9 @@ from mapfold.operators import spatial as S
 from mapfold.operators import tiles as T
 from mapfold.operators import vectors as V
 from mapfold.plans import inputs as I
+from mapfold.plans import join_queries as JQ
 from mapfold.plans import map_pipelines as MP
+from mapfold.plans import raster_queries as RQ
 from mapfold.plans.registry import query
 from mapfold.session import table
 from mapfold.sources import writers as W
@@ -141,7 +143,11 @@ def legend_color_distances(spark, sf_dir):
     return d.select("map_id", "key", _R(F.col("distances")[0]).alias("nearest"), _R(F.aggregate("distances", F.lit(0.0), lambda s, x: s + x), 5).alias("three"))
 
 
-@query()
+@query(
+    f"""WITH {I.COLORS_SQL}, d AS (SELECT map_id, key, r, g, b, greatest(r, g, b) AS t, greatest(r, g, b) - least(r, g, b) AS d FROM pixels),
+h AS (SELECT map_id, key, CASE WHEN d = 0 THEN 0.0 WHEN t = r THEN 60 * (g - b) / d::DOUBLE WHEN t = g THEN 120 + 60 * (b - r) / d::DOUBLE ELSE 240 + 60 * (r - g) / d::DOUBLE END AS h FROM d)
+SELECT map_id, key, CASE WHEN quantile_cont(v, 0.84) - quantile_cont(v, 0.16) < 30 THEN 'solid' ELSE 'mixture' END AS pattern FROM (SELECT map_id, key, round(CASE WHEN h < 0 THEN h + 360 ELSE h END / 2) AS v FROM h) GROUP BY 1, 2"""
+)
 def legend_patterns(spark, sf_dir):
     """AGG7, RAS2."""
     return P.legend_pattern(I.pixels(spark, sf_dir))
@@ -150,7 +156,7 @@ def legend_patterns(spark, sf_dir):
 @query()
 def dash_patterns(spark, sf_dir):
     """AGG13, AGG14 over component sizes."""
-    sizes = P.mask_runs(I.whole_mask(spark, sf_dir)).select("map_id", "key", ((F.col("c1") - F.col("c0") + 1) * 7).alias("size"))
+    sizes = P.mask_runs(I.mask(spark, sf_dir)).select("map_id", "key", ((F.col("c1") - F.col("c0") + 1) * 7).alias("size"))
     return P.dash_pattern(sizes).join(P.dash_pattern_by_rule(sizes).withColumnRenamed("pattern", "by_rule"), ["map_id", "key"])
 
 
@@ -165,52 +171,70 @@ def nearest_palette_keys(spark, sf_dir):
 @query()
 def filled_masks(spark, sf_dir):
     """RAS8, RAS7."""
-    m = I.whole_mask(spark, sf_dir)
+    m = I.mask(spark, sf_dir)
     sizes = m.select("map_id").distinct().select("map_id", F.lit(60).alias("height"), F.lit(60).alias("width"))
     return P.holes_filled(m, sizes).groupBy("map_id", "key").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {I.MASK_SQL}, s AS (SELECT * FROM mask WHERE (row + col) % 5 < 2), {RQ._LABELS.format(p="s")}, b AS (SELECT map_id, key, label, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM label GROUP BY ALL)
+SELECT m.map_id, m.key, count(*) AS n FROM mask m WHERE EXISTS (SELECT 1 FROM b WHERE b.map_id = m.map_id AND b.key = m.key AND m.row BETWEEN r0 - 1 AND r1 + 1 AND m.col BETWEEN c0 - 1 AND c1 + 1) GROUP BY 1, 2"""
+)
 def rectangled_masks(spark, sf_dir):
     """RAS15, RAS9."""
-    m = I.whole_mask(spark, sf_dir).filter("(row + col) % 5 < 2")
-    return P.rectangled(m, I.whole_mask(spark, sf_dir)).groupBy("map_id", "key").agg(F.count("*").alias("n"))
+    m = I.mask(spark, sf_dir).filter("(row + col) % 5 < 2")
+    return P.rectangled(m, I.mask(spark, sf_dir)).groupBy("map_id", "key").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH {I.MASK_SQL}, r AS (SELECT m.map_id, m.key, m.row, m.col + 1 AS col FROM mask m JOIN mask d ON d.map_id = m.map_id AND d.key = m.key AND d.row = m.row + 1 AND d.col = m.col + 1 WHERE NOT EXISTS (SELECT 1 FROM mask x WHERE x.map_id = m.map_id AND x.key = m.key AND x.row = m.row + 1 AND x.col = m.col)),
+l AS (SELECT m.map_id, m.key, m.row, m.col - 1 AS col FROM mask m JOIN mask d ON d.map_id = m.map_id AND d.key = m.key AND d.row = m.row + 1 AND d.col = m.col - 1 WHERE NOT EXISTS (SELECT 1 FROM mask x WHERE x.map_id = m.map_id AND x.key = m.key AND x.row = m.row + 1 AND x.col = m.col))
+SELECT map_id, key, count(*) AS n FROM (SELECT * FROM mask UNION SELECT * FROM r UNION SELECT * FROM l) GROUP BY 1, 2"""
+)
 def bridged_masks(spark, sf_dir):
     """RAS13."""
-    return P.bridged_diagonals(I.whole_mask(spark, sf_dir)).groupBy("map_id", "key").agg(F.count("*").alias("n"))
-
-
-def _segments(spark, sf_dir):
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    ax, ay = (k * 13) % 500, (c * 7) % 500
-    return table(spark, sf_dir, "orders").select((k % 20).alias("map_id"), k.alias("seg_id"), *[e.cast("double").alias(n) for n, e in (("ax", ax), ("ay", ay), ("bx", ax + c % 41 - 20), ("by", ay + k % 37 - 18))]).filter("ax != bx OR ay != by")
+    return P.bridged_diagonals(I.mask(spark, sf_dir)).groupBy("map_id", "key").agg(F.count("*").alias("n"))
 
 
 @query()
 def merged_line_segments(spark, sf_dir):
     """GRF18, AGG15."""
-    return GR.merged_lines(_segments(spark, sf_dir), 4.0).groupBy("map_id").agg(F.count("*").alias("lines"))
+    return GR.merged_lines(JQ.segments(spark, sf_dir), 4.0).groupBy("map_id").agg(F.count("*").alias("lines"))
 
 
-@query()
+@query(
+    f"""WITH {JQ._SEGMENTS_SQL}, l AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(bz - ay, 2)) AS len FROM seg), at AS (SELECT map_id, seg_id, ax AS x, ay AS y FROM seg UNION SELECT map_id, seg_id, bx, bz FROM seg),
+touch AS (SELECT DISTINCT p.map_id, p.seg_id AS a, q.seg_id AS c FROM at p JOIN at q ON p.map_id = q.map_id AND p.x = q.x AND p.y = q.y AND p.seg_id <> q.seg_id),
+near AS (SELECT map_id, a, c AS b FROM touch UNION SELECT s.map_id, s.a, t.c FROM touch s JOIN touch t ON s.map_id = t.map_id AND s.c = t.a)
+SELECT p.map_id, p.seg_id AS a, q.seg_id AS b FROM l p JOIN l q ON p.map_id = q.map_id AND p.seg_id < q.seg_id AND p.len >= 10 AND q.len >= 10
+ AND least(p.ax, p.bx) <= greatest(q.ax, q.bx) + 20 AND least(q.ax, q.bx) - 20 <= greatest(p.ax, p.bx) AND least(p.ay, p.bz) <= greatest(q.ay, q.bz) + 20 AND least(q.ay, q.bz) - 20 <= greatest(p.ay, p.bz)
+WHERE abs(((p.bx - p.ax) * (q.bx - q.ax) + (p.bz - p.ay) * (q.bz - q.ay)) / (p.len * q.len)) > 0.985 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.map_id = p.map_id AND n.a = p.seg_id AND n.b = q.seg_id)"""
+)
 def parallel_segments(spark, sf_dir):
     """GRF7."""
-    return GR.parallel_edges(_segments(spark, sf_dir))
+    return GR.parallel_edges(JQ.segments(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {JQ._SEGMENTS_SQL}, n AS (SELECT map_id, seg_id AS own, ax AS x, ay AS y FROM seg UNION ALL SELECT map_id, seg_id, bx, bz FROM seg),
+p AS (SELECT n.map_id, x, y, ax, ay, bx, bz, least(1, greatest(0, ((x - ax) * (bx - ax) + (y - ay) * (bz - ay)) / ((bx - ax) * (bx - ax) + (bz - ay) * (bz - ay)))) AS t FROM n JOIN seg ON n.map_id = seg.map_id AND own <> seg_id
+ AND x BETWEEN least(ax, bx) - 9.5 AND greatest(ax, bx) + 9.5 AND y BETWEEN least(ay, bz) - 9.5 AND greatest(ay, bz) + 9.5), v AS (SELECT map_id, x, y, x - ax - t * (bx - ax) AS vx, y - ay - t * (bz - ay) AS vy FROM p),
+d AS (SELECT *, sqrt(vx * vx + vy * vy) AS d FROM v) SELECT map_id, x, y, round(sum((9.5 - d) / 9.5 * vx / d), 5) + 0 AS px, round(sum((9.5 - d) / 9.5 * vy / d), 5) + 0 AS py FROM d WHERE d > 1e-9 AND d < 9.5 GROUP BY 1, 2, 3"""
+)
 def push_vectors(spark, sf_dir):
     """GRF6, GRF9."""
-    return GR.push_vectors(_segments(spark, sf_dir)).select("map_id", "x", "y", _R("px").alias("px"), _R("py").alias("py"))
+    return GR.push_vectors(JQ.segments(spark, sf_dir)).select("map_id", "x", "y", (_R("px", 5) + 0.0).alias("px"), (_R("py", 5) + 0.0).alias("py"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {I.EDGES_SQL}, n AS (SELECT DISTINCT map_id, node, node * 37 % 500 AS x, node * 91 % 500 AS y FROM (SELECT map_id, u AS node FROM edges UNION ALL SELECT map_id, v FROM edges)),
+c AS (SELECT p.map_id, p.node AS a, q.node AS b FROM n p JOIN n q ON p.map_id = q.map_id AND p.node <> q.node AND abs(p.x - q.x) < 6 AND abs(p.y - q.y) < 6 AND pow(p.x - q.x, 2) + pow(p.y - q.y, 2) < 36),
+reach AS (SELECT map_id, node, node AS other FROM n UNION SELECT r.map_id, r.node, c.b FROM reach r JOIN c ON c.map_id = r.map_id AND c.a = r.other), t AS (SELECT map_id, node, min(other) AS t FROM reach GROUP BY 1, 2)
+SELECT DISTINCT e.map_id, least(a.t, b.t) AS u, greatest(a.t, b.t) AS v FROM edges e JOIN t a ON a.map_id = e.map_id AND a.node = e.u JOIN t b ON b.map_id = e.map_id AND b.node = e.v WHERE a.t <> b.t"""
+)
 def conflated_graph(spark, sf_dir):
     """GRF11."""
-    e = I.whole_edges(spark, sf_dir)
+    e = I.edges(spark, sf_dir)
     nodes = GR.both_ways(e).select("map_id", F.col("u").alias("node")).distinct().withColumns({"x": (F.col("node") * 37 % 500).cast("double"), "y": (F.col("node") * 91 % 500).cast("double")})
     return GR.conflated(nodes, e, 6.0)
 
@@ -218,7 +242,7 @@ def conflated_graph(spark, sf_dir):
 @query()
 def street_mover_distance(spark, sf_dir):
     """EVL10, EVL11: clouds of two halves of each map's segments."""
-    s = _segments(spark, sf_dir)
+    s = JQ.segments(spark, sf_dir)
     cloud = lambda h: GR.sampled(s.filter(f"floor(seg_id / 20) % 2 = {h}"), 12, ["seg_id"]).select(F.col("map_id").alias("pair_id"), "k", (F.col("x") / 500).alias("x"), (F.col("y") / 500).alias("y"))
     return E.street_mover(cloud(0), cloud(1), rounds=8).withColumn("cost", _R("cost", 4))
 
@@ -226,7 +250,7 @@ def street_mover_distance(spark, sf_dir):
 @query()
 def topo_scores(spark, sf_dir):
     """EVL8, EVL9, EVL17, GRF15, JN19."""
-    e = I.whole_edges(spark, sf_dir).filter("v - u < 5")
+    e = I.edges(spark, sf_dir).filter("v - u < 5")
     nodes = GR.both_ways(e).select("map_id", F.col("u").alias("node")).distinct().withColumns({"x": F.col("node").cast("double"), "y": (F.col("node") * 3 % 7).cast("double")})
     true, starts = GR.edge_lengths(e, nodes), nodes.filter("node % 3 = 0").select("map_id", F.col("node").alias("start"))
     pred = true.filter("(u + v) % 4 <> 0")
@@ -257,7 +281,11 @@ def vector_components(spark, sf_dir):
     return V.principal(I.embeddings(spark, sf_dir), 3).select("id", F.size("components").alias("n"), _R(F.abs(F.col("components")[0]), 4).alias("first"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT a.label, a.vec_id AS id, b.vec_id AS w, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s
+ FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, CAST(w AS VARCHAR)) AS n FROM p)
+SELECT label, id, string_agg(w, ',' ORDER BY n) AS words FROM r WHERE n <= 3 GROUP BY 1, 2"""
+)
 def words_by_similarity(spark, sf_dir):
     """VEC8 inside blocks of labels."""
     e = I.embeddings(spark, sf_dir)
@@ -292,15 +320,21 @@ def label_pipeline_rows(spark, sf_dir):
     return out.groupBy("map_id").agg(F.count("*").alias("labels"), F.count_if(F.col("lon").isNotNull()).alias("placed"), F.count_if(F.col("corrected") == F.col("text")).alias("unchanged"))
 
 
-@query()
+@query(
+    f"""WITH {JQ._SEGMENTS_SQL}, s AS (SELECT s_suppkey AS map_id, unnest(range(4)) AS tile_row FROM supplier), t AS (SELECT map_id, tile_row, tile_col, 5 + tile_row * 294 // 3 AS y0, 5 + tile_col * 294 // 3 AS x0 FROM s, range(4) c(tile_col))
+SELECT t.map_id, tile_row, tile_col, count(*) AS edges FROM t JOIN seg ON t.map_id = seg.map_id AND ax BETWEEN x0 AND x0 + 256 AND bx BETWEEN x0 AND x0 + 256 AND ay BETWEEN y0 AND y0 + 256 AND bz BETWEEN y0 AND y0 + 256 GROUP BY 1, 2, 3 HAVING count(*) >= 5"""
+)
 def tiled_graph_patches(spark, sf_dir):
     """TIL7, FLT11, FLT12, GEO28."""
     sheet = I.sheets(spark, sf_dir).select("map_id", F.lit(560).alias("height"), F.lit(560).alias("width"))
     t = T.even_tiles(sheet, 256, 128)
-    return T.graph_patches(t, _segments(spark, sf_dir).drop("seg_id"), 256).groupBy("map_id", "tile_row", "tile_col").agg(F.count("*").alias("edges"))
+    return T.graph_patches(t, JQ.segments(spark, sf_dir).drop("seg_id"), 256).groupBy("map_id", "tile_row", "tile_col").agg(F.count("*").alias("edges"))
 
 
-@query()
+@query(
+    """WITH i AS (SELECT n_nationkey * 2 || '0' AS image_no, arg_min('/r/' || n_name, (n_regionkey % 3, '/r/' || n_name)) AS path FROM nation GROUP BY 1)
+SELECT s_suppkey AS map_id, coalesce(path, 'no image') AS what FROM supplier LEFT JOIN i ON i.image_no = s_suppkey || '0'"""
+)
 def annotated_errors(spark, sf_dir):
     """SNK8, JN1, JN2, SRC5: catalogue rows with and without an image."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("map_id"), X.catalog_id(F.concat(F.lit("'"), F.col("s_suppkey").cast("string"), F.lit(".0'"))).alias("image_no"))
@@ -321,7 +355,9 @@ def located_titles(spark, sf_dir):
     return MP.locate_titles(titles, topo, corners)[1].select("map_id", "gcp_id", "px", "py", "mx", "my")
 
 
-@query()
+@query(
+    f"""WITH {I.GCPS_SQL} SELECT map_id, min(px) AS px_min, max(px) AS px_max, round(min(-120.0 + map_id + px * 0.001 + py * 0.0002), 6) AS mx_min, round(max(45.0 - map_id - py * 0.0008 + px * 0.0001), 6) AS my_max FROM gcps GROUP BY 1"""
+)
 def corrected_gcps(spark, sf_dir):
     """REF6."""
     return R.map_bounds(I.gcps(spark, sf_dir)).select("map_id", "px_min", "px_max", _R("mx_min").alias("mx_min"), _R("my_max").alias("my_max"))

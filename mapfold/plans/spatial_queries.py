@@ -95,7 +95,7 @@ def legend_boxes_in_region(spark, sf_dir):
 
 @query(
     f"""WITH seg AS (SELECT o_orderkey % 20 AS map_id, o_orderkey AS id, CAST((o_orderkey * 13) % 500 AS DOUBLE) AS ax, CAST((o_custkey * 7) % 500 AS DOUBLE) AS ay,
-  CAST((o_orderkey * 13) % 500 + o_custkey % 23 - 11 AS DOUBLE) AS bx, CAST((o_custkey * 7) % 500 + o_orderkey % 19 - 9 AS DOUBLE) AS by FROM orders WHERE o_orderkey % 3 = 0)
+  CAST((o_orderkey * 13) % 500 + o_custkey % 23 - 11 AS DOUBLE) AS bx, CAST((o_custkey * 7) % 500 + o_orderkey % 19 - 9 AS DOUBLE) AS by FROM orders)
 SELECT p.map_id, p.id AS a, q.id AS b FROM seg p JOIN seg q ON p.map_id = q.map_id AND p.id < q.id
 WHERE greatest(p.ax, p.bx) >= least(q.ax, q.bx) AND least(p.ax, p.bx) <= greatest(q.ax, q.bx) AND greatest(p.ay, p.by) >= least(q.ay, q.by) AND least(p.ay, p.by) <= greatest(q.ay, q.by)
 AND NOT ((p.ax = q.ax AND p.ay = q.ay) OR (p.ax = q.bx AND p.ay = q.by) OR (p.bx = q.ax AND p.by = q.ay) OR (p.bx = q.bx AND p.by = q.by))
@@ -108,5 +108,5 @@ def crossing_segments(spark, sf_dir):
 
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     ax, ay = (k * 13) % 500, (c * 7) % 500
-    seg = table(spark, sf_dir, "orders").filter(k % 3 == 0).select((k % 20).alias("map_id"), k.alias("seg_id"), *[e.cast("double").alias(n) for n, e in (("ax", ax), ("ay", ay), ("bx", ax + c % 23 - 11), ("by", ay + k % 19 - 9))])
+    seg = table(spark, sf_dir, "orders").select((k % 20).alias("map_id"), k.alias("seg_id"), *[e.cast("double").alias(n) for n, e in (("ax", ax), ("ay", ay), ("bx", ax + c % 23 - 11), ("by", ay + k % 19 - 9))])
     return S.crossing_segments(seg).select("map_id", "a", "b")

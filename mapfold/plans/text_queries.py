@@ -34,14 +34,14 @@ def bm25_gazetteer(spark, sf_dir):
 @query(
     """WITH s AS (SELECT p_partkey AS id, array_to_string(list_sort(list_filter(string_split(lower(p_name), ' '), lambda t: t <> '')), ' ') AS n FROM part),
 t AS (SELECT DISTINCT id, n, unnest(string_split(n, ' ')) AS token FROM s),
-pairs AS (SELECT DISTINCT a.id AS query_id, b.id AS row_id, a.n AS q, b.n AS g FROM t a JOIN t b USING (token) WHERE a.id % 100 = 0),
+pairs AS (SELECT DISTINCT a.id AS query_id, b.id AS row_id, a.n AS q, b.n AS g FROM t a JOIN t b USING (token) WHERE a.id % 50 = 0),
 ranked AS (SELECT *, 1 - levenshtein(q, g) / greatest(length(q), length(g)) AS ratio FROM pairs)
 SELECT query_id, row_id, round(ratio, 6) AS ratio, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ratio DESC, row_id) AS rank FROM ranked) WHERE rank <= 10"""
 )
 def fuzzy_gazetteer(spark, sf_dir):
     """TXT8, WIN1."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("text"))
-    asked = part.filter("row_id % 100 = 0").withColumnRenamed("row_id", "query_id")
+    asked = part.filter("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
     return M.fuzzy_top_k(asked, part).select("query_id", "row_id", F.round("ratio", 6).alias("ratio"), "rank")
 
 

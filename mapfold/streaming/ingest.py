@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mapfold.functions import geometry as G
 
 
-def patch_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def patch_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """A folder of Parquet files as a stream."""
     return spark.readStream.schema(schema).parquet(path)
 
