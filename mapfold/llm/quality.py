@@ -83,7 +83,8 @@ def _js_distance(p: Column, q: Column) -> Column:
         terms = F.zip_with(p, q, lambda x, y: (part(x / tp, y / tq) + part(y / tq, x / tp)) / 2)
         return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
-    return F.when((total(p) > 0) & (total(q) > 0), divergence(total(p), total(q)))
+    totals = F.struct(total(p).alias("p"), total(q).alias("q"))
+    return bind(totals, lambda t: F.when((t["p"] > 0) & (t["q"] > 0), divergence(t["p"], t["q"])))
 
 
 def _language() -> Column:
