@@ -76,8 +76,8 @@ def region_mappings(spark, sf_dir):
 @query(
     """WITH p AS (SELECT o_orderkey AS id, (o_orderkey % 9 + 1)::DOUBLE AS ux, (o_custkey % 7 - 3)::DOUBLE AS uy, (o_orderkey % 5 - 2)::DOUBLE AS vx, (o_custkey % 4 + 1)::DOUBLE AS vy, (o_orderkey % 17 + 2)::DOUBLE AS cx, (o_custkey % 23 - 20)::DOUBLE AS cy FROM orders),
 d AS (SELECT *, ux * 30 - uy * 2 AS det FROM p), t AS (SELECT *, (cx * 30 - cy * 2) / nullif(det, 0) AS t, (cx * uy - cy * ux) / nullif(det, 0) AS u FROM d)
-SELECT id, round(ux / sqrt(ux * ux + uy * uy), 6) AS dx, round(1 - (ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy)), 6) AS apart,
- round(CASE WHEN t >= 1 AND u >= 0 AND u <= 1 THEN (t - 1) * sqrt(ux * ux + uy * uy) END, 6) AS more FROM t"""
+SELECT id, round(ux / sqrt(ux * ux + uy * uy), 6) + 0 AS dx, round(1 - (ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy)), 6) + 0 AS apart,
+ round(CASE WHEN t >= 1 AND u >= 0 AND u <= 1 THEN (t - 1) * sqrt(ux * ux + uy * uy) END, 6) + 0 AS more FROM t"""
 )
 def directions(spark, sf_dir):
     """GEO23, GEO25: the ray from (0, 0) through (ux, uy) against the segment from (cx, cy) to (cx + 2, cy + 30)."""
@@ -85,7 +85,7 @@ def directions(spark, sf_dir):
     ux, uy, vx, vy, cx, cy = (e.cast("double") for e in (k % 9 + 1, c % 7 - 3, k % 5 - 2, c % 4 + 1, k % 17 + 2, c % 23 - 20))
     o = F.lit(0.0)
     more = G.ray_extension(o, o, ux, uy, cx, cy, cx + 2, cy + 30)
-    return table(spark, sf_dir, "orders").select(k.alias("id"), F.round(G.unit(ux, uy)[0], 6).alias("dx"), F.round(G.angle_distance(ux, uy, vx, vy), 6).alias("apart"), F.round(more, 6).alias("more"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), (F.round(G.unit(ux, uy)[0], 6) + 0.0).alias("dx"), (F.round(G.angle_distance(ux, uy, vx, vy), 6) + 0.0).alias("apart"), (F.round(more, 6) + 0.0).alias("more"))
 
 
 _VERTICES_SQL = """v AS (SELECT o_custkey % 20 AS map_id, o_custkey AS line_id, o_orderkey AS pos, CAST(o_orderkey % 300 AS DOUBLE) AS x, CAST(o_orderkey * 7 % 200 AS DOUBLE) AS y FROM orders),
