@@ -165,6 +165,8 @@ def parallel_edges(segments: DataFrame, least_length: float = 10.0, side: float
     l = long.select("map_id", F.col("seg_id").alias("a"), *[F.col(c).alias("l" + c) for c in ends])  # noqa: E741
     r = long.select("map_id", F.col("seg_id").alias("b"), *[F.col(c).alias("r" + c) for c in ends])
     pairs = cell_join(l, r, ["map_id"], box("l"), box("r"), side * 2, side).filter("a < b")
+    (x0, y0, x1, y1), (u0, v0, u1, v1) = box("l"), box("r")
+    pairs = pairs.filter((x0 <= u1 + side) & (u0 - side <= x1) & (y0 <= v1 + side) & (v0 - side <= y1))
     d = lambda p, q: (F.col(p + "bx") - F.col(p + "ax"), F.col(p + "by") - F.col(p + "ay"))
     pairs = pairs.filter(F.abs(G.direction_cosine(*d("l", 0), *d("r", 0))) > cosine).select("map_id", "a", "b")
     end = lambda c: F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias(c)

@@ -203,8 +203,8 @@ def merged_line_segments(spark, sf_dir):
 
 
 @query(
-    f"""WITH {JQ._SEGMENTS_SQL}, l AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(bz - ay, 2)) AS len FROM seg), at AS (SELECT map_id, seg_id, ax AS x, ay AS y FROM seg UNION SELECT map_id, seg_id, bx, bz FROM seg),
-touch AS (SELECT DISTINCT p.map_id, p.seg_id AS a, q.seg_id AS c FROM at p JOIN at q ON p.map_id = q.map_id AND p.x = q.x AND p.y = q.y AND p.seg_id <> q.seg_id),
+    f"""WITH {JQ._SEGMENTS_SQL}, l AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(bz - ay, 2)) AS len FROM seg), pts AS (SELECT map_id, seg_id, ax AS x, ay AS y FROM seg UNION SELECT map_id, seg_id, bx, bz FROM seg),
+touch AS (SELECT DISTINCT p.map_id, p.seg_id AS a, q.seg_id AS c FROM pts p JOIN pts q ON p.map_id = q.map_id AND p.x = q.x AND p.y = q.y AND p.seg_id <> q.seg_id),
 near AS (SELECT map_id, a, c AS b FROM touch UNION SELECT s.map_id, s.a, t.c FROM touch s JOIN touch t ON s.map_id = t.map_id AND s.c = t.a)
 SELECT p.map_id, p.seg_id AS a, q.seg_id AS b FROM l p JOIN l q ON p.map_id = q.map_id AND p.seg_id < q.seg_id AND p.len >= 10 AND q.len >= 10
  AND least(p.ax, p.bx) <= greatest(q.ax, q.bx) + 20 AND least(q.ax, q.bx) - 20 <= greatest(p.ax, p.bx) AND least(p.ay, p.bz) <= greatest(q.ay, q.bz) + 20 AND least(q.ay, q.bz) - 20 <= greatest(p.ay, p.bz)
