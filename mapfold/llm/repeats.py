@@ -36,7 +36,7 @@ from mapfold.session import release, written
 
 U64 = np.uint64
 SLICE = 1_000  #: contexts that a solver gets at once, more only to complete an anchor
-LARGEST = 20_000  #: contexts of one anchor that a solver gets
+LARGEST = 4_000  #: contexts of one anchor that a solver gets
 RUN = 1 << 17  #: bytes of text handled at once, so that the arrays stay in the cache
 HOT = 4096  #: an anchor or a context is hot with one occurrence in so many
 SALTS = 256  #: tasks that the occurrences of an anchor in every place would go to
@@ -106,7 +106,7 @@ def _fetch(units: Units):
             lists = batch.column("places")
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            field = {c: flat.field(c) for c in ("first", "anchor", "end", "h1", "h2", "n")}
+            field = {c: flat.field(c) for c in ("first", "anchor", "end", "h1", "h2", "n", "many")}
             first, anchor, end = (field[c].to_numpy() for c in ("first", "anchor", "end"))
             at = np.concatenate([[0], np.cumsum(sizes)])
             uid = np.repeat(uids[fresh], sizes)
@@ -116,8 +116,8 @@ def _fetch(units: Units):
                 base = np.repeat(offsets[:-1], sizes[lo:hi])
                 raw = [values[x:y].tobytes() for x, y in zip((first[a:b] + base).tolist(), (end[a:b] + base).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [field["h1"][a:b], field["h2"][a:b], pa.array(uid[a:b]), pa.array(first[a:b]), pa.array(anchor[a:b] - first[a:b]), field["n"][a:b], pa.array(raw, pa.binary())],
-                    ["h1", "h2", "uid", "first", "seed", "n", "units"],
+                    [field["h1"][a:b], field["h2"][a:b], pa.array(uid[a:b]), pa.array(first[a:b]), pa.array(anchor[a:b] - first[a:b]), field["n"][a:b], field["many"][a:b], pa.array(raw, pa.binary())],
+                    ["h1", "h2", "uid", "first", "seed", "n", "many", "units"],
                 )
 
     return run
@@ -213,25 +213,22 @@ def repeated_stretches(source: DataFrame, units: Units, dtype) -> DataFrame:
     release(source.sparkSession)
 
     contexts = written(shared.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "anchor", "end")).alias("at")))
-    many = written(contexts.groupBy("h1").agg(F.count("*").alias("m")).filter(F.col("m") > LARGEST).select("h1"))
-
-    def fetched(wanted: DataFrame) -> DataFrame:
-        places = wanted.select("h1", "h2", "n", "at.*").groupBy("uid").agg(F.collect_list(F.struct("first", "anchor", "end", "h1", "h2", "n")).alias("places"))
-        texts = source.join(places.hint("merge"), "uid").select("uid", "text", "places")
-        return texts.mapInArrow(_fetch(units), "h1 long, h2 long, uid long, first int, seed int, n long, units binary")
-
-    few, crowd = contexts, None
-    if not many.isEmpty():
-        marked = _salted(contexts, hot, ["h1"], ["h2"]).join(_spread(many.withColumn("many", F.lit(True)), hot, ["h1"]), ["h1", "salt"], "left").drop("salt")
-        few = marked.filter("many IS NULL").drop("many")
-        each = written(fetched(marked.filter("many").drop("many")).mapInArrow(_passages(units, dtype), "passage long, h1 long, h2 long, uid long, first int, n long"))
-        again = each.groupBy("passage").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter("k > 1 OR n > 1")
-        passed = _met_again(each, again)
-        once = passed.filter("n = 1").select("uid", "first", (F.col("first") + units.length).alias("end"), *[F.lit(None).cast("long").alias(c) for c in ("h1", "h2")])
-        whole = passed.filter("n > 1").select(*[F.lit(None).cast(t).alias(c) for c, t in (("uid", "long"), ("first", "int"), ("end", "int"))], "h1", "h2").distinct()
-        crowd = once.unionByName(whole)
-    solved = fetched(few).repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(_solve(units, dtype), _SOLVED)
-    solved = written(solved if crowd is None else solved.unionByName(crowd))
+    many = written(contexts.groupBy("h1").agg(F.count("*").alias("m")).filter(F.col("m") > LARGEST).select("h1", F.lit(True).alias("many")))
+    wanted = contexts.join(many, "h1", "left").select("h1", "h2", "n", "at.*", F.coalesce("many", F.lit(False)).alias("many"))
+    places = wanted.groupBy("uid").agg(F.collect_list(F.struct("first", "anchor", "end", "h1", "h2", "n", "many")).alias("places"))
+    texts = source.join(places.hint("merge"), "uid").select("uid", "text", "places")
+    fetched = written(texts.mapInArrow(_fetch(units), "h1 long, h2 long, uid long, first int, seed int, n long, many boolean, units binary"))
+    release(source.sparkSession)
+
+    few = fetched.filter("NOT many").drop("many").repartition("h1").sortWithinPartitions("h1", "h2")
+    each = fetched.filter("many").mapInArrow(_passages(units, dtype), "passage long, h1 long, h2 long, uid long, first int, n long")
+    again = each.groupBy("passage").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter("k > 1 OR n > 1").select("passage")
+    met = each.join(again, "passage")
+    none = lambda **columns: [F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+    once = met.filter("n = 1").select("uid", "first", (F.col("first") + units.length).alias("end"), *none(h1="long", h2="long"))
+    whole = met.filter("n > 1").select(*none(uid="long", first="int", end="int"), "h1", "h2").distinct()
+    solved = few.mapInArrow(_solve(units, dtype), _SOLVED)
+    solved = written(solved.unionByName(once).unionByName(whole))
     release(source.sparkSession)
 
     heavy = contexts.filter(F.col("n") * HOT > total).select("h1", "h2", salts("n"))
@@ -241,13 +238,6 @@ def repeated_stretches(source: DataFrame, units: Units, dtype) -> DataFrame:
     return stretches.groupBy("uid").agg(F.collect_set(F.struct("first", "end")).alias("places"))
 
 
-def _met_again(each: DataFrame, again: DataFrame) -> DataFrame:
-    """Rows of passages that occur again; a hot passage is spread over several tasks."""
-    total = again.agg(F.coalesce(F.sum("k"), F.lit(1))).first()[0]
-    hot = again.filter(F.col("k") * HOT > total).select("passage", F.greatest(F.lit(1), F.ceil(F.col("k") * SALTS / total)).cast("long").alias("salts"))
-    return _salted(each, hot, ["passage"], ["uid", "first"]).join(_spread(again.select("passage"), hot, ["passage"]), ["passage", "salt"]).drop("salt")
-
-
 def covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Flags over n units: inside one of the stretches."""
     steps = np.zeros(n + 1, np.int32)
