@@ -71,16 +71,26 @@ def largest_component(mask: DataFrame) -> DataFrame:
 
 
 def nearest_palette(pixels: DataFrame, palette: DataFrame) -> DataFrame:
-    """Palette key of each pixel after a 5 x 5 mean of colour distances (RAS4). Outside the map the edge repeats nothing: means are over the neighbours there are."""
+    """Palette key of each pixel after a 5 x 5 mean of colour distances (RAS4).
+
+    Beyond its edges a map goes on as its mirror image, the edge pixels included; where
+    pixels are missing inside, means are over the neighbours there are. Distances count to
+    nine decimals, equal ones go to the first key.
+    """
     p = palette.select("map_id", "key", *[F.col(x).alias("_" + x) for x in "rgb"])
     d = lambda x: F.abs(F.col(x) - F.col("_" + x))
     rgb = F.sqrt(d("r") ** 2 + d("g") ** 2 + d("b") ** 2)
     diff = F.abs((F.col("r") - F.col("g")) - (F.col("_r") - F.col("_g"))) + F.abs((F.col("g") - F.col("b")) - (F.col("_g") - F.col("_b")))
     dist = pixels.join(p, "map_id").select(*AT, (0.95 * rgb + 0.05 * diff).alias("d"))
+    ends = pixels.groupBy("map_id").agg(*[f(c).alias(f"_{c}{n}") for c in ("row", "col") for n, f in ((0, F.min), (1, F.max))])
+    mirrored = lambda c: F.explode(
+        F.filter(F.array(F.col(c), 2 * F.col(f"_{c}0") - 1 - F.col(c), 2 * F.col(f"_{c}1") + 1 - F.col(c)), lambda x: x.between(F.col(f"_{c}0") - 2, F.col(f"_{c}1") + 2))
+    )
+    dist = dist.join(ends, "map_id").withColumn("row", mirrored("row")).withColumn("col", mirrored("col"))
     around = [(a, b) for a in range(-2, 3) for b in range(-2, 3)]
     moved = dist.select(*KEYS, F.inline(F.array(*[F.struct((F.col("row") + a).alias("row"), (F.col("col") + b).alias("col"), F.col("d").alias("d")) for a, b in around])))
     mean = moved.groupBy(*AT).agg(F.avg("d").alias("d")).join(pixels.select("map_id", "row", "col"), ["map_id", "row", "col"], "left_semi")
-    return mean.groupBy("map_id", "row", "col").agg(F.min_by("key", F.struct("d", "key")).alias("key"))
+    return mean.groupBy("map_id", "row", "col").agg(F.min_by("key", F.struct(F.round("d", 9), "key")).alias("key"))
 
 
 def filled_rings(rings: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from mapfold.plans import join_queries as JQ
 from mapfold.plans import map_pipelines as MP
 from mapfold.plans import raster_queries as RQ
 from mapfold.plans.registry import query
-from mapfold.session import table
+from mapfold.session import table, written
 from mapfold.sources import writers as W
 
 _R = lambda c, n=6: F.round(c, n)
@@ -160,7 +160,13 @@ def dash_patterns(spark, sf_dir):
     return P.dash_pattern(sizes).join(P.dash_pattern_by_rule(sizes).withColumnRenamed("pattern", "by_rule"), ["map_id", "key"])
 
 
-@query()
+@query(
+    f"""WITH {I.COLORS_SQL}, k AS (SELECT map_id, key, CAST(round(avg(r)) AS INTEGER) AS r, CAST(round(avg(g)) AS INTEGER) AS g, CAST(round(avg(b)) AS INTEGER) AS b FROM pixels GROUP BY 1, 2), e AS (SELECT map_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM pixels GROUP BY 1),
+d AS (SELECT p.map_id, k.key, row, col, 0.95::DOUBLE * sqrt(pow(p.r - k.r, 2) + pow(p.g - k.g, 2) + pow(p.b - k.b, 2)) + 0.05::DOUBLE * (abs((p.r - p.g) - (k.r - k.g)) + abs((p.g - p.b) - (k.g - k.b))) AS d FROM pixels p JOIN k ON k.map_id = p.map_id),
+v AS (SELECT d.*, c0, c1, unnest(list_filter([row, 2 * r0 - 1 - row, 2 * r1 + 1 - row], lambda x: x BETWEEN r0 - 2 AND r1 + 2)) AS vr FROM d JOIN e USING (map_id)), w AS (SELECT *, unnest(list_filter([col, 2 * c0 - 1 - col, 2 * c1 + 1 - col], lambda x: x BETWEEN c0 - 2 AND c1 + 2)) AS vc FROM v),
+s AS (SELECT map_id, key, vr + a AS row, vc + b AS col, round(avg(d), 9) AS d FROM w, range(-2, 3) x(a), range(-2, 3) y(b) GROUP BY ALL), m AS (SELECT s.map_id, s.row, s.col, arg_min(s.key, (s.d, s.key)) AS key FROM s JOIN (SELECT DISTINCT map_id, row, col FROM pixels) p ON p.map_id = s.map_id AND p.row = s.row AND p.col = s.col GROUP BY 1, 2, 3)
+SELECT map_id, key, count(*) AS n FROM m GROUP BY 1, 2"""
+)
 def nearest_palette_keys(spark, sf_dir):
     """RAS4."""
     px = I.pixels(spark, sf_dir)
@@ -249,15 +255,16 @@ def street_mover_distance(spark, sf_dir):
 
 @query()
 def topo_scores(spark, sf_dir):
-    """EVL8, EVL9, EVL17, GRF15, JN19."""
-    e = I.edges(spark, sf_dir).filter("v - u < 5")
-    nodes = GR.both_ways(e).select("map_id", F.col("u").alias("node")).distinct().withColumns({"x": F.col("node").cast("double"), "y": (F.col("node") * 3 % 7).cast("double")})
-    true, starts = GR.edge_lengths(e, nodes), nodes.filter("node % 3 = 0").select("map_id", F.col("node").alias("start"))
+    """EVL8, EVL9, EVL17, GRF15: walks from every 50th node over the whole graph against one without a quarter of its edges."""
+    e = I.parts(spark, sf_dir)
+    nodes = GR.both_ways(e).select("map_id", F.col("u").alias("node")).distinct().withColumns({"x": F.floor(F.col("node") / 10) * 40.0 + F.col("node") % 10, "y": (F.col("node") * 3 % 7).cast("double")})
+    true, starts = GR.edge_lengths(e, nodes), nodes.filter("node % 50 = 0").select("map_id", F.col("node").alias("start"))
     pred = true.filter("(u + v) % 4 <> 0")
-    walk = lambda g: GR.walk_points(GR.bounded_distances(g.select("map_id", "u", "v", "length"), starts, 8.0), g, 8.0, 2.0)
-    a, b = walk(true), walk(pred)
-    one, many = E.topo_one_to_one(a, b, 1.0), E.simple_topo(a, b, 1.0)
-    return one.join(many.select("map_id", F.col("precision").alias("p"), F.col("recall").alias("r")), "map_id").select("map_id", *[_R(c).alias(c) for c in ("precision", "recall", "p", "r")])
+    walk = lambda g: GR.walk_points(GR.bounded_distances(g.select("map_id", "u", "v", "length"), starts, 4.0), g, 4.0, 2.0)
+    a, b = (written(walk(g)) for g in (true, pred))
+    one, many, soft = E.topo_one_to_one(a, b, 1.0), E.simple_topo(a, b, 1.0), E.soft_topo(a, b, 1.0)
+    out = one.join(many.select("map_id", F.col("precision").alias("p"), F.col("recall").alias("r")), "map_id").join(soft, "map_id")
+    return out.select("map_id", *[_R(c).alias(c) for c in ("precision", "recall", "p", "r", "f1")], _R("score", 3).alias("score"))
 
 
 @query()
