@@ -20,6 +20,7 @@ from mapfold.plans import inputs as I
 from mapfold.plans import join_queries as JQ
 from mapfold.plans import map_pipelines as MP
 from mapfold.plans import raster_queries as RQ
+from mapfold.plans import score_queries as SQ
 from mapfold.plans.registry import query
 from mapfold.session import table, written
 from mapfold.sources import writers as W
@@ -174,7 +175,7 @@ def nearest_palette_keys(spark, sf_dir):
     return P.nearest_palette(px.drop("key"), palette).groupBy("map_id", "key").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {I.MASK_SQL}, {SQ._FILLED_SQL.format(m="mask")} SELECT map_id, key, count(*) AS n FROM filled GROUP BY 1, 2""")
 def filled_masks(spark, sf_dir):
     """RAS8, RAS7."""
     m = I.mask(spark, sf_dir)
