@@ -11,7 +11,8 @@ Candidates are verified on the full sets. First each bucket's members are held a
 member that meets most others, which settles groups of copies with about as many checks as
 members. Then only buckets whose members are still in different components are looked at:
 finer sketches are compared block by block inside the tasks, and pairs that may be similar
-enough are verified too. Buckets with the same members count once. Documents with equal
+enough are verified too. A pair is looked at in one bucket only, the first of the tensor's
+order that both are in. Buckets with the same members count once, as the first of them. Documents with equal
 shingle sets are one class from the start and are never paired.
 """
 
@@ -83,22 +84,29 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "uid", "n_shingles", "c1", "c2", "sig"])
 
 
+def _halves(sig: np.ndarray) -> np.ndarray:
+    sig = sig.astype(U64)
+    return textkit.mix(sig[:, ::2] << U64(32) | sig[:, 1::2])
+
+
 def _half_keys(batches):
     """The 24 keys of each class, from pairs of its minimum hashes; slot tells the place in either collection."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, 4 * KEYS).astype(U64)
-        half = textkit.mix(sig[:, ::2] << U64(32) | sig[:, 1::2])
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, 4 * KEYS)
+        half = _halves(sig)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), 2 * KEYS)), pa.array(np.tile(np.arange(2 * KEYS, dtype=np.int32), len(sig))), textkit.as_i64(half.ravel())], ["node", "slot", "half"])
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, node): the buckets of each class that another class may share."""
+    """(place, key, node): the buckets of each class that another class may share, with their place in the tensor."""
     halves = classes.select("node", "sig").mapInArrow(_half_keys, "node long, slot int, half long")
     twice = halves.groupBy("slot", "half").agg(F.count("*").alias("k")).filter("k > 1").select("slot", "half")
     shared = halves.join(twice, ["slot", "half"]).withColumn("name", F.xxhash64("slot", "half"))
-    sides = shared.groupBy("node").agg(F.collect_list(F.when(F.col("slot") < KEYS, F.col("name"))).alias("left"), F.collect_list(F.when(F.col("slot") >= KEYS, F.col("name"))).alias("right"))
-    pairs = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y))))
-    return sides.select(F.explode(pairs).alias("key"), "node")
+    side = lambda own: F.collect_list(F.when(own, F.struct("slot", "name")))
+    sides = shared.groupBy("node").agg(side(F.col("slot") < KEYS).alias("left"), side(F.col("slot") >= KEYS).alias("right"))
+    one = lambda x, y: F.struct((x["slot"] * KEYS + y["slot"] - KEYS).alias("place"), F.xxhash64(x["name"], y["name"]).alias("key"))
+    pairs = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: one(x, y))))
+    return sides.select("node", F.inline(pairs)).select("place", "key", "node")
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -111,9 +119,12 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def _sketches(batches):
+    """Size, sketch and half keys of each set."""
+    mul, add = _params()
     for batch in batches:
-        raw = batch.column("shingles").to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(r) // 8 for r in raw], pa.int64()), pa.array([sketch(np.frombuffer(r, U64)) for r in raw], pa.binary())], ["node", "size", "sketch"])
+        sets = [np.frombuffer(r, U64) for r in batch.column("shingles").to_pylist()]
+        halves = [_halves(signature(s, mul, add)[None]).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(halves, pa.binary())], ["node", "size", "sketch", "halves"])
 
 
 def _plausible(percent: int):
@@ -129,6 +140,8 @@ def _plausible(percent: int):
     def pairs(rows):
         ids, labels, side, size = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
         bins = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+        halves = np.frombuffer(b"".join(r[6] for r in rows), U64).reshape(len(rows), -1)
+        l, r = divmod(rows[0][7], KEYS)
         left = np.flatnonzero(side == side.min())
         right = np.flatnonzero(side == side.max())
         for i in left:
@@ -136,6 +149,11 @@ def _plausible(percent: int):
             small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
             fits = (labels[other] != labels[i]) & (100 * small >= percent * large)
             other, whole = other[fits], (small + large)[fits] / (1 + share)
+            if len(other):
+                # the first bucket that both are in: no earlier key of either collection agrees
+                agree = halves[other] == halves[i]
+                here = ~agree[:, :l].any(1) & ~agree[:, KEYS : KEYS + r].any(1)
+                other, whole = other[here], whole[here]
             if len(other):
                 same = ((bins[other] == bins[i]) & (bins[i] > 0)).sum(1)
                 filled = np.maximum(((bins[other] > 0) | (bins[i] > 0)).sum(1), 1)
@@ -149,7 +167,7 @@ def _plausible(percent: int):
     def run(batches):
         held, name = [], None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("name", "node", "label", "side", "size", "sketch")]
+            columns = [batch.column(c).to_pylist() for c in ("name", "node", "label", "side", "size", "sketch", "halves", "place")]
             for row in zip(*columns, strict=True):
                 if row[0] != name:
                     if len(held) > 1:
@@ -231,9 +249,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     buckets = _buckets(classes)
     crowd = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), *(F.bit_xor(c).alias(f"x{k}") for k, c in enumerate(crowd))).filter("n > 1")
-    different = shared.groupBy("n", "x0", "x1").agg(F.min("key").alias("key"))
-    member = written(buckets.join(different.select("key", "n"), "key"))
+    shared = buckets.groupBy("place", "key").agg(F.count("*").alias("n"), *(F.bit_xor(c).alias(f"x{k}") for k, c in enumerate(crowd))).filter("n > 1")
+    different = shared.groupBy("n", "x0", "x1").agg(F.min(F.struct("place", "key")).alias("first")).select("n", "first.key")
+    member = written(buckets.join(different, "key"))
     release(docs.sparkSession)
     met = member.groupBy("node").agg(F.sum("n").alias("met"))
     ranked = member.join(met, "node")
@@ -246,16 +264,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = written(_verified(pairs, sets, percent))
 
     labels = connected_components(links)
-    labelled = member.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    labelled = member.join(labels, "node", "left").select("place", "key", "node", "n", F.coalesce("component", "node").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     open_rows = labelled.join(split, "key").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first, second = F.least("side", "other"), F.greatest("side", "other")
     # every bucket and every block pair of a large one by itself
-    open_rows = open_rows.select(F.concat_ws(".", first, second, "key").alias("name"), F.xxhash64("key", first, second).alias("spread"), "node", "label", "side")
-    fine = sets.join(open_rows.select("node").distinct(), "node").mapInArrow(_sketches, "node long, size long, sketch binary")
-    open_rows = open_rows.join(fine, "node").repartition(F.col("spread")).sortWithinPartitions("name").select("name", "node", "label", "side", "size", "sketch")
+    open_rows = open_rows.select(F.concat_ws(".", first, second, "key").alias("name"), F.xxhash64("key", first, second).alias("spread"), "node", "label", "side", "place")
+    fine = sets.join(open_rows.select("node").distinct(), "node").mapInArrow(_sketches, "node long, size long, sketch binary, halves binary")
+    open_rows = open_rows.join(fine, "node").repartition(F.col("spread")).sortWithinPartitions("name").select("name", "node", "label", "side", "size", "sketch", "halves", "place")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     release(docs.sparkSession)
     further = written(open_rows.mapInArrow(_plausible(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
