@@ -2,8 +2,8 @@
 
 The key of a row is (digest of its text, doc_id), so equal texts stand together and a hot
 text can still be split. Size-weighted key samples give quantile boundaries; records are
-dealt into key ranges, ranges that turn out overfull are subdivided with further samples,
-and the exact running sum of bytes over ranges (prefix of range totals, then a window
+dealt into key ranges, ranges that turn out overfull are subdivided with further samples
+(three times at most: what is overfull then is only a longer window, not a wrong shard), and the exact running sum of bytes over ranges (prefix of range totals, then a window
 inside each range) settles the shard. All of it is DataFrame work.
 
 Groups of equal texts that weigh at most a hundredth of a shard stay in one shard; larger
@@ -79,9 +79,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rows_per_range: int = 2
             break
         inside = ranged.filter(F.col("range").isin([r.range for r in over]))
         finer = _cut_points(draw(inside, 4 * PER_RANGE * len(over), sum(r.b for r in over)), PER_RANGE)
-        if not set(finer) - set(splitters):
+        further = sorted(set(finer) - set(splitters))
+        if not further:
             break
-        splitters = sorted({*splitters, *finer})[:MAX_RANGES]
+        room = MAX_RANGES - len(splitters)  # beyond it every so many-th further cut is made, all over the keys
+        splitters = sorted({*splitters, *further[:: -(-len(further) // room)]})
     hot = sorted({h for h, k in splitters if k != LOW})
 
     ranged = rows.withColumn("range", _at_most(F.col("h"), F.col("k"), splitters))
