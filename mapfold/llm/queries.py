@@ -11,8 +11,9 @@ from mapfold.llm.decontaminate import op7_pigeonhole_edits
 from mapfold.llm.language_model import op5_maxent_model
 from mapfold.llm.licenses import op1_prefix_filter_join
 from mapfold.llm.near_dup import op2_tensored_minhash
-from mapfold.llm.oracle import BYTES, NEAR, WORDS, license_sql, quality_sql
+from mapfold.llm.oracle import BYTES, NEAR, SIMILAR, WORDS, license_sql, quality_sql
 from mapfold.llm.quality import op6_language_divergence
+from mapfold.llm.set_join import op13_partition_signatures
 from mapfold.llm.secrets import op8_secret_automaton
 from mapfold.llm.sharding import op9_sampled_splitters
 from mapfold.llm.substring_dup import op4_seed_extend
@@ -31,12 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_automaton,
         op9_sampled_splitters,
         op10_merge_automaton,
+        op13_partition_signatures,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op1_prefix_filter_join": license_sql(),
     "op2_tensored_minhash": NEAR,
+    "op13_partition_signatures": SIMILAR,
     "op3_run_length_index": BYTES,
     "op4_seed_extend": WORDS,
     "op6_language_divergence": quality_sql(),
