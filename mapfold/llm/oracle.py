@@ -48,6 +48,65 @@ WITH RECURSIVE w AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
 """
 
+CRC_TABLE = """bits AS (
+  SELECT n, 0 AS k, CAST(n AS UINTEGER) AS c FROM range(256) t(n)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UINTEGER)) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8
+)"""
+
+PERIODS = f"""
+WITH RECURSIVE {CRC_TABLE}, d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, CAST(xor(CAST(4294967295 AS UINTEGER), list_reduce(
+           list_prepend(CAST(4294967295 AS UINTEGER), list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS UINTEGER))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS BIGINT) AS h
+  FROM documents, crc
+), e AS (
+  SELECT *, len(w) AS n, (h // 10) % nullif(len(w), 0) AS a FROM d
+), f AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e
+), v AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w, n FROM f
+), words AS (
+  SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM v
+), same AS (
+  SELECT x.doc_id, y.i - x.i AS p, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n AND x.n >= 24
+), island AS (
+  SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS g FROM same
+), stretch AS (
+  SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM island GROUP BY doc_id, p, g HAVING count(*) + p >= 24 AND count(*) >= 2 * p
+), run AS (
+  SELECT doc_id, start, length, min(p) AS period FROM stretch GROUP BY 1, 2, 3
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM run GROUP BY 1
+), best AS (
+  SELECT r.*, 1000 * length // period AS exponent_milli FROM run r
+  WHERE NOT EXISTS (SELECT 1 FROM run s WHERE s.doc_id = r.doc_id AND (s.length * r.period > r.length * s.period OR s.length * r.period = r.length * s.period AND (s.start < r.start OR s.start = r.start AND s.period < r.period)))
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words x
+  WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY 1
+)
+SELECT doc_id, n AS n_words, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(exponent_milli AS BIGINT) AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM v LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+NEGATIVES = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER first AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW first AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER first <= 3
+"""
+
 BYTES = """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents

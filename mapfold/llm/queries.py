@@ -11,13 +11,15 @@ from mapfold.llm.decontaminate import op7_pigeonhole_edits
 from mapfold.llm.language_model import op5_maxent_model
 from mapfold.llm.licenses import op1_prefix_filter_join
 from mapfold.llm.near_dup import op2_tensored_minhash
-from mapfold.llm.oracle import BYTES, NEAR, SIMILAR, WORDS, license_sql, quality_sql
+from mapfold.llm.oracle import BYTES, NEAR, NEGATIVES, PERIODS, SIMILAR, WORDS, license_sql, quality_sql
+from mapfold.llm.periodic import op11_octave_tiles
 from mapfold.llm.quality import op6_language_divergence
 from mapfold.llm.set_join import op13_partition_signatures
 from mapfold.llm.secrets import op8_secret_automaton
 from mapfold.llm.sharding import op9_sampled_splitters
 from mapfold.llm.substring_dup import op4_seed_extend
 from mapfold.llm.suffix_dup import op3_run_length_index
+from mapfold.llm.threshold_join import op12_suffix_norm_negatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_automaton,
         op9_sampled_splitters,
         op10_merge_automaton,
+        op11_octave_tiles,
+        op12_suffix_norm_negatives,
         op13_partition_signatures,
     )
 }
@@ -39,6 +43,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_prefix_filter_join": license_sql(),
     "op2_tensored_minhash": NEAR,
+    "op11_octave_tiles": PERIODS,
+    "op12_suffix_norm_negatives": NEGATIVES,
     "op13_partition_signatures": SIMILAR,
     "op3_run_length_index": BYTES,
     "op4_seed_extend": WORDS,
