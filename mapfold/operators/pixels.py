@@ -95,7 +95,17 @@ def nearest_palette(pixels: DataFrame, palette: DataFrame) -> DataFrame:
 
 def filled_rings(rings: DataFrame) -> DataFrame:
     """Pixels inside rings by scanlines (RAS5, SNK10). rings: map_id, key, ring closed; a pixel counts by its place on the line."""
-    e = rings.withColumn("_id", F.monotonically_increasing_id()).select(*KEYS, "_id", F.explode(G.edges(F.col("ring"))).alias("e"))
+    return _scanned(rings.withColumn("_id", F.monotonically_increasing_id()).select(*KEYS, "_id", F.explode(G.edges(F.col("ring"))).alias("e")))
+
+
+def filled_polygons(polygons: DataFrame) -> DataFrame:
+    """Pixels inside polygons with holes, by scanlines (RAS5). polygons: map_id, key, ring, holes, all closed."""
+    rings = polygons.withColumn("_id", F.monotonically_increasing_id()).withColumn("_ring", F.explode(F.concat(F.array("ring"), "holes")))
+    return _scanned(rings.select(*KEYS, "_id", F.explode(G.edges(F.col("_ring"))).alias("e")))
+
+
+def _scanned(e: DataFrame) -> DataFrame:
+    """Pixels between every other edge of what shares an _id, line by line."""
     low, high = F.least("e.a.y", "e.b.y"), F.greatest("e.a.y", "e.b.y")
     e = e.filter(F.ceil(low) < F.ceil(high)).withColumn("row", F.explode(F.sequence(F.ceil(low), F.ceil(high) - 1)))
     x = F.col("e.a.x") + (F.col("row") - F.col("e.a.y")) * (F.col("e.b.x") - F.col("e.a.x")) / (F.col("e.b.y") - F.col("e.a.y"))

@@ -131,3 +131,24 @@ GCPS_SQL = """gcps AS (SELECT CAST(n_regionkey AS BIGINT) AS map_id, CAST(n_nati
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+#: Masks of many small sheets: they grow with the rows.
+SHEET_MASK_SQL = """sheet_mask AS (
+  SELECT DISTINCT l_orderkey // 500 AS map_id, l_returnflag AS key, CAST(l_partkey * 7 % 24 AS INTEGER) AS row, CAST((l_suppkey * 7 + l_linenumber * 131) % 24 AS INTEGER) AS col FROM lineitem)"""
+
+
+def sheet_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse masks of 24 x 24 pixels, a sheet for 500 order keys."""
+    col = (F.col("l_suppkey") * 7 + F.col("l_linenumber") * 131) % 24
+    at = {"map_id": F.floor(F.col("l_orderkey") / 500), "key": F.col("l_returnflag"), "row": (F.col("l_partkey") * 7 % 24).cast("int"), "col": col.cast("int")}
+    return table(spark, sf_dir, "lineitem").select(*[c.alias(n) for n, c in at.items()]).distinct()
+
+
+#: Where the nodes of the graph of parts stand.
+PLACES_SQL = "places AS (SELECT map_id, node, CAST(node * 37 % 1000 AS DOUBLE) AS x, CAST(node * 91 % 1000 AS DOUBLE) AS y FROM (SELECT map_id, u AS node FROM parts UNION SELECT map_id, v FROM parts))"
+
+
+def places(edges: DataFrame) -> DataFrame:
+    nodes = edges.select("map_id", F.explode(F.array("u", "v")).alias("node")).distinct()
+    return nodes.withColumns({"x": (F.col("node") * 37 % 1000).cast("double"), "y": (F.col("node") * 91 % 1000).cast("double")})
