@@ -146,6 +146,32 @@ def valid_ring(ring: Column) -> Column:
     return (F.size(F.array_distinct(ring)) >= 3) & (ring_area(ring) > 0)
 
 
+def ring_fault(ring: Column) -> Column:
+    """What is wrong with a closed ring, null if nothing is (GEO20, FLT17).
+
+    'points' under three places, 'open' where it doesn't end at its start, 'spike' where an
+    edge turns back over the one before, 'crosses' where two edges that aren't neighbours
+    cross, 'touches' where they share a point, 'area' where it has none. Doubled vertices
+    count once. Each edge is held against those after its next, so a ring costs its size squared.
+    """
+    places = F.filter(ring, lambda p, i: (i == 0) | (p != F.get(ring, i - 1)))
+    e = edges(places)
+    n = F.size(e)
+    ends = lambda a: (a["a"]["x"], a["a"]["y"], a["b"]["x"], a["b"]["y"])
+    after = lambda i: F.get(e, (i + 1) % n)
+
+    def turns_back(a: Column, b: Column) -> Column:
+        ux, uy, vx, vy = a["b"]["x"] - a["a"]["x"], a["b"]["y"] - a["a"]["y"], b["b"]["x"] - b["a"]["x"], b["b"]["y"] - b["a"]["y"]
+        return (ux * vy == uy * vx) & (ux * vx + uy * vy < 0)
+
+    # the last edge is a neighbour of the first
+    rest = lambda i: F.slice(e, i + 3, F.greatest(n - i - 2 - F.when(i == 0, 1).otherwise(0), F.lit(0)))
+    some = lambda test: F.exists(F.transform(e, lambda a, i: F.exists(rest(i), lambda b: test(*ends(a), *ends(b)))), lambda x: x)
+    spike = F.exists(F.transform(e, lambda a, i: turns_back(a, after(i))), lambda x: x)
+    fault = F.when(F.size(F.array_distinct(ring)) < 3, "points").when(F.element_at(ring, 1) != F.element_at(ring, -1), "open")
+    return fault.when(spike, "spike").when(some(segments_pass), "crosses").when(some(segments_meet), "touches").when(ring_area(ring) == 0, "area")
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd test of a point against a closed ring."""
 
@@ -305,6 +331,25 @@ def segments_cross(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     return (_turn(ax, ay, cx, cy, dx, dy) != _turn(bx, by, cx, cy, dx, dy)) & (_turn(ax, ay, bx, by, cx, cy) != _turn(ax, ay, bx, by, dx, dy))
 
 
+def _side_of(ax, ay, bx, by, px, py) -> Column:
+    return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+
+def segments_pass(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Either segment has its ends strictly on both sides of the other (GEO24)."""
+    return (_side_of(ax, ay, bx, by, cx, cy) * _side_of(ax, ay, bx, by, dx, dy) < 0) & (_side_of(cx, cy, dx, dy, ax, ay) * _side_of(cx, cy, dx, dy, bx, by) < 0)
+
+
+def segments_meet(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Two closed segments share a point, ends and overlaps included (GEO24, JN12)."""
+
+    def on(px, py, qx, qy, x, y) -> Column:
+        return (_side_of(px, py, qx, qy, x, y) == 0) & x.between(F.least(px, qx), F.greatest(px, qx)) & y.between(F.least(py, qy), F.greatest(py, qy))
+
+    ends = on(cx, cy, dx, dy, ax, ay) | on(cx, cy, dx, dy, bx, by) | on(ax, ay, bx, by, cx, cy) | on(ax, ay, bx, by, dx, dy)
+    return segments_pass(ax, ay, bx, by, cx, cy, dx, dy) | ends
+
+
 def crossing_point(ax, ay, bx, by, cx, cy, dx, dy) -> tuple[Column, Column]:
     """Where the lines through two segments meet (GEO24); null when parallel."""
     det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)

@@ -131,12 +131,12 @@ def _match_image(iou_thresholds: tuple[float, ...], most: int):
         for t in iou_thresholds:
             free = np.ones(len(g), bool)
             for k, (box, score) in enumerate(zip(det["box_id"], det["score"], strict=True)):
-                best = max((j for j in range(len(g)) if free[j] and iou[k, j] >= t and not ignored[j]), key=lambda j: iou[k, j], default=None)
+                # a box to be found before one to be ignored, and either only once; of equal overlaps the later box
+                best = max((j for j in range(len(g)) if free[j] and iou[k, j] >= t), key=lambda j: (not ignored[j], iou[k, j], j), default=None)
                 if best is not None:
                     free[best] = False
-                    rows.append((t, box, score, True))
-                elif not any(iou[k, j] >= t for j in range(len(g)) if ignored[j]):
-                    rows.append((t, box, score, False))
+                if best is None or not ignored[best]:
+                    rows.append((t, box, score, best is not None))
         out = pd.DataFrame(rows, columns=["iou", "box_id", "score", "tp"])
         out.insert(0, "class", pdf["class"].iloc[0])
         out.insert(0, "image_id", pdf["image_id"].iloc[0])

@@ -106,12 +106,18 @@ def sane_geometry(df: DataFrame, least_area: float = 1000.0) -> DataFrame:
 
 
 def valid_detections(df: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rings inside their sheet that turn clockwise and have an area, the others) (FLT17)."""
-    d = df.join(sheets, "map_id")
+    """(rings that can be kept, the others with a reason) (FLT17).
+
+    Kept are closed rings inside their sheet that turn clockwise, have an area and neither
+    cross nor touch themselves. reason is one of ring_fault, 'outside', 'turns' for the
+    wrong way round, or 'missing' for a null ring or a sheet of unknown size.
+    """
+    d = df.join(sheets, "map_id", "left")
     inside = F.forall("ring", lambda p: (p["x"] >= 0) & (p["y"] >= 0) & (p["x"] <= F.col("width")) & (p["y"] <= F.col("height")))
-    ok = F.coalesce(inside & (G.signed_area(F.col("ring")) < 0) & G.valid_ring(F.col("ring")), F.lit(False))
-    d = d.withColumn("_ok", ok)
-    return d.filter("_ok").drop("_ok"), d.filter("NOT _ok").drop("_ok")
+    missing = F.col("ring").isNull() | inside.isNull()
+    reason = F.when(missing, "missing").when(~inside, "outside").otherwise(F.coalesce(G.ring_fault(F.col("ring")), F.when(G.signed_area(F.col("ring")) > 0, "turns")))
+    d = d.withColumn("reason", reason)
+    return d.filter("reason IS NULL").drop("reason"), d.filter("reason IS NOT NULL")
 
 
 def search_box(boxes: DataFrame, margin: float = 300.0, right: float = 1800.0) -> DataFrame:

@@ -116,8 +116,8 @@ def triplets(positives: DataFrame, pool: DataFrame, seed: int = 1) -> DataFrame:
     takes the first that is no positive. A pair without one takes a place among the rows
     that are left to its anchor, or null where none is.
     """
-    numbered, n = _numbered(pool.select(F.col("id").alias("negative")).distinct(), F.xxhash64("negative", F.lit(seed)))
-    draw = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pmod(F.xxhash64("anchor", "positive", k, F.lit(seed)), F.lit(max(n, 1))))
+    numbered, n = _numbered(pool.select(F.col("id").alias("negative")).distinct(), _rank("negative", F.lit(seed)))
+    draw = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pmod(_rank("anchor", "positive", k, F.lit(seed)), F.lit(max(n, 1))))
     dealt = positives.select("anchor", "positive", F.posexplode(draw).alias("_try", "_at")).join(numbered, "_at")
     free = dealt.filter("negative != anchor").join(positives.select("anchor", F.col("positive").alias("negative")), ["anchor", "negative"], "left_anti")
     first = written(free.groupBy("anchor", "positive").agg(F.min_by("negative", "_try").alias("negative")))
@@ -126,9 +126,14 @@ def triplets(positives: DataFrame, pool: DataFrame, seed: int = 1) -> DataFrame:
     return first.unionByName(_among_the_free(rest, positives, numbered, n, seed))
 
 
+def _rank(*parts: str | Column) -> Column:
+    """60 bits of a digest that any engine can repeat; nulls are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _numbered(pool: DataFrame, rank: Column) -> tuple[DataFrame, int]:
     """(pool (negative) with places _at from 0 by rank, number of rows): places in 4,096 ranges of the rank, moved by the counts of those before."""
-    ranked = pool.withColumn("_rank", rank).withColumn("_range", F.shiftright("_rank", 52))
+    ranked = pool.withColumn("_rank", rank).withColumn("_range", F.shiftright("_rank", 48))
     before, n = [], 0
     for r in sorted(ranked.groupBy("_range").count().collect()):
         before.append((r["_range"], n))
@@ -151,7 +156,7 @@ def _among_the_free(rest: DataFrame, positives: DataFrame, numbered: DataFrame,
     gaps = taken.select("anchor", (F.col("_at") - F.row_number().over(Window.partitionBy("anchor").orderBy("_at")) + 1).alias("_r"), F.lit(None).alias("positive"), F.lit(1).alias("_taken"))
     left = F.lit(n) - F.coalesce("_n", F.lit(0))
     asked = rest.join(taken.groupBy("anchor").agg(F.count("*").alias("_n")), "anchor", "left")
-    asked = asked.select("anchor", F.when(left > 0, F.pmod(F.xxhash64("anchor", "positive", F.lit(seed)), F.greatest(left, F.lit(1)))).alias("_r"), "positive", F.lit(0).alias("_taken"))
+    asked = asked.select("anchor", F.when(left > 0, F.pmod(_rank("anchor", "positive", F.lit(seed)), F.greatest(left, F.lit(1)))).alias("_r"), "positive", F.lit(0).alias("_taken"))
     order = Window.partitionBy("anchor").orderBy("_r", F.desc("_taken")).rowsBetween(Window.unboundedPreceding, 0)
     placed = gaps.unionByName(asked).withColumn("_at", F.col("_r") + F.sum("_taken").over(order)).filter("_taken = 0")
     return placed.join(numbered, "_at", "left").select("anchor", "positive", "negative")

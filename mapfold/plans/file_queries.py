@@ -275,29 +275,49 @@ def description_files(spark, sf_dir):
     return data.select("map_id", "feature_type", numbers[0].cast("long").alias("box_id"), F.get_json_object("value", "$.description").alias("description"))
 
 
-@query(
-    """WITH g AS (SELECT DISTINCT n_regionkey AS map_id FROM nation), p AS (SELECT p_partkey % 20 AS map_id, p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 20 IN (SELECT map_id FROM g)),
-pt AS (SELECT DISTINCT l_orderkey % 20 AS map_id, l_returnflag AS type, l_partkey % 1000 AS x, (l_suppkey * 7 + l_linenumber * 131) % 1000 AS y FROM lineitem WHERE l_orderkey % 20 IN (SELECT map_id FROM g)),
-u AS (SELECT 'map' AS t, map_id FROM g UNION ALL SELECT 'georeference_meta', map_id FROM g UNION ALL SELECT 'ground_control_point', n_regionkey FROM nation
- UNION ALL SELECT 'polygon_type', map_id FROM (SELECT DISTINCT map_id, name FROM p) UNION ALL SELECT 'geologic_unit', map_id FROM (SELECT DISTINCT map_id FROM p)
- UNION ALL SELECT 'polygon_feature', map_id FROM p UNION ALL SELECT 'point_type', map_id FROM (SELECT DISTINCT map_id, type FROM pt) UNION ALL SELECT 'point_feature', map_id FROM pt
- UNION ALL SELECT 'line_type', map_id FROM (SELECT DISTINCT map_id, name FROM p) UNION ALL SELECT 'line_feature', map_id FROM p)
-SELECT t AS "table", CAST(map_id AS BIGINT) AS map_id, count(*) AS rows FROM u GROUP BY 1, 2"""
-)
-def delivery_row_counts(spark, sf_dir):
-    """SNK3, SNK4, KEY1-KEY3, REF2: rows of each delivery table of every map with control points."""
+def _delivery(spark, sf_dir, chosen="true", known=None):
+    """The delivery tables of the maps with control points that are chosen."""
     from mapfold.plans import map_pipelines as MP
 
-    gcps = I.gcps(spark, sf_dir)
+    gcps = I.gcps(spark, sf_dir).filter(chosen)
     maps = gcps.select("map_id").distinct()
     rings = I.box_rings(spark, sf_dir).join(maps, "map_id", "left_semi")
     none = lambda *cs: [F.lit(None).cast("string").alias(c) for c in cs]
     ages = [F.lit(None).cast("double").alias(c) for c in ("b_age", "t_age")]
-    polygons = rings.select("map_id", "name", *none("color", "pattern", "abbreviation", "description", "category", "unit_name", "unit_age"), *ages, F.col("ring").alias("geom"))
+    unknown = none("color", "pattern", "abbreviation", "description", "category", "unit_name", "unit_age")
+    polygons = rings.select("map_id", "name", *unknown, *ages, F.col("ring").alias("geom"))
     points = I.points(spark, sf_dir).join(maps, "map_id", "left_semi").select("map_id", "type", *none("description"), "x", "y", F.lit(None).cast("double").alias("dip"))
     lines = rings.select("map_id", F.concat("name", F.lit("_line")).alias("name"), *none("description", "dash", "symbol"), F.col("ring").alias("geom"))
+    return MP.delivery(maps, gcps, polygons, points, lines, known=known)
+
+
+def _row_counts(tables):
     out = None
-    for name, df in sorted(MP.delivery(maps, gcps, polygons, points, lines).items()):
-        one = df.groupBy("map_id").agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "map_id", "rows")
+    for name, df in sorted(tables.items()):
+        one = df.groupBy("map_id").agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), F.col("map_id").cast("long").alias("map_id"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_DELIVERED_SQL = """WITH g AS (SELECT DISTINCT n_regionkey AS map_id FROM nation), p AS (SELECT p_partkey % 20 AS map_id, p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 20 IN (SELECT map_id FROM g)),
+pt AS (SELECT DISTINCT l_orderkey % 20 AS map_id, l_returnflag AS type, l_partkey % 1000 AS x, (l_suppkey * 7 + l_linenumber * 131) % 1000 AS y FROM lineitem WHERE l_orderkey % 20 IN (SELECT map_id FROM g)),
+u AS (SELECT 'map' AS t, map_id FROM g UNION ALL SELECT 'georeference_meta', map_id FROM g UNION ALL SELECT 'ground_control_point', n_regionkey FROM nation
+ UNION ALL SELECT 'polygon_type', map_id FROM (SELECT DISTINCT map_id, name FROM p) UNION ALL SELECT 'geologic_unit', map_id FROM (SELECT DISTINCT map_id FROM p)
+ UNION ALL SELECT 'polygon_feature', map_id FROM p UNION ALL SELECT 'point_type', map_id FROM (SELECT DISTINCT map_id, type FROM pt) UNION ALL SELECT 'point_feature', map_id FROM pt
+ UNION ALL SELECT 'line_type', map_id FROM (SELECT DISTINCT map_id, name FROM p) UNION ALL SELECT 'line_feature', map_id FROM p)
+SELECT t AS "table", CAST(map_id AS BIGINT) AS map_id, count(*) AS rows FROM u GROUP BY 1, 2"""
+
+
+@query(_DELIVERED_SQL)
+def delivery_row_counts(spark, sf_dir):
+    """SNK3, SNK4, KEY1-KEY3, REF2: rows of each delivery table of every map with control points."""
+    return _row_counts(_delivery(spark, sf_dir))
+
+
+@query(_DELIVERED_SQL)
+def delivered_map_by_map(spark, sf_dir):
+    """SNK3, SNK4, KEY1-KEY3: what is read back when two deliveries hold all maps and one map comes a second time."""
+    path = _folder(spark)
+    for chosen in ("map_id < 2", "map_id >= 2", "map_id = 1"):
+        W.write_delivery(_delivery(spark, sf_dir, chosen, W.read_delivery(spark, path)), path)
+    return _row_counts(W.read_delivery(spark, path))

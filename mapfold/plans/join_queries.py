@@ -80,14 +80,14 @@ def containment_scores(spark, sf_dir):
 
 
 @query(
-    f"""WITH {I.BOXES_SQL}, l AS (SELECT box_id AS label_id, string_split(lower(name), ' ')[1] AS text, xmin + 0.25 AS x0, ymin + 0.25 AS y0, xmax + 0.25 AS x1, ymax + 0.25 AS y1 FROM boxes WHERE box_id % 2 = 1 AND xmax > xmin),
-p AS (SELECT * FROM boxes WHERE box_id % 2 = 0 AND xmax > xmin), k AS (SELECT label_id, list_sort(list(box_id)) AS ids FROM l JOIN p ON x0 < xmax AND xmin < x1 AND y0 < ymax AND ymin < y1 AND contains(lower(name), text) GROUP BY 1)
+    f"""WITH {I.BOXES_SQL}, l AS (SELECT box_id AS label_id, string_split(lower(name), ' ')[1] AS text, xmin AS x0, ymin AS y0, xmax AS x1, ymax AS y1 FROM boxes WHERE box_id % 2 = 1 AND xmax > xmin),
+p AS (SELECT * FROM boxes WHERE box_id % 2 = 0 AND xmax > xmin), k AS (SELECT label_id, list_sort(list(box_id)) AS ids FROM l JOIN p ON x0 <= xmax AND xmin <= x1 AND y0 <= ymax AND ymin <= y1 AND contains(lower(name), text) GROUP BY 1)
 SELECT label_id, array_to_string(ids, ',') AS polygons FROM l LEFT JOIN k USING (label_id)"""
 )
 def linked_labels(spark, sf_dir):
     """JN12: labels with the polygons that hold their word in the name and touch their ring."""
     r = I.box_rings(spark, sf_dir).filter(G.ring_area(F.col("ring")) > 0)
-    labels = r.filter("box_id % 2 = 1").select(F.col("box_id").alias("label_id"), F.split("name", " ")[0].alias("text"), G.each(F.col("ring"), lambda x, y: (x + 0.25, y + 0.25)).alias("ring"))
+    labels = r.filter("box_id % 2 = 1").select(F.col("box_id").alias("label_id"), F.split("name", " ")[0].alias("text"), "ring")
     polygons = r.filter("box_id % 2 = 0").select(F.col("box_id").alias("polygon_id"), "name", F.col("ring").alias("geom"))
     return S.link_labels(labels, polygons, 64.0).select("label_id", F.array_join("polygon_ids", ",").alias("polygons"))
 

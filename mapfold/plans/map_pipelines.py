@@ -75,11 +75,11 @@ def point_features(patches: DataFrame, regions: DataFrame, text_rings: DataFrame
     return dipped.withColumn("feature_id", F.row_number().over(Window.partitionBy("map_id", "type").orderBy("point_id")))
 
 
-def delivery(maps: DataFrame, gcps: DataFrame, polygons: DataFrame, points: DataFrame, lines: DataFrame, georeferenced: bool = True) -> dict[str, DataFrame]:
+def delivery(maps: DataFrame, gcps: DataFrame, polygons: DataFrame, points: DataFrame, lines: DataFrame, georeferenced: bool = True, known: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """The delivery tables, in the map frame through each map's control points or in pixels (3.5)."""
     if georeferenced:
         c = georef.affine_from_gcps(gcps)
         polygons, lines = georef.apply_affine(polygons, c), georef.apply_affine(lines, c)
         placed = georef.apply_affine(points.withColumn("geom", F.array(G.point(F.col("x"), F.col("y")))), c)
         points = placed.withColumns({"x": F.col("geom")[0]["x"], "y": F.col("geom")[0]["y"]}).drop("geom")
-    return writers.delivery_tables(maps, gcps, polygons, points, lines)
+    return writers.delivery_tables(maps, gcps, polygons, points, lines, known)

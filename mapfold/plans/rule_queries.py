@@ -173,15 +173,21 @@ def column_votes(spark, sf_dir):
     return L.column_vote(b).select("map_id", "column", "box_id")
 
 
-@query(f"WITH {I.BOXES_SQL} SELECT map_id, box_id, xmax <= 700 AND ymax <= 600 AND xmax > xmin AND ymax > ymin AND box_id % 5 > 0 AS ok FROM boxes")
+@query(
+    f"""WITH {I.BOXES_SQL} SELECT map_id, box_id, CASE WHEN xmax > 700 OR ymax > 600 THEN 'outside'
+ WHEN box_id % 5 = 2 THEN CASE WHEN xmax > xmin THEN 'crosses' ELSE 'points' END WHEN xmax = xmin THEN 'points' WHEN box_id % 5 = 3 THEN 'spike' WHEN box_id % 5 = 4 THEN 'touches' WHEN box_id % 5 = 0 THEN 'turns' ELSE 'kept' END AS verdict FROM boxes"""
+)
 def detection_checks(spark, sf_dir):
-    """FLT17, GEO20: rings inside the sheet that turn the right way and have an area."""
-    r = I.box_rings(spark, sf_dir)
-    turned = r.withColumn("ring", F.when(F.col("box_id") % 5 > 0, F.reverse("ring")).otherwise(F.col("ring")))
-    sheets = r.select("map_id").distinct().select("map_id", F.lit(600).alias("height"), F.lit(700).alias("width"))
-    good, bad = L.valid_detections(turned, sheets)
-    told = lambda df, ok: df.select("map_id", "box_id", F.lit(ok).alias("ok"))
-    return told(good, True).unionByName(told(bad, False))
+    """FLT17, GEO20: rings inside the sheet that turn the right way and don't meet themselves; bow ties, spikes and pinches otherwise."""
+    b = I.boxes(spark, sf_dir)
+    p = {k: G.point(*(F.col(f"box.{c}") for c in cs)) for k, cs in {"nw": ("xmin", "ymin"), "ne": ("xmax", "ymin"), "se": ("xmax", "ymax"), "sw": ("xmin", "ymax")}.items()}
+    mid = G.point((F.col("box.xmin") + F.col("box.xmax")) / 2, F.col("box.ymin"))
+    shapes = {0: ("nw", "ne", "se", "sw", "nw"), 1: ("nw", "sw", "se", "ne", "nw"), 2: ("nw", "se", "ne", "sw", "nw"), 3: ("nw", "sw", "se", "ne", "se", "ne", "nw"), 4: ("nw", "sw", mid, "se", "ne", "nw")}
+    ring = F.coalesce(*[F.when(F.col("box_id") % 5 == k, F.array(*[p[v] if isinstance(v, str) else v for v in vs])) for k, vs in shapes.items()])
+    sheets = b.select("map_id").distinct().select("map_id", F.lit(600).alias("height"), F.lit(700).alias("width"))
+    good, bad = L.valid_detections(b.select("map_id", "box_id", ring.alias("ring")), sheets)
+    told = lambda df, verdict: df.select("map_id", "box_id", verdict.alias("verdict"))
+    return told(good, F.lit("kept")).unionByName(told(bad, F.col("reason")))
 
 
 @query(

@@ -268,11 +268,22 @@ def topo_scores(spark, sf_dir):
     return out.select("map_id", *[_R(c).alias(c) for c in ("precision", "recall", "p", "r", "f1")], _R("score", 3).alias("score"))
 
 
-@query()
+_RANK = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
+
+
+@query(
+    f"""WITH g AS (SELECT vec_id AS id, label, vec_id // 1000 AS sheet FROM embeddings), p AS (SELECT a.id AS anchor, b.id AS positive FROM g a JOIN g b ON a.label = b.label AND a.sheet = b.sheet AND a.id <> b.id WHERE a.id % 50 = 0),
+n AS (SELECT id AS negative, row_number() OVER (ORDER BY {_RANK.format("id || '/1'")}, id) - 1 AS place, count(*) OVER () AS n FROM g),
+d AS (SELECT anchor, positive, k, {_RANK.format("anchor || '/' || positive || '/' || k || '/1'")} % (SELECT max(n) FROM n) AS place FROM p, range(8) t(k)),
+f AS (SELECT anchor, positive, arg_min(negative, k) AS negative FROM d JOIN n USING (place) WHERE negative <> anchor AND NOT EXISTS (SELECT 1 FROM p q WHERE q.anchor = d.anchor AND q.positive = n.negative) GROUP BY 1, 2),
+free AS (SELECT a.anchor, list(negative ORDER BY place) AS l FROM (SELECT DISTINCT anchor FROM p) a, n WHERE negative <> anchor AND NOT EXISTS (SELECT 1 FROM p q WHERE q.anchor = a.anchor AND q.positive = n.negative) GROUP BY 1)
+SELECT anchor, positive, coalesce(f.negative, l[1 + {_RANK.format("anchor || '/' || positive || '/1'")} % len(l)]) AS negative FROM p LEFT JOIN f USING (anchor, positive) LEFT JOIN free USING (anchor)"""
+)
 def vector_triplets(spark, sf_dir):
-    """SMP1: anchors, positives of the same label, negatives of another."""
-    e = I.embeddings(spark, sf_dir)
-    p = e.filter("id % 50 = 0").select(F.col("id").alias("anchor"), "label").join(e.select("id", "label"), "label").filter("id != anchor").select("anchor", F.col("id").alias("positive"))
+    """SMP1: anchors, positives of the same label and sheet (a thousand ids), negatives that are neither."""
+    e = I.embeddings(spark, sf_dir).withColumn("sheet", F.floor(F.col("id") / 1000))
+    own = e.select("id", "label", "sheet")
+    p = own.filter("id % 50 = 0").withColumnRenamed("id", "anchor").join(own, ["label", "sheet"]).filter("id != anchor").select("anchor", F.col("id").alias("positive"))
     return V.triplets(p, e)
 
 

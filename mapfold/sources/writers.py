@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mapfold.functions import geometry as G
 
 
+DELIVERED = (
+    "map",
+    "georeference_meta",
+    "ground_control_point",
+    "polygon_type",
+    "geologic_unit",
+    "polygon_feature",
+    "point_type",
+    "point_feature",
+    "line_type",
+    "line_feature",
+)
+
+
 def feature(kind: str, coordinates: Column, properties: Column) -> Column:
     return F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"), properties.alias("properties"))
 
@@ -20,32 +37,46 @@ def feature_collections(features: DataFrame, groups: DataFrame, keys: list[str],
 
 
 def write_collections(collections: DataFrame, path: str, keys: list[str]) -> None:
-    collections.withColumnRenamed("json", "value").write.partitionBy(*keys).mode("overwrite").text(path)
+    """One folder a group; groups that are not among the collections stay as they are."""
+    rows = collections.withColumnRenamed("json", "value")
+    rows.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
 
 
-def surrogate_keys(rows: DataFrame, columns: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+def surrogate_keys(rows: DataFrame, columns: list[str], name: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(dimension with ids from 1, rows with the id) of the distinct tuples of some columns (KEY1-KEY3).
 
-    Ids are per map, so ranks are windows of one map's few types.
+    Ids are per map, so ranks are windows of one map's few types. Tuples of a known
+    dimension keep their ids, also those that no row has any more; new ones go on after
+    the largest id of their map.
     """
+    same = lambda a, b: [F.col(f"{a}.map_id") == F.col(f"{b}.map_id")] + [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
+    by = Window.partitionBy("map_id").orderBy(*columns)
     dim = rows.select("map_id", *columns).distinct()
-    dim = dim.withColumn(name, F.row_number().over(Window.partitionBy("map_id").orderBy(*columns)))
-    same = [F.col("r.map_id") == F.col("d.map_id")] + [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in columns]
-    return dim, rows.alias("r").join(dim.alias("d"), same).select("r.*", f"d.{name}")
+    if known is None:
+        dim = dim.withColumn(name, F.row_number().over(by))
+    else:
+        old = known.select("map_id", *columns, name).join(rows.select("map_id").distinct(), "map_id", "left_semi")
+        last = old.groupBy("map_id").agg(F.max(name).alias("_last"))
+        new = dim.alias("n").join(old.alias("o"), same("n", "o"), "left_anti").join(last, "map_id", "left")
+        dim = old.unionByName(new.select("map_id", *columns, (F.coalesce("_last", F.lit(0)) + F.row_number().over(by)).cast("int").alias(name)))
+    return dim, rows.alias("r").join(dim.alias("d"), same("r", "d")).select("r.*", f"d.{name}")
 
 
-def delivery_tables(maps: DataFrame, gcps: DataFrame, polygons: DataFrame, points: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
+def delivery_tables(maps: DataFrame, gcps: DataFrame, polygons: DataFrame, points: DataFrame, lines: DataFrame, known: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """The ten tables of a delivery with keys that hold (SNK3, SNK4). All inputs have map_id.
 
+    known: the tables of earlier deliveries, whose type and unit ids stay.
+
     polygons: name, color, pattern, abbreviation, description, category, unit_name, unit_age,
     b_age, t_age, geom; points: type, description, x, y, dip; lines: name, description, dash,
     symbol, geom. Coordinates are those of the inputs: pixel or map frame.
     """
-    poly_type, p = surrogate_keys(polygons, ["name", "color", "pattern", "abbreviation", "description", "category"], "type_id")
-    unit, p = surrogate_keys(p, ["unit_name", "unit_age", "b_age", "t_age"], "unit_id")
-    point_type, q = surrogate_keys(points, ["type", "description"], "type_id")
+    old = (known or {}).get
+    poly_type, p = surrogate_keys(polygons, ["name", "color", "pattern", "abbreviation", "description", "category"], "type_id", old("polygon_type"))
+    unit, p = surrogate_keys(p, ["unit_name", "unit_age", "b_age", "t_age"], "unit_id", old("geologic_unit"))
+    point_type, q = surrogate_keys(points, ["type", "description"], "type_id", old("point_type"))
     short = lines.withColumn("type_name", F.expr("substring(name, 1, greatest(length(name) - 5, 0))"))
-    line_type, s = surrogate_keys(short, ["type_name", "description", "dash", "symbol"], "type_id")
+    line_type, s = surrogate_keys(short, ["type_name", "description", "dash", "symbol"], "type_id", old("line_type"))
     number = lambda df, *order: df.withColumn("id", F.row_number().over(Window.partitionBy("map_id").orderBy(*order)))
     meta = gcps.groupBy("map_id").agg(F.count("*").alias("n_points"), F.min("mx").alias("west"), F.max("mx").alias("east"), F.min("my").alias("south"), F.max("my").alias("north"))
     return {
@@ -63,9 +94,50 @@ def delivery_tables(maps: DataFrame, gcps: DataFrame, polygons: DataFrame, point
 
 
 def write_delivery(tables: dict[str, DataFrame], path: str) -> None:
-    """One Parquet folder a table, a partition a map."""
+    """The tables as Parquet, map by map; maps that are not among the delivered ones stay (SNK3, SNK4).
+
+    Every delivery writes its rows beside the earlier ones, under a version of its own, and
+    ends with one file that says which maps it holds. read_delivery goes by those files
+    alone, so it sees the whole of a map's last finished delivery or of the one before,
+    never half of one, and a delivery that broke off or ran twice changes nothing.
+    """
+    spark = tables["map"].sparkSession
+    seen = _deliveries(spark, path)
+    number = 1 + (seen.agg(F.max("number")).first()[0] or 0) if seen is not None else 1
+    version = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy("map_id").parquet(f"{path}/{name}")
+        folders = ["version", "map_id"] if len(df.columns) > 1 else ["version"]
+        df.withColumn("version", F.lit(version)).write.mode("append").partitionBy(*folders).parquet(f"{path}/{name}")
+    told = tables["map"].select("map_id").distinct().select("map_id", F.lit(version).alias("version"), F.lit(number).cast("long").alias("number"))
+    told.coalesce(1).write.mode("append").parquet(f"{path}/deliveries")
+
+
+def _parquet(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path, None where there is none or none of its rows was ever written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _deliveries(spark: SparkSession, path: str) -> DataFrame | None:
+    """(map_id, version, number) of all finished deliveries, None before the first."""
+    return _parquet(spark, f"{path}/deliveries")
+
+
+def read_delivery(spark: SparkSession, path: str, names: tuple[str, ...] = DELIVERED) -> dict[str, DataFrame]:
+    """The last finished delivery of every map, table by table, without tables that never had a row.
+
+    Of two deliveries of one number that of the later version name counts.
+    """
+    seen = _deliveries(spark, path)
+    if seen is None:
+        return {}
+    last = seen.groupBy("map_id").agg(F.max_by("version", F.struct("number", "version")).alias("version"))
+    found = {n: _parquet(spark, f"{path}/{n}") for n in names}
+    return {n: df.join(last, ["map_id", "version"]).drop("version") for n, df in found.items() if df is not None}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
