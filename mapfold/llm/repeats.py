@@ -11,8 +11,11 @@ every passage of a row lies in exactly one context. The work is then
    the number of times it occurs;
 3. a solver marks the passages that start twice among the contexts of an anchor, counting a
    context that occurs more than once as a match of itself. Contexts come sorted by anchor,
-   in slices of bounded size. An anchor with more different contexts than LARGEST is cut
-   down by content first, to single passages, of which equal ones then lie together;
+   in slices of bounded size. The passages of an anchor with more different contexts than
+   LARGEST get a second anchor, their next least k-gram: equal passages have equal ones at
+   equal distances, so that both anchors together name smaller groups, whose contexts are
+   the stretches of passages that share both. What is still too large gets a third, and so
+   on; every group goes through the solver;
 4. what is marked goes to all places of its context, and is cut out there.
 
 Joins by anchor and by context spread a hot one over several tasks: what holds at least a
@@ -106,7 +109,7 @@ def _fetch(units: Units):
             lists = batch.column("places")
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            field = {c: flat.field(c) for c in ("first", "anchor", "end", "h1", "h2", "n", "many")}
+            field = {c: flat.field(c) for c in ("first", "anchor", "end", "h1", "h2", "n")}
             first, anchor, end = (field[c].to_numpy() for c in ("first", "anchor", "end"))
             at = np.concatenate([[0], np.cumsum(sizes)])
             uid = np.repeat(uids[fresh], sizes)
@@ -116,8 +119,8 @@ def _fetch(units: Units):
                 base = np.repeat(offsets[:-1], sizes[lo:hi])
                 raw = [values[x:y].tobytes() for x, y in zip((first[a:b] + base).tolist(), (end[a:b] + base).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [field["h1"][a:b], field["h2"][a:b], pa.array(uid[a:b]), pa.array(first[a:b]), pa.array(anchor[a:b] - first[a:b]), field["n"][a:b], field["many"][a:b], pa.array(raw, pa.binary())],
-                    ["h1", "h2", "uid", "first", "seed", "n", "many", "units"],
+                    [field["h1"][a:b], field["h2"][a:b], pa.array(uid[a:b]), pa.array(first[a:b]), pa.array(anchor[a:b] - first[a:b]), field["n"][a:b], pa.array(raw, pa.binary())],
+                    ["h1", "h2", "uid", "first", "seed", "n", "units"],
                 )
 
     return run
@@ -173,23 +176,84 @@ def _solve(units: Units, dtype):
     return run
 
 
-def _passages(units: Units, dtype):
-    """Each passage of a context as a context of its own, with its place in there."""
+_PARTS = "p1 long, p2 long, pn long, h1 long, h2 long, uid long, first int, seed int, used array<int>, units binary"
+
+
+def _divide(units: Units, dtype, times: int):
+    """The contexts of a context: stretches of its passages by their next anchors, each with the context it came from."""
+    length, k, none = units.length, units.k, np.iinfo(np.uint64).max
+
+    def parts(h1, seed, used, raw):
+        values = np.frombuffer(raw, dtype)
+        pre = textkit.prefix(units.scatter(values))
+        at = np.arange(len(values) - k + 1)
+        grams = textkit.span_hash(pre, at, at + k)
+        key = grams & ~_LOW | at.astype(U64) & _LOW
+        key[used] = none
+        least = textkit.window_min(key, length - k + 1)
+        s = np.arange(len(least))
+        # with all k-grams used up a passage stands for itself
+        spent = least == none
+        anchor = np.where(spent, s, (least & _LOW).astype(np.int64))
+        name = np.where(spent, textkit.span_hash(pre, s, s + length), grams[anchor])
+        new = np.flatnonzero(np.concatenate([[True], spent[1:] | (anchor[1:] != anchor[:-1])]))
+        first, end = s[new], s[np.append(new[1:], len(s)) - 1] + length
+        anchor, name = anchor[new], name[new]
+        group = textkit.mix(np.full(len(new), h1, np.int64).view(U64) + textkit.mix(name) + textkit.mix((anchor - seed).astype(U64)))
+        whole = textkit.mix(textkit.span_hash(pre, first, end) + (seed - first).astype(U64))
+        for f, e, a, g, w in zip(first.tolist(), end.tolist(), anchor.tolist(), group.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True):
+            inside = [u - f for u in (*used, a) if f <= u <= e - k]
+            yield g, w, f, seed - f, inside, values[f:e].tobytes()
+
+    def divided(h1, seed, used, raw, left):
+        for g, w, f, s, u, part in parts(h1, seed, used, raw):
+            if left == 1:
+                yield g, w, f, s, u, part
+            else:
+                for g2, w2, f2, s2, u2, part2 in divided(g, s, u, part, left - 1):
+                    yield g2, w2, f + f2, s2, u2, part2
 
     def run(batches):
         for batch in batches:
-            for h1, h2, uid, start, n, raw in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "uid", "first", "n", "units")), strict=True):
-                pre = textkit.prefix(units.scatter(np.frombuffer(raw, dtype)))
-                at = np.arange(len(pre) - units.length)
-                one = lambda x, kind, at=at: pa.array(np.full(len(at), x, kind))
-                yield pa.RecordBatch.from_arrays(
-                    [textkit.as_i64(textkit.span_hash(pre, at, at + units.length)), one(h1, np.int64), one(h2, np.int64), one(uid, np.int64), pa.array((at + start).astype(np.int32)), one(n, np.int64)],
-                    ["passage", "h1", "h2", "uid", "first", "n"],
-                )
+            rows = []
+            for h1, h2, uid, first, seed, used, n, raw in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "uid", "first", "seed", "used", "n", "units")), strict=True):
+                rows += [(h1, h2, n, g, w, uid, first + f, s, u, part) for g, w, f, s, u, part in divided(h1, seed, used, raw, times)]
+            kinds = [pa.int64()] * 6 + [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["p1", "p2", "pn", "h1", "h2", "uid", "first", "seed", "used", "units"])
 
     return run
 
 
+def _in_groups(fetched: DataFrame, units: Units, dtype) -> DataFrame:
+    """What the solver says of all contexts, those of large groups by ever smaller ones. fetched: h1, h2, uid, first, seed, used, n, units."""
+    level, passed, told = fetched, [], None
+    while True:
+        large = written(level.groupBy("h1").agg(F.count("*").alias("m")).filter(F.col("m") > LARGEST).select("h1"))
+        more = not large.isEmpty()
+        few = level.join(large.hint("merge"), "h1", "left_anti") if more else level
+        solved = few.drop("used").repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(_solve(units, dtype), _SOLVED)
+        told = written(solved) if more or passed else solved
+        passed.append([level, told, None])
+        if not more:
+            break
+        # copies of a part lie in different contexts; the solver gets one of them, and that there are more
+        # twice as many anchors each time, so that few levels are needed
+        parts = written(level.join(large.hint("merge"), "h1", "left_semi").mapInArrow(_divide(units, dtype, 1 << len(passed) - 1), _PARTS))
+        passed[-1][2] = parts
+        one = F.min_by(F.struct("uid", "first", "seed", "used", "units"), F.struct("uid", "first")).alias("one")
+        level = written(parts.groupBy("h1", "h2").agg(F.greatest(F.count("*"), F.max("pn")).alias("n"), one).select("h1", "h2", "one.*", "n"))
+    # from the smallest groups back: a part that occurs again is marked wherever it came from
+    marked = passed[-1][1]
+    for _, told, parts in reversed(passed[:-1]):
+        again = parts.join(marked.filter("h1 IS NOT NULL").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+        end = F.col("first") + (F.octet_length("units") / np.dtype(dtype).itemsize).cast("int")
+        once = again.filter("pn = 1").select("uid", "first", end.alias("end"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"))
+        whole = again.filter("pn > 1").select(F.lit(None).cast("long").alias("uid"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("end"), F.col("p1").alias("h1"), F.col("p2").alias("h2")).distinct()
+        marked = written(told.unionByName(marked.filter("uid IS NOT NULL")).unionByName(once).unionByName(whole))
+    return marked
+
+
 def _salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """rows with a salt: 0, or one of those of their key if it is hot."""
     salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("salts")), F.lit(0))
@@ -213,22 +277,13 @@ def repeated_stretches(source: DataFrame, units: Units, dtype) -> DataFrame:
     release(source.sparkSession)
 
     contexts = written(shared.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "anchor", "end")).alias("at")))
-    many = written(contexts.groupBy("h1").agg(F.count("*").alias("m")).filter(F.col("m") > LARGEST).select("h1", F.lit(True).alias("many")))
-    wanted = contexts.join(many, "h1", "left").select("h1", "h2", "n", "at.*", F.coalesce("many", F.lit(False)).alias("many"))
-    places = wanted.groupBy("uid").agg(F.collect_list(F.struct("first", "anchor", "end", "h1", "h2", "n", "many")).alias("places"))
+    wanted = contexts.select("h1", "h2", "n", "at.*")
+    places = wanted.groupBy("uid").agg(F.collect_list(F.struct("first", "anchor", "end", "h1", "h2", "n")).alias("places"))
     texts = source.join(places.hint("merge"), "uid").select("uid", "text", "places")
-    fetched = written(texts.mapInArrow(_fetch(units), "h1 long, h2 long, uid long, first int, seed int, n long, many boolean, units binary"))
+    fetched = written(texts.mapInArrow(_fetch(units), "h1 long, h2 long, uid long, first int, seed int, n long, units binary"))
     release(source.sparkSession)
 
-    few = fetched.filter("NOT many").drop("many").repartition("h1").sortWithinPartitions("h1", "h2")
-    each = fetched.filter("many").mapInArrow(_passages(units, dtype), "passage long, h1 long, h2 long, uid long, first int, n long")
-    again = each.groupBy("passage").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter("k > 1 OR n > 1").select("passage")
-    met = each.join(again, "passage")
-    none = lambda **columns: [F.lit(None).cast(t).alias(c) for c, t in columns.items()]
-    once = met.filter("n = 1").select("uid", "first", (F.col("first") + units.length).alias("end"), *none(h1="long", h2="long"))
-    whole = met.filter("n > 1").select(*none(uid="long", first="int", end="int"), "h1", "h2").distinct()
-    solved = few.mapInArrow(_solve(units, dtype), _SOLVED)
-    solved = written(solved.unionByName(once).unionByName(whole))
+    solved = written(_in_groups(fetched.withColumn("used", F.array("seed")), units, dtype))
     release(source.sparkSession)
 
     heavy = contexts.filter(F.col("n") * HOT > total).select("h1", "h2", salts("n"))

@@ -112,7 +112,7 @@ def test_near_duplicates_of_many_repeated_rows(spark):
     assert Counter((r.doc_id, r.component_id) for r in near_dup.near_duplicates(rows).collect()) == Counter({(5, 5): 3000, (6, 5): 1, (4, 4): 1})
 
 
-@pytest.mark.parametrize("largest", [20_000, 1])
+@pytest.mark.parametrize("largest", [20_000, 30])
 def test_byte_repeats(docs, texts, none, monkeypatch, largest):
     monkeypatch.setattr(repeats, "LARGEST", largest)
     got = by_id(suffix_dup.remove_repeats(docs))
@@ -123,7 +123,7 @@ def test_byte_repeats(docs, texts, none, monkeypatch, largest):
     assert suffix_dup.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("largest", [20_000, 1])
+@pytest.mark.parametrize("largest", [20_000, 4])
 def test_word_repeats(docs, texts, none, monkeypatch, largest):
     monkeypatch.setattr(repeats, "LARGEST", largest)
     monkeypatch.setattr(repeats, "SLICE", 3)
@@ -153,9 +153,11 @@ def test_repeats_of_ten_thousand_identical_rows(spark, monkeypatch, largest):
     assert Counter(r.n_removed for r in substring_dup.remove_passages(rows).collect()) == Counter({90: 10_000, 91: 2, 70: 1})
 
 
+@pytest.mark.parametrize("largest", [20_000, 30])
 @pytest.mark.parametrize("module", ["suffix_dup", "substring_dup"])
-def test_every_removed_stretch_comes_from_the_solver(docs, monkeypatch, module):
-    """With a solver that marks nothing, nothing is removed."""
+def test_every_removed_stretch_comes_from_the_solver(docs, monkeypatch, module, largest):
+    """With a solver that marks nothing, nothing is removed, however large the groups."""
+    monkeypatch.setattr(repeats, "LARGEST", largest)
     blind = lambda length: lambda values, *rest: np.zeros(len(values), bool)
     monkeypatch.setattr(suffix_dup, "mark_long_matches", blind)
     monkeypatch.setattr(substring_dup, "extend_seeds", blind)
