@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapfold.functions import text as T
+from mapfold.operators.phrases import phrase_hits
 
 
 def tokens(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -92,24 +93,17 @@ def choose_symbol(items: DataFrame, categories: DataFrame, symbols: DataFrame) -
     return rows.select(*items.columns, "category", chosen["symbol"].alias("symbol"))
 
 
-def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str = "text_id", longest: int = 6, ref_last_word: bool = False) -> DataFrame:
+def find_phrases(texts: DataFrame, phrases: DataFrame, id_col: str = "text_id", ref_last_word: bool = False) -> DataFrame:
     """(id, pos, n, phrase): longest matches from left to right that do not overlap (TXT13).
 
-    phrases: phrase (words split by one space). N-grams up to the longest phrase meet the
-    phrases by equality; the greedy choice is one pass over the matches of a text in order.
-    ref_last_word also matches the last word alone where it begins a phrase.
+    phrases: phrase (words split by one space, of any number). An automaton over words finds
+    the longest phrase at each place of a text in one scan; the greedy choice is one pass
+    over the matches of a text in order. ref_last_word also matches the last word alone
+    where it begins a phrase.
     """
     words = texts.select(id_col, F.filter(F.split(T.plain(F.col("text")), r"\s+"), lambda t: t != "").alias("w")).filter(F.size("w") > 0)
-    grams = words.select(id_col, F.size("w").alias("len"), F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("pos"), "w")
-    grams = grams.select(id_col, "len", "pos", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("len") - F.col("pos")))).alias("n"), "w")
-    grams = grams.select(id_col, "len", "pos", "n", F.array_join(F.slice("w", F.col("pos") + 1, F.col("n")), " ").alias("gram"))
-    known = phrases.select(F.lower("phrase").alias("gram")).distinct()
-    hits = grams.join(known, "gram")
-    if ref_last_word:
-        first = known.select(F.split("gram", " ")[0].alias("gram")).distinct()
-        last = grams.filter((F.col("n") == 1) & (F.col("pos") == F.col("len") - 1)).join(first, "gram")
-        hits = hits.unionByName(last).distinct()
-    best = hits.groupBy(id_col, "pos").agg(F.max("n").alias("n"), F.max_by("gram", "n").alias("phrase"))
+    hits = phrase_hits(words, phrases.select(F.lower("phrase").alias("phrase")), id_col, ref_last_word)
+    best = hits.groupBy(id_col, "pos").agg(F.max("n").alias("n"), F.max_by("phrase", "n").alias("phrase"))
     ordered = best.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "n", "phrase"))).alias("m"))
     start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<pos:int,n:int,phrase:string>>").alias("kept"))
 

@@ -86,6 +86,32 @@ def phrase_finder(spark, sf_dir):
     return M.find_phrases(texts, phrases)
 
 
+_PLAIN = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '')".replace("{{", "{").replace("}}", "}")
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+phrases AS (SELECT DISTINCT ' ' || array_to_string(w[s:s + n - 1], ' ') || ' ' AS p, w[s] AS word, n FROM (SELECT w, 1 + item_id % 3 + 3 * k AS s, 1 + (item_id * 7 + k * 11) % 30 AS n FROM b, range(4) r(k)) WHERE len(w) >= s + n - 1),
+texts AS (SELECT doc_id AS text_id, {_PLAIN} AS w FROM documents UNION ALL SELECT -1 - item_id, w FROM b),
+joined AS (SELECT text_id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM texts),
+words AS (SELECT *, 1 + coalesce(sum(length(word) + 1) OVER (PARTITION BY text_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT text_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts)),
+hits AS (SELECT text_id, i - 1 AS pos, max(n) AS n, trim(arg_max(p, n)) AS phrase FROM joined JOIN phrases ON contains(t, p) JOIN words USING (text_id, word) WHERE substr(t, CAST(start AS BIGINT), length(p)) = p GROUP BY 1, 2),
+marks AS (SELECT text_id, pos AS i, 1 AS hit, CAST(NULL AS BIGINT) AS own FROM hits UNION ALL SELECT text_id, pos + n, 0, pos FROM hits),
+linked AS (SELECT text_id, own AS pos, next FROM (SELECT *, min(CASE WHEN hit = 1 THEN i END) OVER (PARTITION BY text_id ORDER BY i, hit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM marks) WHERE hit = 0 AND next IS NOT NULL),
+taken AS (SELECT text_id, min(pos) AS pos FROM hits GROUP BY 1 UNION ALL SELECT t.text_id, l.next FROM taken t JOIN linked l ON l.text_id = t.text_id AND l.pos = t.pos)
+SELECT text_id, CAST(pos AS INTEGER) AS pos, CAST(n AS INTEGER) AS n, phrase FROM taken JOIN hits USING (text_id, pos)"""
+)
+def gazetteer_phrases(spark, sf_dir):
+    """TXT13: phrases of 1 to 30 words, overlapping ones among them, in all documents and items."""
+    words = F.filter(F.split(T.plain(F.col("text")), r"\s+"), lambda t: t != "")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", words.alias("w"))
+    cuts = items.select("w", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct((1 + F.col("item_id") % 3 + 3 * k).alias("s"), (1 + (F.col("item_id") * 7 + k * 11) % 30).alias("n")))).alias("c"))
+    whole = cuts.filter(F.size("w") >= F.col("c.s") + F.col("c.n") - 1)
+    phrases = whole.select(F.array_join(F.slice("w", F.col("c.s").cast("int"), F.col("c.n").cast("int")), " ").alias("phrase"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text").unionByName(items.select((-1 - F.col("item_id")).alias("text_id"), "text"))
+    return M.find_phrases(texts, phrases)
+
+
 @query(
     """WITH parts AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN substr(text, 1, 20) END AS title, text FROM conversations)
 SELECT conv_id, turn, last_value(title IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS title FROM parts"""
