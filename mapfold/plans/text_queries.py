@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mapfold.functions import text as T
 from mapfold.operators import matching as M
+from mapfold.operators import ratio_join as J
 from mapfold.plans.registry import query
 from mapfold.session import table
 
@@ -140,3 +141,38 @@ def text_cleaning(spark, sf_dir):
         T.sheet_name(F.concat(F.lit("http://x/y/"), "p_brand", F.lit(".pdf"))).alias("sheet"),
         F.translate("p_brand", "#", "-").alias("hyphen"),
     )
+
+
+_RATIOS = """l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS a FROM benchmark),
+r AS (SELECT lower(n_name) AS b FROM nation UNION SELECT unnest(string_split(p_name, ' ')) FROM part),
+bits AS (SELECT a, substr(a, i, 1) AS c, CAST(sum(CAST(1 AS BIGINT) << (i - 1)) AS BIGINT) AS m FROM (SELECT a, CAST(unnest(range(1, length(a) + 1)) AS INTEGER) AS i FROM l) GROUP BY 1, 2),
+steps AS (SELECT a, b, 1 AS i, (CAST(1 AS BIGINT) << length(a)) - 1 AS v FROM l, r
+ UNION ALL SELECT s.a, s.b, i + 1, ((v + (v & coalesce(m, 0))) | (v - (v & coalesce(m, 0)))) & ((CAST(1 AS BIGINT) << length(s.a)) - 1) FROM steps s LEFT JOIN bits ON bits.a = s.a AND c = substr(s.b, i, 1) WHERE i <= length(s.b)),
+ratios AS (SELECT a, b, 2.0 * (length(a) - bit_count(v)) / (length(a) + length(b)) AS ratio FROM steps WHERE i = length(b) + 1)"""
+
+
+def _word_sides(spark, sf_dir):
+    left = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("text"))
+    names = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("text"))
+    return left, names.unionByName(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("text")))
+
+
+@query(f"WITH RECURSIVE {_RATIOS} SELECT a, b, round(ratio, 6) AS ratio FROM ratios WHERE ratio >= 0.5")
+def similar_words(spark, sf_dir):
+    """TXT8: pairs of words whose common subsequence has half their length or more."""
+    return J.ratio_join(*_word_sides(spark, sf_dir), 0.5).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"WITH RECURSIVE {_RATIOS} SELECT a, b, round(ratio, 6) AS ratio FROM ratios WHERE ratio >= 0.8")
+def close_words(spark, sf_dir):
+    """TXT8: the same at four fifths, where longer words meet by pairs of characters."""
+    return J.ratio_join(*_word_sides(spark, sf_dir), 0.8).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+@query(
+    f"""WITH RECURSIVE {_RATIOS}, best AS (SELECT * FROM ratios WHERE ratio >= 0.5 QUALIFY row_number() OVER (PARTITION BY a ORDER BY ratio DESC, b) = 1)
+SELECT a AS text, coalesce(b, a) AS match, round(ratio, 6) AS ratio FROM l LEFT JOIN best USING (a)"""
+)
+def words_best_matches(spark, sf_dir):
+    """JN10 by the ratio of the common subsequence."""
+    return J.best_matches(*_word_sides(spark, sf_dir), 0.5).select("text", "match", F.round("ratio", 6).alias("ratio"))
