@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapfold.functions import geometry as G
+from mapfold.operators.quadtree import Tree, leaf_join
 
 
 def cells(df: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Column, side: float, reach: float = 0.0) -> DataFrame:
@@ -20,13 +21,15 @@ def cells(df: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Column,
     return df.withColumn("_cx", F.explode(span(xmin, xmax))).withColumn("_cy", F.explode(span(ymin, ymax)))
 
 
-def cell_join(left: DataFrame, right: DataFrame, keys: list[str], left_box, right_box, side: float, reach: float = 0.0, how: str = "inner") -> DataFrame:
+def cell_join(left: DataFrame, right: DataFrame, keys: list[str], left_box, right_box, side: float | Tree, reach: float = 0.0, how: str = "inner") -> DataFrame:
     """Candidate pairs of rows whose boxes come within reach of each other, each pair once.
 
     left_box and right_box are (xmin, ymin, xmax, ymax) as Columns; columns other than keys
     must differ between the sides. The pair is kept in the first cell both touch only, so no
-    distinct is needed.
+    distinct is needed. With a tree instead of a side its leaves are the cells.
     """
+    if isinstance(side, Tree):
+        return leaf_join(left, right, keys, left_box, right_box, side, reach)
     lx0, ly0, lx1, ly1 = left_box
     rx0, ry0, rx1, ry1 = right_box
     low = lambda a, b: F.floor((a - b) / side)
@@ -49,19 +52,19 @@ def points_in_region(points: DataFrame, regions: DataFrame) -> DataFrame:
     return joined.filter(F.col("_region").isNull() | G.in_box(F.col("x"), F.col("y"), F.col("_region"))).drop("_region")
 
 
-def _points_with_rings(points: DataFrame, rings: DataFrame, side: float) -> DataFrame:
+def _points_with_rings(points: DataFrame, rings: DataFrame, side: float | Tree) -> DataFrame:
     boxed = rings.select("map_id", F.col("ring").alias("_ring")).withColumn("_box", G.ring_bbox(F.col("_ring")))
     pairs = cell_join(points, boxed, ["map_id"], _point_box("x", "y"), tuple(F.col("_box")[c] for c in ("xmin", "ymin", "xmax", "ymax")), side)
     return pairs.filter(G.in_box(F.col("x"), F.col("y"), F.col("_box")) & G.in_ring(F.col("x"), F.col("y"), F.col("_ring")))
 
 
-def points_off_text(points: DataFrame, rings: DataFrame, side: float = 256.0) -> DataFrame:
+def points_off_text(points: DataFrame, rings: DataFrame, side: float | Tree = 256.0) -> DataFrame:
     """Points that lie in no ring of their map (JN5). points need a point_id per map."""
     hit = _points_with_rings(points, rings, side).select("map_id", "point_id").distinct()
     return points.join(hit, ["map_id", "point_id"], "left_anti")
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, side: float = 256.0) -> DataFrame:
+def points_in_rings(points: DataFrame, rings: DataFrame, side: float | Tree = 256.0) -> DataFrame:
     """Points that lie in some ring of their map (JN14)."""
     hit = _points_with_rings(points, rings, side).select("map_id", "point_id").distinct()
     return points.join(hit, ["map_id", "point_id"], "left_semi")
@@ -73,7 +76,7 @@ def boxes_in_region(boxes: DataFrame, regions: DataFrame, strict: bool = True) -
     return joined.filter(G.box_in_roi(F.col("box"), F.col("_region"), strict)).drop("_region")
 
 
-def copy_dip_direction(points: DataFrame, strikes: DataFrame, types: list[str], radius: float = 20.0) -> DataFrame:
+def copy_dip_direction(points: DataFrame, strikes: DataFrame, types: list[str], radius: float = 20.0, tree: Tree | None = None) -> DataFrame:
     """Points of some types get the dip direction of a strike (JN7).
 
     Each strike goes to its nearest point within radius; where several go to one point, the
@@ -81,7 +84,7 @@ def copy_dip_direction(points: DataFrame, strikes: DataFrame, types: list[str],
     """
     able = points.filter(F.col("type").isin(types)).select("map_id", "point_id", "x", "y")
     s = strikes.select("map_id", "strike_seq", F.col("x").alias("sx"), F.col("y").alias("sy"), "dip")
-    pairs = cell_join(able, s, ["map_id"], _point_box("x", "y"), _point_box("sx", "sy"), radius, radius)
+    pairs = cell_join(able, s, ["map_id"], _point_box("x", "y"), _point_box("sx", "sy"), tree or radius, radius)
     pairs = pairs.withColumn("d", G.distance(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).filter(F.col("d") <= radius)
     nearest = pairs.groupBy("map_id", "strike_seq").agg(F.min_by("point_id", F.struct("d", "point_id")).alias("point_id"), F.first("dip").alias("dip"))
     last = nearest.groupBy("map_id", "point_id").agg(F.max_by("dip", "strike_seq").alias("dip_direction"))
@@ -111,7 +114,7 @@ def rings_touch(a: Column, b: Column) -> Column:
     return cross | G.in_ring(a[0]["x"], a[0]["y"], b) | G.in_ring(b[0]["x"], b[0]["y"], a)
 
 
-def link_labels(labels: DataFrame, polygons: DataFrame, side: float = 512.0) -> DataFrame:
+def link_labels(labels: DataFrame, polygons: DataFrame, side: float | Tree = 512.0) -> DataFrame:
     """Labels with the ids of the named polygons that contain their text in the name and touch their ring (JN12).
 
     labels: label_id, text, ring; polygons: polygon_id, name, geom. Non-letters in a text
@@ -141,7 +144,7 @@ def first_patch_of_line(lines: DataFrame, patches: DataFrame, side: float = 512.
     return lines.join(hit.groupBy("map_id", "line_id").agg(F.min("patch_seq").alias("patch_seq")), ["map_id", "line_id"], "left")
 
 
-def crossing_segments(segments: DataFrame, side: float = 64.0) -> DataFrame:
+def crossing_segments(segments: DataFrame, side: float | Tree = 64.0) -> DataFrame:
     """Pairs (a, b) of segments of a map that cross and share no end (JN18). segments: map_id, seg_id, ax, ay, bx, by."""
     ends = ("ax", "ay", "bx", "by")
     box = lambda p: (F.least(p + "ax", p + "bx"), F.least(p + "ay", p + "by"), F.greatest(p + "ax", p + "bx"), F.greatest(p + "ay", p + "by"))

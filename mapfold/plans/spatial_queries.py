@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mapfold.functions import geometry as G
+from mapfold.operators import quadtree as Q
 from mapfold.operators import spatial as S
 from mapfold.plans import inputs as I
 from mapfold.plans.registry import query
@@ -32,6 +33,22 @@ def points_off_text(spark, sf_dir):
     return S.points_off_text(I.points(spark, sf_dir), I.box_rings(spark, sf_dir), 64.0).select("map_id", "point_id")
 
 
+@query(f"WITH {I.POINTS_SQL}, {I.BOXES_SQL}, kept AS (SELECT * FROM points), {_OFF_TEXT} SELECT map_id, point_id FROM clear")
+def points_off_text_by_leaves(spark, sf_dir):
+    """JN5 over the leaves of a quadtree."""
+    points = I.points(spark, sf_dir)
+    tree = Q.fitted(points, ["map_id"], F.col("x"), F.col("y"), 500)
+    return S.points_off_text(points, I.box_rings(spark, sf_dir), tree).select("map_id", "point_id")
+
+
+@query(f"WITH {I.POINTS_SQL}, {I.STRIKES_SQL}, clear AS (SELECT * FROM points), {_DIP} SELECT map_id, point_id, dip_direction FROM points LEFT JOIN dips USING (map_id, point_id)")
+def dip_direction_by_leaves(spark, sf_dir):
+    """JN7, GEO30 over the leaves of a quadtree."""
+    points = I.points(spark, sf_dir)
+    tree = Q.fitted(points, ["map_id"], F.col("x"), F.col("y"), 500)
+    return S.copy_dip_direction(points, I.strikes(spark, sf_dir), ["A", "R"], tree=tree).select("map_id", "point_id", "dip_direction")
+
+
 @query(f"WITH {I.POINTS_SQL}, {I.STRIKES_SQL}, clear AS (SELECT * FROM points), {_DIP} SELECT map_id, point_id, dip_direction FROM points LEFT JOIN dips USING (map_id, point_id)")
 def dip_direction_to_points(spark, sf_dir):
     """JN7, GEO30."""
