@@ -12,6 +12,7 @@ from mapfold.operators import evaluate as E
 from mapfold.operators import georef as R
 from mapfold.operators import legends as L
 from mapfold.operators import tiles as T
+from mapfold.operators import vector_lists as VL
 from mapfold.operators import vectors as V
 from mapfold.plans import inputs as I
 from mapfold.plans.registry import query
@@ -70,10 +71,11 @@ def best_base_maps(spark, sf_dir):
     return R.best_base_map(t).select("geo_id", "topo_id")
 
 
-@query(
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query_id, vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(a, embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))), 6) AS distance FROM q, embeddings WHERE vec_id <> query_id)
+_NEAREST_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query_id, vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(a, embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))), 6) AS distance FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 5"""
-)
+
+
+@query(_NEAREST_SQL)
 def nearest_vectors(spark, sf_dir):
     """VEC1: every 50th vector against all."""
     e = I.embeddings(spark, sf_dir)
@@ -82,6 +84,15 @@ def nearest_vectors(spark, sf_dir):
     return n.withColumn("distance", F.round("distance", 6)).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "id", "distance", "rank")
 
 
+@query(_NEAREST_SQL)
+def nearest_vectors_by_lists(spark, sf_dir):
+    """VEC1: the same through inverted lists."""
+    e = I.embeddings(spark, sf_dir)
+    n = VL.nearest_by_lists(e.filter("id % 50 = 0"), e, 8)
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return n.withColumn("distance", F.round("distance", 6)).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "id", "distance", "rank")
+
+
 @query(
     """WITH q AS (SELECT vec_id AS query_id, label AS ql, embedding AS a FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query_id, vec_id AS id, label = ql AS same, sqrt(list_sum(list_transform(list_zip(a, embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM q, embeddings WHERE vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM p), h AS (SELECT query_id, bool_or(same) AS paired, bool_or(same AND n <= 5) AS hit FROM r GROUP BY 1)
