@@ -251,6 +251,23 @@ def collections_with_empty(spark, sf_dir):
     return c.select("map_id", F.size(back["features"]).cast("long").alias("n"))
 
 
+@query(
+    """WITH e AS (SELECT event_id // 64 AS map_id, event_id % 4 * 256 AS r, user_id % 4 * 256 AS c FROM events),
+n AS (SELECT map_id, count(DISTINCT r * 10000 + c) AS patches FROM e GROUP BY 1)
+SELECT map_id, patches, CAST(16 - map_id % 3 AS BIGINT) AS expected, patches = 16 - map_id % 3 AS complete FROM n"""
+)
+def streamed_completeness(spark, sf_dir):
+    """TIL6: patches of each map counted over the stream in two runs, the second from where the first stopped."""
+    e, u = F.col("event_id"), F.col("user_id")
+    patches = table(spark, sf_dir, "events").select(F.floor(e / 64).alias("map_id"), (e % 4 * 256).alias("patch_row"), (u % 4 * 256).alias("patch_col"), (e % 5 < 2).alias("late"))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for late in (False, True):  # of most maps some patches come in the second run
+        patches.filter(F.col("late") == late).drop("late").write.mode("append").parquet(f"{folder}/in")
+        ingest.count_patches(ingest.patch_stream(spark, f"{folder}/in", patches.drop("late").schema), f"{folder}/out", f"{folder}/state")
+    maps = patches.select("map_id").distinct().withColumn("expected", 16 - F.col("map_id") % 3)
+    return ingest.complete_maps(spark, f"{folder}/out", maps)
+
+
 @query(
     """WITH e AS (SELECT user_id % 40 AS map_id, event_id, event_id % 4 * 256 AS r, user_id % 4 * 256 AS c, event_id % 256 AS x, event_id % 255 AS y FROM events), n AS (SELECT map_id, count(DISTINCT r * 10000 + c) AS patches FROM e GROUP BY 1)
 SELECT map_id, event_id, CAST(x + c AS BIGINT) AS x, CAST(y + r AS BIGINT) AS y, patches FROM e JOIN n USING (map_id)"""
