@@ -107,6 +107,33 @@ def valid_mask(mask: DataFrame) -> DataFrame:
     return mask.join(facts.filter("k > 1 AND ok"), ["map_id", "key"], "left_semi").filter("value > 0").select("map_id", "key", "row", "col")
 
 
+def without_rivals(starts: DataFrame, rivals: DataFrame, sure: float = 0.9) -> DataFrame:
+    """The starts that stay when, by falling score, each one kept drops its rivals (EVL8).
+
+    starts: map_id, start, score; rivals: map_id, a, b, either way round. Of equal scores the
+    larger start comes first; a start of score sure or more stays whatever its rivals are,
+    and drops them. That is one pass over sorted starts; here every round decides all
+    starts whose better rivals are decided, so independent neighbourhoods go at once and a
+    checkpoint cuts each round. A null score comes last.
+    """
+    rank = lambda p: F.struct(F.coalesce(p + "score", F.lit(float("-inf"))), F.col(p + "start"))
+    ends = lambda n: starts.select("map_id", F.col("start").alias(n), *[F.col(c).alias(n + c) for c in ("start", "score")])
+    both = rivals.select("map_id", "a", "b").unionByName(rivals.select("map_id", F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
+    better = cut(both.join(ends("a"), ["map_id", "a"]).join(ends("b"), ["map_id", "b"]).filter(rank("a") > rank("b")).select("map_id", "a", F.col("b").alias("start")))
+    state = cut(starts.withColumn("_kept", F.when(F.col("score") >= sure, True)))
+    left = -1
+    while True:
+        known = better.join(state.select("map_id", F.col("start").alias("a"), F.col("_kept").alias("_better")), ["map_id", "a"])
+        said = known.groupBy("map_id", "start").agg(F.max(F.coalesce("_better", F.lit(False))).alias("_beaten"), F.max(F.col("_better").isNull()).alias("_open"))
+        new = F.when(F.coalesce("_beaten", F.lit(False)), False).when(~F.coalesce("_open", F.lit(False)), True)
+        state = cut(state.join(said, ["map_id", "start"], "left").withColumn("_kept", F.coalesce("_kept", new)).drop("_beaten", "_open"))
+        before, left = left, state.filter("_kept IS NULL").count()
+        if not left:
+            return state.filter("_kept").drop("_kept")
+        if left == before:
+            raise RuntimeError("starts must differ inside a map")
+
+
 def dice(a: DataFrame, b: DataFrame, epsilon: float = 1e-6) -> DataFrame:
     """Dice coefficient by (map, key) and, over keys, by map with key null (EVL12)."""
     at = ["map_id", "key", "row", "col"]

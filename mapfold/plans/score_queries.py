@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mapfold.functions import geometry as G
 from mapfold.functions import text as X
 from mapfold.operators import evaluate as E
+from mapfold.operators import graphs as R
 from mapfold.operators import pixels as P
 from mapfold.operators import spatial as S
 from mapfold.operators import vectors as V
@@ -140,3 +141,21 @@ def refined_legends(spark, sf_dir):
     small, other = grid(n(25), n(28), n(25), n(28)), grid(n(30), n(33), n(2), n(5))
     sizes = r.select("map_id", F.lit(40).alias("height"), F.lit(40).alias("width"))
     return P.refined_legend(at(frame).unionByName(at(small)), at(other), sizes).groupBy("map_id", "key").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {I.PARTS_SQL}, both_ways AS (SELECT map_id, u, v, CAST(1 + (u + v) % 3 AS DOUBLE) AS len FROM parts UNION ALL SELECT map_id, v, u, CAST(1 + (u + v) % 3 AS DOUBLE) FROM parts),
+walk AS (SELECT DISTINCT map_id, u AS a, u AS b, CAST(0 AS DOUBLE) AS d FROM both_ways UNION SELECT w.map_id, a, v, d + len FROM walk w JOIN both_ways e ON e.map_id = w.map_id AND e.u = w.b WHERE d + len <= 3),
+starts AS (SELECT DISTINCT map_id, a AS start, (a * 37 % 101) / 100.0 AS score FROM walk),
+ranked AS (SELECT s.*, start // 10 AS part, row_number() OVER (PARTITION BY map_id, start // 10 ORDER BY score DESC, start DESC) AS k, (SELECT list(b) FROM walk WHERE walk.map_id = s.map_id AND walk.a = s.start AND b <> a) AS rivals FROM starts s),
+pass AS (SELECT DISTINCT map_id, part, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM ranked
+ UNION ALL SELECT p.map_id, p.part, r.k, CASE WHEN score >= 0.9 OR rivals IS NULL OR NOT list_has_any(rivals, kept) THEN list_append(kept, start) ELSE kept END FROM pass p JOIN ranked r ON r.map_id = p.map_id AND r.part = p.part AND r.k = p.k + 1)
+SELECT map_id, unnest(kept) AS start FROM (SELECT map_id, part, arg_max(kept, k) AS kept FROM pass GROUP BY 1, 2)"""
+)
+def starts_without_rivals(spark, sf_dir):
+    """EVL8: every node as a start with a score; those within a network distance of 3 of a better one go."""
+    edges = I.parts(spark, sf_dir).withColumn("length", (1 + (F.col("u") + F.col("v")) % 3).cast("double"))
+    nodes = R.both_ways(edges).select("map_id", F.col("u").alias("start")).distinct()
+    near = R.bounded_distances(edges, nodes, 3.0).select("map_id", F.col("start").alias("a"), F.col("node").alias("b"))
+    scored = nodes.withColumn("score", F.col("start") * 37 % 101 / F.lit(100.0))
+    return E.without_rivals(scored, near).select("map_id", "start")
