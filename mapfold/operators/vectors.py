@@ -61,47 +61,12 @@ def mutual_nearest(left: DataFrame, right: DataFrame, block: list[str], least_sa
     return pairs.join(both, [*block, "a", "b"], "left_semi").filter((F.col("sa") > least_saliency) & (F.col("sb") > least_saliency)).select(*block, "a", "b", "sim", "sa", "sb")
 
 
-def clusters(rows: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """rows (id, vec) with the k-means cluster of their normalised vectors (VEC5, VEC6)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    v = rows.withColumn("_v", array_to_vector(F.col("vec").cast("array<double>")))
-    v = Normalizer(inputCol="_v", outputCol="_n").transform(v)
-    return KMeans(k=k, seed=seed, featuresCol="_n", predictionCol="cluster").fit(v).transform(v).drop("_v", "_n")
-
-
-def elbow(rows: DataFrame, ks: list[int], stop: float = 0.975, seed: int = 1) -> int:
-    """The first k whose cost is over stop times that of the k before (VEC6)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = rows.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features")).persist()
-    before = None
-    for k in ks:
-        cost = KMeans(k=k, seed=seed).fit(v).summary.trainingCost
-        if before and cost > stop * before:
-            return k
-        before = cost
-    return ks[-1]
-
-
 def best_per_cluster(rows: DataFrame, rank: str, tie: str) -> DataFrame:
     """The best row of each cluster, best cluster first (WIN10, VEC5)."""
     w = Window.partitionBy("cluster").orderBy(F.desc(rank), tie)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").orderBy(F.desc(rank), tie)
 
 
-def principal(rows: DataFrame, k: int) -> DataFrame:
-    """rows (id, vec) with their first k principal components (VEC7)."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = rows.withColumn("_v", array_to_vector(F.col("vec").cast("array<double>")))
-    return PCA(k=k, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn("components", vector_to_array("_p")).drop("_v", "_p")
-
-
 def closest_words(queries: DataFrame, words: DataFrame, block: list[str]) -> DataFrame:
     """Reference words of a block by falling similarity to each query (VEC8)."""
     w = words.select(*block, "word", F.col("vec").alias("_w"))

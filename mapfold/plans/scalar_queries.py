@@ -287,19 +287,6 @@ def vector_triplets(spark, sf_dir):
     return V.triplets(p, e)
 
 
-@query()
-def vector_clusters(spark, sf_dir):
-    """VEC5, VEC6, WIN10, AGG18."""
-    e = I.embeddings(spark, sf_dir).withColumn("saliency", F.abs(F.col("vec")[0]).cast("double"))
-    return V.best_per_cluster(V.clusters(e, 4), "saliency", "id").select("cluster", "id", _R("saliency").alias("saliency"))
-
-
-@query()
-def vector_components(spark, sf_dir):
-    """VEC7."""
-    return V.principal(I.embeddings(spark, sf_dir), 3).select("id", F.size("components").alias("n"), _R(F.abs(F.col("components")[0]), 4).alias("first"))
-
-
 @query(
     """WITH p AS (SELECT a.label, a.vec_id AS id, b.vec_id AS w, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s
  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, CAST(w AS VARCHAR)) AS n FROM p)
