@@ -50,7 +50,8 @@ def content_tiles(tiles: DataFrame, areas: DataFrame, patch: int, least: int) ->
     """Tiles that overlap their map's content by at least so many pixels (FLT11). areas: map_id, box."""
     w = F.least(F.col("x0") + patch, F.col("box.xmax")) - F.greatest(F.col("x0"), F.col("box.xmin"))
     h = F.least(F.col("y0") + patch, F.col("box.ymax")) - F.greatest(F.col("y0"), F.col("box.ymin"))
-    return tiles.join(areas, "map_id").filter((w > 0) & (h > 0) & (w * h >= least)).drop("box")
+    # shuffled: the areas grow with the maps, and Spark would size them by their compressed files and broadcast them
+    return tiles.join(areas.hint("merge"), "map_id").filter((w > 0) & (h > 0) & (w * h >= least)).drop("box")
 
 
 def graph_patches(tiles: DataFrame, edges: DataFrame, patch: int, least_edges: int = 5) -> DataFrame:
