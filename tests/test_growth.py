@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mapfold.functions import geometry as G
+from mapfold.operators import matching as M
 from mapfold.operators import quadtree as Q
 from mapfold.operators import spatial as S
 from mapfold.operators import tiles as T
@@ -72,3 +73,23 @@ def test_copies_of_rings_and_points_meet_once(spark, monkeypatch):
     rings = spark.range(50).select(F.lit(1).alias("map_id"), G.box_ring(box).alias("ring"))
     assert S.points_off_text(points, rings).count() == 21 and S.points_in_rings(points, rings).count() == 20
     assert sides == [(5, 1), (5, 1)]
+
+
+def test_equal_texts_are_scored_once(spark, monkeypatch):
+    names = ["red bolt", "bolt red", "red ring", "old plate", "red"]
+    rows = spark.createDataFrame([(k, names[k % 5]) for k in range(100)] + [(100, None)], "row_id int, text string")
+    asked = spark.createDataFrame([(k, "red bolt" if k % 2 else "a plate") for k in range(50)], "query_id int, text string")
+    scored = []
+    best = M.best_rows
+    monkeypatch.setattr(M, "best_rows", lambda s, *a: scored.append(s.count()) or best(s, *a))
+    ids = lambda df, q: [(r.row_id, r["rank"]) for r in df.filter(f"query_id = {q}").orderBy("rank").collect()]
+    fuzzy, bm = M.fuzzy_top_k(asked, rows, 7), M.bm25(asked, rows, 7, digits=9)
+    first = [(k, n) for n, k in enumerate((0, 1, 5, 6, 10, 11, 15), 1)]  # both orders of the two words, by row
+    assert ids(fuzzy, 1) == first and ids(bm, 49) == first and fuzzy.count() == bm.count() == 350
+    assert ids(bm, 0) == [(5 * n - 2, n) for n in range(1, 8)]
+    assert max(scored) <= 4  # of 50 times 100 pairs
+    places = asked.withColumnRenamed("query_id", "place_id")
+    monkeypatch.setattr(S, "best_rows", M.best_rows)
+    found = S.place_candidates(places, rows.withColumnRenamed("text", "name"), "Small", 3)
+    assert found.count() == 150 and [r.row_id for r in found.filter("place_id = 1").orderBy("rank").collect()] == [0, 1, 5]
+    assert max(scored) <= 5
