@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mapfold.functions import geometry as G
 from mapfold.operators.components import connected_components
+from mapfold.operators.spatial import cell_join
 
 KEYS = ["map_id", "key"]
 AT = [*KEYS, "row", "col"]
@@ -77,7 +78,8 @@ def nearest_palette(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     pixels are missing inside, means are over the neighbours there are. Distances count to
     nine decimals, equal ones go to the first key.
     """
-    p = palette.select("map_id", "key", *[F.col(x).alias("_" + x) for x in "rgb"])
+    # keys of one colour are as far from every pixel: the first of them stands for all, so that no rounding parts them
+    p = palette.groupBy("map_id", *[F.col(x).alias("_" + x) for x in "rgb"]).agg(F.min("key").alias("key"))
     d = lambda x: F.abs(F.col(x) - F.col("_" + x))
     rgb = F.sqrt(d("r") ** 2 + d("g") ** 2 + d("b") ** 2)
     diff = F.abs((F.col("r") - F.col("g")) - (F.col("_r") - F.col("_g"))) + F.abs((F.col("g") - F.col("b")) - (F.col("_g") - F.col("_b")))
@@ -115,11 +117,14 @@ def _scanned(e: DataFrame) -> DataFrame:
     return spans.filter(c0 <= c1).select(*KEYS, F.col("row").cast("int").alias("row"), F.explode(F.sequence(c0.cast("int"), c1.cast("int"))).alias("col")).distinct()
 
 
-def without_boxes(mask: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Pixels outside every box of their map (RAS6, FLT4). boxes: map_id, box; legend boxes, few per map."""
-    b = boxes.select("map_id", F.col("box").alias("_b"))
-    hit = mask.join(b, "map_id").filter(G.in_box(F.col("col").cast("double"), F.col("row").cast("double"), F.col("_b"))).select(*AT).distinct()
-    return mask.join(hit, AT, "left_anti")
+def without_boxes(mask: DataFrame, boxes: DataFrame, side: float = 64.0) -> DataFrame:
+    """Pixels outside every box of their map (RAS6, FLT4). boxes: map_id, box; equal ones count once."""
+    b = boxes.select("map_id", F.col("box").alias("_b")).distinct()
+    at = mask.select("map_id", "row", "col").distinct()
+    x, y = F.col("col").cast("double"), F.col("row").cast("double")
+    pairs = cell_join(at, b, ["map_id"], (x, y, x, y), tuple(F.col("_b")[c] for c in ("xmin", "ymin", "xmax", "ymax")), side)
+    hit = pairs.filter(G.in_box(x, y, F.col("_b"))).select("map_id", "row", "col").distinct()
+    return mask.join(hit.hint("merge"), ["map_id", "row", "col"], "left_anti").select(mask.columns)
 
 
 def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -180,10 +185,16 @@ def settled_by_seeds(parts: DataFrame, seeds: DataFrame, near: float = 300.0, fa
 
     parts: map_id, label, own, rival, center_row, center_col; seeds: map_id, key, row, col.
     """
-    s = seeds.select("map_id", "key", F.col("row").alias("sr"), F.col("col").alias("sc"))
+    # places of a map meet once, however many components or seeds stand there
+    s = seeds.select("map_id", "key", F.col("row").alias("sr"), F.col("col").alias("sc")).distinct()
     d = G.distance(F.col("center_row"), F.col("center_col"), F.col("sr"), F.col("sc"))
-    side = lambda who, name: parts.join(s.withColumnRenamed("key", who), ["map_id", who]).groupBy("map_id", "label").agg(F.min(d).alias(name))
-    out = parts.join(side("own", "d_own"), ["map_id", "label"], "left").join(side("rival", "d_rival"), ["map_id", "label"], "left")
+    at = ["center_row", "center_col"]
+
+    def side(who: str, name: str) -> DataFrame:
+        keys = ["map_id", who, *at]
+        return parts.select(*keys).distinct().join(s.withColumnRenamed("key", who), ["map_id", who]).groupBy(*keys).agg(F.min(d).alias(name)).hint("merge")
+
+    out = parts.join(side("own", "d_own"), ["map_id", "own", *at], "left").join(side("rival", "d_rival"), ["map_id", "rival", *at], "left").select(*parts.columns, "d_own", "d_rival")
     keep = (F.col("d_own") < near) | (F.col("d_own") < factor * F.coalesce("d_rival", F.lit(float("inf"))))
     return out.withColumn("winner", F.when(F.coalesce(keep, F.lit(False)), F.col("own")).otherwise(F.col("rival")))
 
