@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mapfold.functions import geometry as G
+from mapfold.operators import evaluate as E
 from mapfold.operators import matching as M
+from mapfold.operators import pixels as P
 from mapfold.operators import quadtree as Q
 from mapfold.operators import spatial as S
 from mapfold.operators import tiles as T
@@ -93,3 +95,56 @@ def test_equal_texts_are_scored_once(spark, monkeypatch):
     found = S.place_candidates(places, rows.withColumnRenamed("text", "name"), "Small", 3)
     assert found.count() == 150 and [r.row_id for r in found.filter("place_id = 1").orderBy("rank").collect()] == [0, 1, 5]
     assert max(scored) <= 5
+
+
+def _counted(monkeypatch, module):
+    """Rows of both sides of each cell join that a module makes."""
+    sides, join = [], S.cell_join
+    monkeypatch.setattr(module, "cell_join", lambda a, b, *rest, **kw: sides.append((a.count(), b.count())) or join(a, b, *rest, **kw))
+    return sides
+
+
+def _struct_box(x0, y0, x1, y1):
+    return F.struct(*[F.lit(v).cast("double").alias(n) for n, v in (("xmin", x0), ("ymin", y0), ("xmax", x1), ("ymax", y1))])
+
+
+def test_copies_of_boxes_are_merged_as_one(spark, monkeypatch):
+    sides = _counted(monkeypatch, S)
+    rows = spark.range(60).select(F.lit(1).alias("map_id"), F.col("id").alias("box_id"), F.when(F.col("id") < 40, _struct_box(0, 0, 4, 4)).when(F.col("id") < 50, _struct_box(0, 0, 4, 5)).when(F.col("id") < 58, _struct_box(9, 9, 9, 12)).alias("box"))
+    got = {r.group: (r.n, r.ymax) for r in E.merged_boxes(rows).collect()}
+    assert got == {0: (50, 5.0), **{k: (1, 12.0) for k in range(50, 58)}, 58: (1, None), 59: (1, None)}  # without area or place each for itself
+    assert sides == [(12, 12)]
+
+
+def test_copies_of_lines_patches_and_labels_meet_once(spark, monkeypatch):
+    sides = _counted(monkeypatch, S)
+    line = F.array(G.point(F.lit(0.0), F.lit(1.0)), G.point(F.lit(3.0), F.lit(1.0)))
+    lines = spark.range(30).select(F.lit(1).alias("map_id"), F.col("id").alias("line_id"), F.when(F.col("id") < 29, line).alias("line"))
+    patches = spark.range(20).select(F.lit(1).alias("map_id"), (50 - F.col("id")).alias("patch_seq"), _struct_box(1, 0, 2, 2).alias("box"))
+    first = S.first_patch_of_line(lines, patches)
+    assert first.columns == ["map_id", "line_id", "line", "patch_seq"] and {r.patch_seq for r in first.filter("line_id < 29").collect()} == {31} and first.filter("patch_seq IS NULL").count() == 1
+    ring = G.box_ring(_struct_box(0, 0, 2, 2))
+    labels = spark.range(30).select(F.col("id").alias("label_id"), F.lit("Red!").alias("text"), ring.alias("ring"))
+    polygons = spark.range(20).select(F.col("id").alias("polygon_id"), F.lit("a red rock").alias("name"), ring.alias("geom"))
+    assert {tuple(r.polygon_ids) for r in S.link_labels(labels, polygons).collect()} == {tuple(range(20))}
+    assert sides == [(2, 1), (1, 1)]
+
+
+def test_places_of_masks_and_seeds_meet_once(spark, monkeypatch):
+    sides = _counted(monkeypatch, P)
+    mask = spark.range(40).select(F.lit(1).alias("map_id"), F.concat(F.lit("k"), F.col("id") % 4).alias("key"), F.floor(F.col("id") / 4).cast("int").alias("row"), F.lit(1).alias("col"))
+    boxes = spark.range(30).select(F.lit(1).alias("map_id"), _struct_box(0, 0, 2, 4).alias("box"))
+    assert P.without_boxes(mask, boxes).count() == 20 and sides == [(10, 1)]
+    parts = spark.range(500).select(F.lit(1).alias("map_id"), F.col("id").alias("label"), F.lit("own").alias("own"), F.lit("rival").alias("rival"), (F.col("id") % 5).alias("center_row"), F.lit(0).alias("center_col"))
+    seeds = spark.range(400).select(F.lit(1).alias("map_id"), F.when(F.col("id") % 2 == 0, "own").otherwise("rival").alias("key"), (F.col("id") % 2 * 4).alias("row"), F.lit(0).alias("col"))
+    told = P.settled_by_seeds(parts, seeds, near=0.5, factor=1.0)
+    assert {(r.center_row, r.winner): r.n for r in told.groupBy("center_row", "winner").agg(F.count("*").alias("n")).collect()} == {(0, "own"): 100, (1, "own"): 100, (2, "rival"): 100, (3, "rival"): 100, (4, "rival"): 100}
+    assert {tuple(r) for r in told.select("d_own", "d_rival").distinct().collect()} == {(float(k), 4.0 - k) for k in range(5)}
+
+
+def test_keys_of_one_colour_are_not_parted_by_rounding(spark, monkeypatch):
+    pixels = spark.range(400).select(F.lit(1).alias("map_id"), (F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), *[(F.col("id") * m % 256).cast("int").alias(c) for c, m in (("r", 7), ("g", 13), ("b", 11))])
+    palette = spark.createDataFrame([(1, k, 127, 128, 127) for k in "dbac"], "map_id int, key string, r int, g int, b int")
+    inner = P.nearest_palette(pixels, palette)
+    assert [tuple(r) for r in inner.groupBy("key").count().collect()] == [("a", 400)]
+    assert "min(key" in inner._jdf.queryExecution().analyzed().toString()
