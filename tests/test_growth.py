@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import numpy as np
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 from mapfold.functions import geometry as G
 from mapfold.operators import evaluate as E
+from mapfold.operators import graphs as GR
 from mapfold.operators import matching as M
 from mapfold.operators import pixels as P
 from mapfold.operators import quadtree as Q
 from mapfold.operators import spatial as S
 from mapfold.operators import tiles as T
+from mapfold.operators import vectors as V
 
 
 def _plan(df) -> str:
@@ -148,3 +151,25 @@ def test_keys_of_one_colour_are_not_parted_by_rounding(spark, monkeypatch):
     inner = P.nearest_palette(pixels, palette)
     assert [tuple(r) for r in inner.groupBy("key").count().collect()] == [("a", 400)]
     assert "min(key" in inner._jdf.queryExecution().analyzed().toString()
+
+
+def test_copies_of_vectors_make_no_pairs(spark):
+    r = random.Random(4)
+    vecs = [[r.random() - 0.5 for _ in range(4)] for _ in range(6)]
+    side = lambda odd: spark.createDataFrame([(0, 2 * k + odd, vecs[k % 3 + 3 * odd], 1.0) for k in range(30)], "block int, patch_idx int, vec array<double>, saliency double")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    sim = [[cos(vecs[a], vecs[3 + b]) for b in range(3)] for a in range(3)]
+    want = {(2 * a, 2 * b + 1) for a in range(3) for b in range(3) if sim[a][b] == max(sim[a]) == max(row[b] for row in sim)}
+    found = V.mutual_nearest(side(0), side(1), ["block"], 0.1)
+    assert {(p.a, p.b) for p in found.collect()} == want
+    assert "min(struct(patch_idx" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_rounds_leave_one_table(spark, monkeypatch):
+    made, keep = [], GR.written
+    monkeypatch.setattr(GR, "written", lambda df: made.append(keep(df)) or made[-1])
+    edges = spark.range(30).selectExpr("1 AS map_id", "id AS u", "id + 1 AS v", "1.0D AS length")
+    got = GR.bounded_distances(edges, spark.createDataFrame([(1, 0)], "map_id int, start long"), 9.0)
+    assert {r.node: r.distance for r in got.collect()} == {k: float(k) for k in range(10)}
+    folder = lambda df: df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert len(made) > 9 and [os.path.isdir(folder(df)) for df in made] == [False] * (len(made) - 1) + [True]
