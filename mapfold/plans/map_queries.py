@@ -103,9 +103,11 @@ def vector_hit_rate(spark, sf_dir):
     e = I.embeddings(spark, sf_dir)
     q = e.filter("id % 50 = 0")
     found = V.nearest(q, e, 5)
-    labels = e.select("id", "label")
-    positives = q.select(F.col("id").alias("query_id"), "label").join(labels, "label").filter("id != query_id").select("query_id", "id")
-    return V.hit_rate(found, positives).withColumn("rate", F.round("rate", 6))
+    # only found rows are held against their query's label; that a query has positives at all, the count of its label tells
+    own = q.select(F.col("id").alias("query_id"), "label")
+    hits = found.join(own, "query_id").join(e.select("id", "label"), ["id", "label"], "left_semi").select("query_id", "id")
+    paired = own.join(e.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1"), "label", "left_semi").select("query_id", F.lit(None).cast("long").alias("id"))
+    return V.hit_rate(found, hits.unionByName(paired)).withColumn("rate", F.round("rate", 6))
 
 
 @query(

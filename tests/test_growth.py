@@ -173,3 +173,12 @@ def test_rounds_leave_one_table(spark, monkeypatch):
     assert {r.node: r.distance for r in got.collect()} == {k: float(k) for k in range(10)}
     folder = lambda df: df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
     assert len(made) > 9 and [os.path.isdir(folder(df)) for df in made] == [False] * (len(made) - 1) + [True]
+
+
+def test_hit_rate_makes_no_table_of_positives(spark, monkeypatch):
+    from mapfold.plans import map_queries
+
+    seen, rate = [], V.hit_rate
+    monkeypatch.setattr(V, "hit_rate", lambda found, positives: seen.append((found.count(), positives.count())) or rate(found, positives))
+    row = map_queries.vector_hit_rate(spark, "/root/testdata/sf0.001").first()
+    assert row.queries > 0 and seen[0][1] <= seen[0][0] + row.queries
