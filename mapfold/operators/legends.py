@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapfold.functions import geometry as G
+from mapfold.session import written
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], start: int = 0, name: str = "feature_id") -> DataFrame:
@@ -116,7 +117,10 @@ def valid_detections(df: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataF
     inside = F.forall("ring", lambda p: (p["x"] >= 0) & (p["y"] >= 0) & (p["x"] <= F.col("width")) & (p["y"] <= F.col("height")))
     missing = F.col("ring").isNull() | inside.isNull()
     reason = F.when(missing, "missing").when(~inside, "outside").otherwise(F.coalesce(G.ring_fault(F.col("ring")), F.when(G.signed_area(F.col("ring")) > 0, "turns")))
-    d = d.withColumn("reason", reason)
+    # equal rings on sheets of one size are judged once; as a struct, nulls are equal too
+    d = d.withColumn("_k", F.struct("ring", "height", "width"))
+    told = written(d.select("_k").distinct().select("_k", F.inline(F.array("_k"))).select("_k", reason.alias("reason")))
+    d = d.join(told, "_k").drop("_k")
     return d.filter("reason IS NULL").drop("reason"), d.filter("reason IS NOT NULL")
 
 
