@@ -44,9 +44,16 @@ def patches(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def column_oriented(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Columns that are index -> value maps, as one row for each index (SRC3)."""
-    index = F.explode(F.map_keys(columns[0]))
-    out = rows.select(*keys, *columns, index.alias("index"))
-    return out.select(*keys, "index", *[F.try_element_at(c, F.col("index")).alias(c) for c in columns])
+    # every entry becomes a row and meets those of its index, as a look-up in a map walks through it
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    types = {c: rows.schema[c].dataType for c in columns}
+    out = None
+    for c in columns:
+        value = [F.col("_v").alias(d) if d == c else F.lit(None).cast(types[d].valueType).alias(d) for d in columns]
+        part = rows.select(*keys, "_row", F.explode(c).alias("index", "_v")).select(*keys, "_row", "index", *value, F.lit(c == columns[0]).alias("_own"))
+        out = part if out is None else out.unionByName(part)
+    one = out.groupBy("_row", *keys, "index").agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns], F.max("_own").alias("_own"))
+    return one.filter("_own").select(*keys, "index", *columns)
 
 
 def catalog(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:

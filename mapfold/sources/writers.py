@@ -201,12 +201,13 @@ def description_records(items: DataFrame, layout: DataFrame) -> DataFrame:
     key = F.to_json(F.array("box.xmin", "box.ymin", "box.xmax", "box.ymax"))
     value = F.to_json(F.struct("description", F.col("name").alias("symbol name")))
     kinds = layout.withColumn("feature_type", F.explode(F.array(F.lit("line"), F.lit("point"), F.lit("polygon"))))
-    own = items.groupBy("map_id", "feature_type").agg(F.array_distinct(F.collect_list(F.struct(key.alias("key"), value.alias("value")))).alias("e"))
+    # a key counts once, with the least of its values
+    keyed = items.groupBy("map_id", "feature_type", key.alias("key")).agg(F.min(value).alias("value"))
+    own = keyed.groupBy("map_id", "feature_type").agg(F.collect_list(F.struct("key", "value")).alias("e"))
     both = kinds.join(own, ["map_id", "feature_type"], "left")
     meta = F.array(*[F.struct(F.lit(c).alias("key"), F.to_json(F.col(c)).alias("value")) for c in ("map_content_box", "poly_box", "ptln_box")])
     entries = F.concat(F.coalesce("e", F.array().cast("array<struct<key:string,value:string>>")), meta)
-    one = F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda x: x["key"])), lambda k: F.struct(k.alias("key"), F.filter(entries, lambda x: x["key"] == k)[0]["value"].alias("value"))))
-    return both.select("map_id", "feature_type", F.to_json(one).alias("json"))
+    return both.select("map_id", "feature_type", F.to_json(F.map_from_entries(entries)).alias("json"))
 
 
 def map_area_record(summary: DataFrame) -> DataFrame:
