@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapfold.operators.components import connected_components
-from mapfold.operators.spatial import cell_join
+from mapfold.operators.spatial import cell_join, fitted_side
 from mapfold.session import written
 
 #: A gap of this share of a line counts as covered, so that rounding opens none.
@@ -71,13 +71,19 @@ def _two_sides(lines: DataFrame, keys: list[str]) -> list[DataFrame]:
     return [lines.select(*keys, F.col("seg_id").alias(i), *[F.col(e).alias(p + e) for e in _ENDS]) for p, i in (("_l", "seg_id"), ("_r", "other"))]
 
 
+def _near(a: tuple[Column, ...], b: tuple[Column, ...], reach: float = 0.0) -> Column:
+    """The boxes come within reach of each other."""
+    return (a[0] <= b[2] + reach) & (b[0] - reach <= a[2]) & (a[1] <= b[3] + reach) & (b[1] - reach <= a[3])
+
+
 def covered_parts(lines: DataFrame, keys: list[str], buffer: float, side: float = 64.0) -> DataFrame:
     """(keys, seg_id, other, longer, t0, t1): the part of each line that each other line of its keys covers.
 
     longer says that the other line is longer, or as long with a smaller seg_id.
     """
     l, r = _two_sides(_sound(lines), keys)  # noqa: E741
-    pairs = cell_join(l, r, keys, _box("_l"), _box("_r"), side, buffer).filter("seg_id != other")
+    side = fitted_side(_sound(lines), keys, _box(""), side, buffer)
+    pairs = cell_join(l, r, keys, _box("_l"), _box("_r"), side, buffer).filter("seg_id != other").filter(_near(_box("_l"), _box("_r"), buffer))
     own, far = ([F.col(p + e) for e in _ENDS] for p in ("_l", "_r"))
     square = lambda c: (c[2] - c[0]) * (c[2] - c[0]) + (c[3] - c[1]) * (c[3] - c[1])
     longer = (square(far) > square(own)) | ((square(far) == square(own)) & (F.col("other") < F.col("seg_id")))
@@ -134,6 +140,7 @@ def touching_groups(lines: DataFrame, keys: list[str], side: float = 64.0) -> Da
     """lines with group, the least seg_id among the lines of the same keys that touch or cross one after the other (AGG15)."""
     lines = _sound(lines)
     l, r = _two_sides(lines, keys)  # noqa: E741
+    side = fitted_side(lines, keys, _box(""), side)
     pairs = cell_join(l, r, keys, _box("_l"), _box("_r"), side).filter("seg_id < other")
     (ax, ay, bx, by), (cx, cy, dx, dy) = ([F.col(p + e) for e in _ENDS] for p in ("_l", "_r"))
 
@@ -141,8 +148,7 @@ def touching_groups(lines: DataFrame, keys: list[str], side: float = 64.0) -> Da
         return F.signum((qx - px) * (y - py) - (qy - py) * (x - px))
 
     # with boxes that meet, ends on both sides or on the line mean a common point, for parallel lines too
-    lb, rb = _box("_l"), _box("_r")
-    meet = (lb[0] <= rb[2]) & (rb[0] <= lb[2]) & (lb[1] <= rb[3]) & (rb[1] <= lb[3])
+    meet = _near(_box("_l"), _box("_r"))
     apart = lambda p, q: turn(*p, *q[:2]) * turn(*p, *q[2:]) > 0
     touch = meet & ~apart((ax, ay, bx, by), (cx, cy, dx, dy)) & ~apart((cx, cy, dx, dy), (ax, ay, bx, by))
     node = lambda c: F.struct(*keys, F.col(c).alias("seg_id"))
