@@ -10,13 +10,14 @@ how much is compared, never what is found.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapfold.operators.vectors import euclidean
+from mapfold.operators.vectors import QUERY_COMPONENTS, ROW_COMPONENTS, closest, measured, odd_pairs, parts, sound_and_odd
 from mapfold.session import written
 
 SAMPLE = 20_000  #: vectors that centroids are fitted on
@@ -54,10 +55,16 @@ def nearest_by_lists(queries: DataFrame, base: DataFrame, k: int, exclude_self:
     queries, base: id, vec, all of one length; rows without a vector take no part. An empty
     base gives no rows.
     """
-    known = base.select("id", "vec").filter("vec IS NOT NULL")
+    given = base.select("id", "vec").filter("vec IS NOT NULL")
+    asking = queries.select("id", "vec").filter("vec IS NOT NULL")
+    _, odd, dims = measured(given)
+    m, strange, _ = measured(asking, dims)
+    known = sound_and_odd(given, dims)[0]
+    others = odd_pairs(asking, given, (strange, odd), dims, k, 16, exclude_self)
     first = known.orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
     if not first:
-        return queries.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
+        nothing = queries.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance")).limit(0)
+        return _best(reduce(DataFrame.unionByName, others, nothing), k)
     sample = np.array([r["vec"] for r in first], np.float64)
     at = centroids(sample, min(LISTS, max(1, math.isqrt(len(sample)))))
 
@@ -66,10 +73,10 @@ def nearest_by_lists(queries: DataFrame, base: DataFrame, k: int, exclude_self:
         own, off = _nearest(_rows(vec), at) if len(vec) else (np.zeros(0, int), np.zeros(0))
         return pd.DataFrame({"list": own.astype(np.int32), "off": off})
 
-    lists = written(known.withColumn("_p", placed("vec")).select("id", F.col("vec").alias("_b"), F.col("_p.list").alias("list"), F.col("_p.off").alias("off")))
-    radius = np.full(len(at), -np.inf)
-    for r in lists.groupBy("list").agg(F.max("off").alias("r")).collect():  # one row for each list
-        radius[r["list"]] = r["r"]
+    lists = written(known.withColumn("_p", placed("vec")).select("id", "vec", F.col("_p.list").alias("list"), F.col("_p.off").alias("off")))
+    radius, blocks = np.full(len(at), -np.inf), [1] * len(at)
+    for r in lists.groupBy("list").agg(F.max("off").alias("r"), F.count("*").alias("n")).collect():  # one row for each list
+        radius[r["list"]], blocks[r["list"]] = r["r"], parts(r["n"], dims, ROW_COMPONENTS)
     some = np.flatnonzero(radius > -np.inf)
 
     @F.pandas_udf("array<struct<list: int, least: double>>")
@@ -82,23 +89,28 @@ def nearest_by_lists(queries: DataFrame, base: DataFrame, k: int, exclude_self:
             out.append([{"list": int(a), "least": float(b)} for a, b in zip(some[by], least, strict=True)])
         return pd.Series(out, dtype=object)
 
-    q = written(queries.select(F.col("id").alias("query_id"), "vec").filter("vec IS NOT NULL").withColumn("ways", ways("vec")))
+    q = written(sound_and_odd(asking, dims)[0].withColumn("ways", ways("vec")))
+    # long lists are cut into blocks, and so are the queries
+    of_list, of_queries = F.element_at(F.array(*map(F.lit, blocks)), F.col("list") + 1), F.lit(parts(m, dims, QUERY_COMPONENTS))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
 
     def compared(asked: DataFrame) -> DataFrame:
-        pairs = asked.join(lists.select("list", "id", "_b"), "list")
-        pairs = pairs.filter("id != query_id") if exclude_self else pairs
-        scored = pairs.select("query_id", "id", euclidean(F.col("vec"), F.col("_b")).alias("distance"))
-        # the best of each list are enough, so that a query's rows stay few
-        return best(scored)
-
-    def best(scored: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy("distance", "id")
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-    near = q.select("query_id", "vec", F.explode(F.slice("ways", 1, probes)).alias("w"))
-    found = written(compared(near.select("query_id", "vec", "w.list")))
-    bound = found.filter(F.col("rank") == k).select("query_id", F.col("distance").alias("bound"))
-    rest = q.select("query_id", "vec", F.explode(F.slice("ways", probes + 1, LISTS)).alias("w")).join(bound, "query_id", "left")
+        q = asked.select("id", "vec", "list", own(of_queries).alias("_part"), every(of_list).alias("_block"))
+        b = lists.select("id", "vec", "list", own(of_list).alias("_block"), every(of_queries).alias("_part"))
+        # the best of each block are enough, so that a query's rows stay few
+        return closest(q, b, ["list", "_block", "_part"], k, exclude_self)
+
+    near = q.select("id", "vec", F.explode(F.slice("ways", 1, probes)).alias("w"))
+    found = written(_best(compared(near.select("id", "vec", "w.list")), k))
+    bound = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
+    rest = q.select("id", "vec", F.explode(F.slice("ways", probes + 1, LISTS)).alias("w")).join(bound, "id", "left")
     rest = rest.filter(F.col("bound").isNull() | (F.col("w.least") <= F.col("bound")))
-    more = compared(rest.select("query_id", "vec", "w.list"))
-    return best(found.drop("rank").unionByName(more.drop("rank"))).select("query_id", "id", "distance", "rank")
+    more = compared(rest.select("id", "vec", "w.list"))
+    return _best(reduce(DataFrame.unionByName, others, found.drop("rank").unionByName(more)), k)
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance, rank): the first k of each query."""
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
