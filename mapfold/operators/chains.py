@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType
 
 from mapfold.functions import geometry as G
+from mapfold.operators.chain_cells import STOP, cell_chains
 from mapfold.operators.graphs import cumulative_length
 from mapfold.session import cut, written
 
+CELL_BITS = (16, 12, 8)  #: bits of a node number inside a cell, the first that keeps cells from being crowded
+CROWD = 1 << 19  #: edges of a cell at most
+
 
 def list_ranks(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, last, steps) of the elements of lists that end, and the ids that lie on rings.
@@ -57,14 +62,53 @@ def ordered_chains(edges: DataFrame) -> DataFrame:
     A chain is a path between nodes that don't have two edges, or a ring of nodes that all
     have. It starts at the lesser of its two ends (of equal ends, on the side of the lesser
     neighbour), a ring at its least node, where it ends as well; chain is its first edge.
-    Loops, repeated edges and null ends are ignored.
+    Loops, repeated edges and null ends are ignored. Where nodes are whole numbers, chains
+    whose nodes lie in one cell of numbers are put in order there, and only the others go
+    through rounds of joins.
     """
-    clean = edges.filter("u != v").select("map_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    clean = edges.filter("u != v").select("map_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    if not all(isinstance(edges.schema[c].dataType, IntegralType) for c in ("u", "v")):
+        return _chains_by_rounds(clean.distinct().withColumns({"us": F.lit(False), "vs": F.lit(False)}))
+    bits = _cell_bits(clean)
+    if bits is None:
+        return _chains_by_rounds(clean.distinct().withColumns({"us": F.lit(False), "vs": F.lit(False)}))
+    placed = written(_chains_in_cells(clean, bits))
+    node = edges.schema["u"].dataType if edges.schema["u"].dataType == edges.schema["v"].dataType else LongType()
+    chain = F.struct(F.col("cu").cast(node).alias("u"), F.col("cv").cast(node).alias("v")).alias("chain")
+    inside = placed.filter("pos is not null").select("map_id", chain, "pos", F.col("node").cast(node).alias("node"))
+    # both cells of an edge between cells tell of it, each knows one end
+    stop = lambda c: F.max(F.col(c) == STOP)
+    left = placed.filter("pos is null").groupBy("map_id", F.col("cu").cast(node).alias("u"), F.col("cv").cast(node).alias("v")).agg(stop("su").alias("us"), stop("sv").alias("vs"))
+    left = written(left)
+    return inside if left.isEmpty() else inside.unionByName(_chains_by_rounds(left))
+
+
+def _cell_bits(edges: DataFrame) -> int | None:
+    """How many bits of a node number tell nodes of one cell apart, so that no cell has more than CROWD edges; None if small cells have more."""
+    for bits in CELL_BITS:
+        n = edges.select("map_id", F.explode(F.array_distinct(F.array(F.shiftright("u", bits), F.shiftright("v", bits)))).alias("c")).groupBy("map_id", "c").count()
+        if (n.agg(F.max("count")).first()[0] or 0) <= CROWD:
+            return bits
+    return None
+
+
+def _chains_in_cells(edges: DataFrame, bits: int) -> DataFrame:
+    """(map_id, cu, cv, pos, node, su, sv): nodes of the chains inside cells in order, and without pos the edges of the others."""
+    at = ["map_id", "_cell"]
+    rows = edges.select("map_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    cell = F.array_distinct(F.array(F.shiftright("u", bits), F.shiftright("v", bits)))
+    rows = rows.withColumn("_cell", F.explode(cell)).repartition(*at).dropDuplicates()  # one shuffle for all
+    kind = edges.schema["map_id"].dataType.simpleString()
+    return rows.groupBy(*at).applyInArrow(cell_chains(bits), f"map_id {kind}, cu long, cv long, pos long, node long, su int, sv int")
+
+
+def _chains_by_rounds(clean: DataFrame) -> DataFrame:
+    """ordered_chains of distinct edges (u < v) by rounds of joins. us and vs tell which ends are known to be stops, with edges that aren't here."""
     numbered = written(clean.withColumn("e", F.monotonically_increasing_id()))
-    dart = lambda n, a, b: F.struct((F.col("e") * 2 + n).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"))
+    dart = lambda n, a, b: F.struct((F.col("e") * 2 + n).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(a + "s").alias("stop"))
     darts = numbered.select("map_id", F.inline(F.array(dart(0, "u", "v"), dart(1, "v", "u"))))
     # at a node of two edges what comes in on one goes on along the other; id ^ 1 is the way back
-    through = darts.groupBy("map_id", "a").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).filter("n = 2")
+    through = darts.groupBy("map_id", "a").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.max("stop").alias("stop")).filter("n = 2 and not stop")
     turn = lambda p, q: F.struct(F.col(p).bitwiseXOR(F.lit(1)).alias("id"), F.col(q).alias("next"))
     follows = through.select("map_id", F.col("a").alias("at"), F.inline(F.array(turn("x", "y"), turn("y", "x"))))
     links = written(darts.select("id", "map_id", "a").join(follows.select("id", "next"), "id", "left"))

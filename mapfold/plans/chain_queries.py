@@ -26,7 +26,7 @@ chain AS (SELECT map_id, fu, fv, 0 AS pos, fu AS node FROM chosen UNION ALL SELE
 @query(f"WITH RECURSIVE {_CHAINS} SELECT map_id, fu, fv, CAST(pos AS BIGINT) AS pos, node FROM chain")
 def chain_nodes(spark, sf_dir):
     """GRF5, GRF19: the nodes of every chain in order."""
-    found = C.ordered_chains(I.parts(spark, sf_dir))
+    found = C.ordered_chains(I.part_rows(spark, sf_dir))
     return found.select("map_id", F.col("chain.u").alias("fu"), F.col("chain.v").alias("fv"), "pos", "node")
 
 
@@ -46,7 +46,7 @@ UNION ALL SELECT map_id, fu, fv, CASE WHEN pos = 0 THEN 0 ELSE parts END, round(
 )
 def resampled_chains(spark, sf_dir):
     """GRF5, WIN13: chains as points at even distances of about 150.3."""
-    edges = I.parts(spark, sf_dir)
+    edges = I.part_rows(spark, sf_dir)
     points = C.resampled(C.chain_vertices(edges, I.places(edges)), 150.3)
     return points.select("map_id", F.col("line_id.u").alias("fu"), F.col("line_id.v").alias("fv"), "k", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
@@ -58,7 +58,7 @@ WHERE x - rx0 > 0.07 * (rx1 - rx0) AND rx1 - x > 0.07 * (rx1 - rx0) AND y - ry0
 )
 def chain_start_points(spark, sf_dir):
     """GRF20: evaluation starts along chains, away from the region's border."""
-    edges = I.parts(spark, sf_dir)
+    edges = I.part_rows(spark, sf_dir)
     points = C.start_points(C.chain_vertices(edges, I.places(edges)), 201.7, I.regions(spark, sf_dir))
     return points.select("map_id", F.col("line_id.u").alias("fu"), F.col("line_id.v").alias("fv"), "k", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 

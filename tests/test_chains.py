@@ -136,3 +136,23 @@ def test_masks_to_polygons_and_back(spark, share):
         assert all((p.x != q.x) != (p.y != q.y) for p, q in zip(s.ring, s.ring[1:], strict=False))
     assert not members
     assert C.mask_polygons(P.labelled_runs(frame.filter("false"))).count() == 0
+
+
+@pytest.mark.parametrize("bits, crowd", [((16,), 1 << 19), ((1,), 1 << 19), ((3,), 1 << 19), ((16, 4), 30), ((16,), 5)])
+def test_cells_of_nodes_change_no_chain(spark, monkeypatch, bits, crowd):
+    monkeypatch.setattr(C, "CELL_BITS", bits)
+    monkeypatch.setattr(C, "CROWD", crowd)
+    r = random.Random(8)
+    rows, want = [], {}
+    for m in range(5):
+        edges = [(r.randrange(-9, 20), r.randrange(-9, 20)) for _ in range(r.randint(12, 25))]
+        edges += [(100, 101), (101, 102), (102, 100)] + [(200 + k, 201 + k) for k in range(40)] + edges[:4]
+        rows += [(m, u, v) for u, v in edges]
+        want.update({(m, *k): c for k, c in walks(edges).items()})
+    assert got_chains(spark.createDataFrame(rows, "map_id int, u long, v long")) == want
+
+
+def test_chains_inside_a_cell_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(C, "cut", lambda df: pytest.fail("a round of joins"))
+    frame = spark.createDataFrame([(m, k, k + 1) for m in range(3) for k in range(500)], "map_id long, u long, v long")
+    assert len(got_chains(frame)) == 3
