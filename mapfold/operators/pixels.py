@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from mapfold.functions import geometry as G
 from mapfold.operators.components import connected_components
+from mapfold.operators.run_labels import run_labels
 from mapfold.operators.spatial import cell_join
+from mapfold.session import written
 
 KEYS = ["map_id", "key"]
 AT = [*KEYS, "row", "col"]
+BAND_BITS = 9  #: bits of a row's number inside a band, whose components are found by one task
 
 
 def color_mask(pixels: DataFrame, colors: DataFrame, spread: int) -> DataFrame:
@@ -39,18 +42,37 @@ def mask_runs(mask: DataFrame) -> DataFrame:
     return mask.select(*AT).distinct().withColumn("_g", F.col("col") - F.row_number().over(order)).groupBy(*KEYS, "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("_g")
 
 
-def labelled_runs(mask: DataFrame, diagonal: bool = False) -> DataFrame:
+def labelled_runs(mask: DataFrame, diagonal: bool = False, bits: int = BAND_BITS) -> DataFrame:
     """Runs with the label of their component: its first run's (row, c0) (RAS3)."""
-    runs = mask_runs(mask)
+    rows = mask.select(*AT, F.shiftright("row", bits).alias("_band")).repartition(*KEYS, "_band").distinct()  # one shuffle for all
+    order = Window.partitionBy(*KEYS, "_band", "row").orderBy("col")
+    islands = rows.withColumn("_g", F.col("col") - F.row_number().over(order)).groupBy(*KEYS, "_band", "row", "_g")
+    return _labelled(islands.agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("_g"), diagonal, bits)
+
+
+def _labelled(runs: DataFrame, diagonal: bool, bits: int = BAND_BITS) -> DataFrame:
+    """runs (map_id, key, _band, row, c0, c1), dealt by band, with the label of their component.
+
+    Components are found band by band; where some go on in the next band, their parts are
+    joined in rounds.
+    """
     reach = 1 if diagonal else 0
+    at = [*KEYS, "_band", "row", "c0", "c1"]
+    kinds = {c: runs.schema[c].dataType.simpleString() for c in at}
+    told = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), f"lrow {kinds['row']}", f"lcol {kinds['c0']}"])
+    found = written(runs.select(*at).sortWithinPartitions(*at).mapInArrow(run_labels(reach), told))
     step = 64  # columns of a join cell
     spread = lambda df: df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("c0") / step), F.floor((F.col("c1") + reach) / step))))
-    above = spread(runs).select(*KEYS, (F.col("row") + 1).alias("row"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), "_cell")
-    touch = spread(runs).join(above, [*KEYS, "row", "_cell"]).filter((F.col("c0") <= F.col("a1") + reach) & (F.col("a0") <= F.col("c1") + reach))
-    node = lambda r, c: F.struct(F.col("map_id"), F.col("key"), (F.col("row") + r).alias("row"), F.col(c).alias("c0"))
-    found = connected_components(touch.select(node(0, "c0").alias("a"), node(-1, "a0").alias("b")))
-    labels = found.select("node.*", F.struct(F.col("component.row").alias("row"), F.col("component.c0").alias("col")).alias("label"))
-    return runs.join(labels, [*KEYS, "row", "c0"], "left").withColumn("label", F.coalesce("label", F.struct(F.col("row"), F.col("c0").alias("col"))))
+    edge = lambda row: F.pmod(row, F.lit(1 << bits)) == 0
+    node = lambda p: F.struct("map_id", "key", F.col(p + "row").alias("row"), F.col(p + "col").alias("col"))
+    above = spread(found.filter(edge(F.col("row") + 1))).select(*KEYS, (F.col("row") + 1).alias("row"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("lrow").alias("arow"), F.col("lcol").alias("acol"), "_cell")
+    touch = spread(found.filter(edge(F.col("row")))).join(above, [*KEYS, "row", "_cell"]).filter((F.col("c0") <= F.col("a1") + reach) & (F.col("a0") <= F.col("c1") + reach))
+    across = touch.select(node("l").alias("a"), node("a").alias("b")).distinct()
+    own = F.struct(F.col("lrow").alias("row"), F.col("lcol").alias("col"))
+    if across.isEmpty():
+        return found.select(*KEYS, "row", "c0", "c1", own.alias("label"))
+    joined = connected_components(across).select(F.col("node.map_id").alias("map_id"), F.col("node.key").alias("key"), F.col("node.row").alias("lrow"), F.col("node.col").alias("lcol"), F.struct("component.row", "component.col").alias("label"))
+    return found.join(joined, [*KEYS, "lrow", "lcol"], "left").select(*KEYS, "row", "c0", "c1", F.coalesce("label", own).alias("label"))
 
 
 def component_summary(runs: DataFrame) -> DataFrame:
@@ -64,11 +86,24 @@ def pixels_of(runs: DataFrame) -> DataFrame:
     return runs.select(*KEYS, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
-def largest_component(mask: DataFrame) -> DataFrame:
-    """Pixels of the largest component of each mask (AGG16, WIN9)."""
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """Runs (map_id, key, row, c0, c1) of all pixels that some of runs cover."""
+    order = Window.partitionBy(*KEYS, "row").orderBy("c0")
+    before = F.max("c1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("c0") <= before + 1, 0).otherwise(1)
+    islands = runs.select(*KEYS, "row", "c0", "c1", new.alias("_new")).withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*KEYS, "row", "_g").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("_g")
+
+
+def _largest_runs(mask: DataFrame) -> DataFrame:
     runs = labelled_runs(mask)
     best = component_summary(runs).groupBy(*KEYS).agg(F.max_by("label", F.struct("area", F.struct(-F.col("label.row"), -F.col("label.col")))).alias("label"))
-    return pixels_of(runs.join(best, [*KEYS, "label"], "left_semi"))
+    return runs.join(best, [*KEYS, "label"], "left_semi").select(*KEYS, "row", "c0", "c1")
+
+
+def largest_component(mask: DataFrame) -> DataFrame:
+    """Pixels of the largest component of each mask (AGG16, WIN9)."""
+    return pixels_of(_largest_runs(mask))
 
 
 def nearest_palette(pixels: DataFrame, palette: DataFrame) -> DataFrame:
@@ -146,11 +181,29 @@ def background(mask: DataFrame, sizes: DataFrame) -> DataFrame:
     return frame.select(*KEYS, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).join(mask, AT, "left_anti")
 
 
+def _background_runs(runs: DataFrame, sizes: DataFrame, bits: int = BAND_BITS) -> DataFrame:
+    """background() of a mask's runs as runs, dealt by band: the gaps between the runs of each row of the frame."""
+    frame = runs.select(*KEYS).distinct().join(sizes.select("map_id", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width")).distinct(), "map_id").filter("height > 0 AND width > 0")
+    edge = frame.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).select(*KEYS, "row", F.lit(-1).alias("c0"), F.lit(-1).alias("c1"), "width")
+    inside = runs.filter("c1 >= 0 AND key IS NOT NULL").select(*KEYS, F.col("row").cast("int").alias("row"), F.greatest(F.col("c0").cast("int"), F.lit(0)).alias("c0"), F.col("c1").cast("int").alias("c1"), F.lit(None).cast("int").alias("width"))
+    every = edge.unionByName(inside).withColumn("_band", F.shiftright("row", bits)).repartition(*KEYS, "_band")
+    # frames of several sizes lie over each other; a row's edge comes first, the widest one counts
+    order = Window.partitionBy(*KEYS, "_band", "row").orderBy("c0")
+    width = F.max("width").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    gaps = every.withColumns({"_to": F.lead("c0").over(order), "_w": width}).select(*KEYS, "_band", "row", (F.col("c1") + 1).alias("c0"), (F.least(F.coalesce("_to", "_w"), "_w") - 1).alias("c1"), "_w")
+    return gaps.filter("c0 <= c1 AND _w IS NOT NULL").drop("_w")
+
+
+def _filled_runs(runs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """runs and, overlapping none of them, those of the background that the corner does not reach."""
+    back = _labelled(_background_runs(runs, sizes), False)
+    outside = back.filter("row = 0 AND c0 = 0").select(*KEYS, "label")
+    return runs.unionByName(back.join(outside.hint("merge"), [*KEYS, "label"], "left_anti").select(*KEYS, "row", "c0", "c1"))
+
+
 def holes_filled(mask: DataFrame, sizes: DataFrame) -> DataFrame:
     """The mask and the background that the corner does not reach (RAS8)."""
-    runs = labelled_runs(background(mask, sizes))
-    outside = runs.filter("row = 0 AND c0 = 0").select(*KEYS, "label")
-    return mask_or(mask, pixels_of(runs.join(outside, [*KEYS, "label"], "left_anti")))
+    return pixels_of(merged_runs(_filled_runs(mask_runs(mask), sizes)))
 
 
 def _shifts(h: int, w: int) -> Column:
@@ -228,9 +281,14 @@ def rectangled(mask: DataFrame, allowed: DataFrame) -> DataFrame:
     return mask_and(dilated(full), allowed)
 
 
+def refined_legend_runs(mask: DataFrame, other: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The largest region without its holes, and the other legend class, as runs (RAS16)."""
+    return merged_runs(_filled_runs(_largest_runs(mask), sizes).unionByName(mask_runs(other)))
+
+
 def refined_legend(mask: DataFrame, other: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The largest region without its holes, and the other legend class (RAS16)."""
-    return mask_or(holes_filled(largest_component(mask), sizes), other)
+    """The same as pixels (RAS16)."""
+    return pixels_of(refined_legend_runs(mask, other, sizes))
 
 
 def text_mask(rings: DataFrame, right: int = 30) -> DataFrame:

@@ -140,7 +140,7 @@ def refined_legends(spark, sf_dir):
     frame = grid(n(2), 2 + F.col("h"), n(2), 2 + F.col("w")).filter("NOT (row BETWEEN 4 AND 6 AND col BETWEEN 5 AND 8)")
     small, other = grid(n(25), n(28), n(25), n(28)), grid(n(30), n(33), n(2), n(5))
     sizes = r.select("map_id", F.lit(40).alias("height"), F.lit(40).alias("width"))
-    return P.refined_legend(at(frame).unionByName(at(small)), at(other), sizes).groupBy("map_id", "key").agg(F.count("*").alias("n"))
+    return P.refined_legend_runs(at(frame).unionByName(at(small)), at(other), sizes).groupBy("map_id", "key").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
 
 
 @query(
