@@ -90,8 +90,7 @@ def topo_of_lone_points(spark, sf_dir):
     true = put(o.filter(k % 7 > 0), F.lit(1), F.lit(0))
     turned = k % 3 == 0
     pred = put(o.filter(k % 11 > 0).withColumn("y", k % 5 * 0.25), F.when(turned, 0).otherwise(1), F.when(turned, 1).otherwise(0))
-    one, many, soft = E.topo_one_to_one(true, pred, 0.8), E.simple_topo(true, pred, 0.8), E.soft_topo(true, pred, 0.8)
-    out = one.join(many.select("map_id", F.col("precision").alias("p"), F.col("recall").alias("r")), "map_id").join(soft, "map_id")
+    out = E.topo_measures(true, pred, 0.8)
     return out.select("map_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "p", "r")], F.round("score", 4).alias("score"), F.round("f1", 5).alias("f1"))
 
 
