@@ -34,7 +34,7 @@ SELECT map_id, node, min(other) AS component FROM reach GROUP BY 1, 2"""
 )
 def graph_components(spark, sf_dir):
     """GRF8."""
-    return R.components(I.parts(spark, sf_dir))
+    return R.components(I.part_rows(spark, sf_dir))
 
 
 @query(
@@ -69,8 +69,8 @@ SELECT map_id, start, node, min(distance) AS distance FROM walk GROUP BY 1, 2, 3
 )
 def bounded_network_distance(spark, sf_dir):
     """GRF15, GRF16: from every node."""
-    edges = I.parts(spark, sf_dir).withColumn("length", (1 + (F.col("u") + F.col("v")) % 3).cast("double"))
-    return R.bounded_distances(edges, R.both_ways(edges).select("map_id", F.col("u").alias("start")).distinct(), 5.0)
+    edges = I.part_rows(spark, sf_dir).withColumn("length", (1 + (F.col("u") + F.col("v")) % 3).cast("double"))
+    return R.distances_from_nodes(edges, 5.0)
 
 
 _CHAIN = """e AS (SELECT map_id, u, v, u * 1000000000000 + v AS id FROM parts), ends AS (SELECT map_id, u AS node, id FROM e UNION ALL SELECT map_id, v, id FROM e),
