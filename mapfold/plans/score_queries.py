@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from mapfold.functions import geometry as G
 from mapfold.functions import text as X
 from mapfold.operators import evaluate as E
-from mapfold.operators import graphs as R
 from mapfold.operators import pixels as P
 from mapfold.operators import spatial as S
 from mapfold.operators import vectors as V
@@ -153,8 +152,5 @@ SELECT map_id, unnest(kept) AS start FROM (SELECT map_id, part, arg_max(kept, k)
 )
 def starts_without_rivals(spark, sf_dir):
     """EVL8: every node as a start with a score; those within a network distance of 3 of a better one go."""
-    edges = I.parts(spark, sf_dir).withColumn("length", (1 + (F.col("u") + F.col("v")) % 3).cast("double"))
-    nodes = R.both_ways(edges).select("map_id", F.col("u").alias("start")).distinct()
-    near = R.bounded_distances(edges, nodes, 3.0).select("map_id", F.col("start").alias("a"), F.col("node").alias("b"))
-    scored = nodes.withColumn("score", F.col("start") * 37 % 101 / F.lit(100.0))
-    return E.without_rivals(scored, near).select("map_id", "start")
+    edges = I.part_rows(spark, sf_dir).withColumn("length", (1 + (F.col("u") + F.col("v")) % 3).cast("double"))
+    return E.starts_apart(edges, lambda n: n * 37 % 101 / F.lit(100.0), 3.0)
