@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, LongType
 
-from mapfold.functions import geometry as G
 from mapfold.operators.chain_cells import STOP, cell_chains
 from mapfold.operators.graphs import cumulative_length
+from mapfold.operators.mask_rings import LABEL, mask_rings
 from mapfold.session import cut, written
 
 CELL_BITS = (16, 12, 8)  #: bits of a node number inside a cell, the first that keeps cells from being crowded
@@ -184,52 +184,18 @@ def start_points(vertices: DataFrame, spacing: float, regions: DataFrame, margin
     return points.join(regions.select("map_id", "box"), "map_id").filter(inside("x", away[0]) & inside("y", away[1])).drop("box")
 
 
-def mask_boundary(runs: DataFrame) -> DataFrame:
-    """(map_id, key, x, y, tx, ty, way, label): boundary of labelled runs, as steps that keep the set pixels on their right.
-
-    Pixel (row, col) is the square from (col, row) to (col + 1, row + 1). way is 0 right,
-    1 down, 2 left, 3 up; label stands on vertical steps.
-    """
-    keys = ["map_id", "key"]
-    at = lambda x, y, tx, ty, way: F.struct(*[e.cast("long").alias(n) for n, e in (("x", x), ("y", y), ("tx", tx), ("ty", ty), ("way", F.lit(way)))])
-    c0, c1, row = F.col("c0"), F.col("c1") + 1, F.col("row")
-    sides = runs.select(*keys, F.inline(F.array(at(c1, row, c1, row + 1, 1), at(c0, row + 1, c0, row, 3))), "label")
-    # along a line between two rows: how many runs below and above it cover each stretch
-    ends = lambda y, below, above: [F.struct(y.cast("long").alias("y"), p.cast("long").alias("x"), F.lit(s * below).alias("d0"), F.lit(s * above).alias("d1")) for p, s in ((c0, 1), (c1, -1))]
-    marks = runs.select(*keys, F.inline(F.array(*ends(row, 1, 0), *ends(row + 1, 0, 1)))).groupBy(*keys, "y", "x").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
-    along = Window.partitionBy(*keys, "y").orderBy("x")
-    marks = marks.select(*keys, "y", "x", F.lead("x").over(along).alias("nx"), F.sum("d0").over(along).alias("below"), F.sum("d1").over(along).alias("above"))
-    flat = marks.filter("below != above and nx is not null")
-    right = F.col("below") > F.col("above")
-    flat = flat.select(*keys, F.when(right, F.col("x")).otherwise(F.col("nx")).alias("x"), "y", F.when(right, F.col("nx")).otherwise(F.col("x")).alias("tx"), F.col("y").alias("ty"), F.when(right, 0).otherwise(2).cast("long").alias("way"))
-    return sides.unionByName(flat.withColumn("label", F.lit(None).cast(runs.schema["label"].dataType)))
-
-
 def mask_polygons(runs: DataFrame) -> DataFrame:
     """(map_id, key, label, ring, holes): every component of a mask as a closed outer ring and closed holes (RAS3, SNK12).
 
     runs as pixels.labelled_runs returns them, of components whose pixels share sides; where
     only corners touch, rings stay apart. Rings hold corners only. Outer rings turn
     clockwise on the screen, holes the other way; the areas of all rings of a label, by the
-    shoelace sum, add up to its pixels. One row holds one component's rings.
+    shoelace sum, add up to its pixels. One row holds one component's rings, and one task
+    traces them, many components at once.
     """
-    keys = ["map_id", "key"]
-    steps = written(mask_boundary(runs).withColumn("id", F.monotonically_increasing_id()))
-    out = steps.select(*keys, F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("id").alias("next"), F.col("way").alias("_way"))
-    # where corners of two pixels touch, two steps go on; the turn to the right stays with the pixel
-    ways = steps.select("id", *keys, "tx", "ty", "way", "x", "y").join(out, [*keys, "tx", "ty"])
-    follows = ways.groupBy("id").agg(F.count("*").alias("n"), F.min("next").alias("only"), F.min(F.when(F.col("_way") == (F.col("way") + 1) % 4, F.col("next"))).alias("right"))
-    links = steps.join(follows, "id").select("id", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("right")).alias("next"), F.struct(*keys, "y", "x", "way").alias("value"))
-    ranked = ring_ranks(links)
-    placed = steps.join(ranked, "id")
-    # a corner is a step whose way differs from that of the step before it
-    came = links.select(F.col("next").alias("id"), F.col("id").alias("_before")).join(steps.select(F.col("id").alias("_before"), F.col("way").alias("_came")), "_before").select("id", "_came")
-    corner = placed.join(came, "id")
-    point = F.struct((-F.col("ahead")).alias("o"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    rings = corner.groupBy("start").agg(F.array_sort(F.collect_list(F.when(F.col("way") != F.col("_came"), point))).alias("p"), F.max("label").alias("label"))
-    # the start has nothing ahead of it and sorts last: it is the first corner as well
-    corners = F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    rings = rings.select("start.map_id", "start.key", "label", F.concat(F.array(F.element_at(corners, -1)), corners).alias("ring"))
-    rings = rings.withColumn("area", G.signed_area(F.col("ring")))
-    shape = rings.groupBy(*keys, "label").agg(F.max(F.when(F.col("area") > 0, F.col("ring"))).alias("ring"), F.array_sort(F.collect_list(F.when(F.col("area") < 0, F.col("ring")))).alias("holes"))
-    return shape
+    at = [*LABEL, "row", "c0", "c1"]
+    whole = runs.select("map_id", "key", F.col("label.row").alias("lrow"), F.col("label.col").alias("lcol"), "row", "c0", "c1").dropna(subset=at)
+    kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in LABEL)
+    ring = "array<struct<x: double, y: double>>"
+    traced = whole.repartition(*LABEL).sortWithinPartitions(*LABEL).mapInArrow(mask_rings, f"{kinds}, ring {ring}, holes array<{ring}>")
+    return traced.select("map_id", "key", F.struct(F.col("lrow").alias("row"), F.col("lcol").alias("col")).alias("label"), "ring", F.array_sort("holes").alias("holes"))

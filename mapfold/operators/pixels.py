@@ -149,7 +149,7 @@ def _scanned(e: DataFrame) -> DataFrame:
     order = Window.partitionBy(*KEYS, "_id", "row").orderBy("x")
     spans = e.withColumn("x", x).withColumn("n", F.row_number().over(order)).withColumn("x1", F.lead("x").over(order)).filter("n % 2 = 1 AND x1 IS NOT NULL")
     c0, c1 = F.ceil("x"), F.ceil("x1") - 1
-    return spans.filter(c0 <= c1).select(*KEYS, F.col("row").cast("int").alias("row"), F.explode(F.sequence(c0.cast("int"), c1.cast("int"))).alias("col")).distinct()
+    return pixels_of(merged_runs(spans.filter(c0 <= c1).select(*KEYS, F.col("row").cast("int").alias("row"), c0.cast("int").alias("c0"), c1.cast("int").alias("c1"))))
 
 
 def without_boxes(mask: DataFrame, boxes: DataFrame, side: float = 64.0) -> DataFrame:
